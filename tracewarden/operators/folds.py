@@ -103,7 +103,7 @@ def group_exits(t: np.ndarray, span: int, closes: bool):
     inside = cur < m
     exit_anchor = np.where(inside, t[np.minimum(cur, m - 1)], _NONE)
     exit_seq = np.where(inside, m - cur, 0)
-    last = np.r_[exit_anchor[1:] != exit_anchor[:-1], True]
+    last = np.r_[cur[1:] != cur[:-1], True]
     return (t[first] - span)[last], exit_anchor[last], exit_seq[last]
 
 
