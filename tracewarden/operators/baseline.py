@@ -33,9 +33,11 @@ def request_frequency(observations: DataFrame) -> DataFrame:
     )
     probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
     quantiles = exact_quantiles(observations.select(F.col("n").cast("double").alias("n")), [], "n", list(probs.values()))
-    spread = quantiles.agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
+    spread = quantiles.agg(
+        F.struct(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
+    ).scalar()
     ks = poisson_distance(counts)
-    row = moments.select("*", *[spread.select(p).scalar().alias(p) for p in probs])
+    row = moments.withColumn("_q", spread).select("*", "_q.*").drop("_q")
     row = row.withColumn("median", F.col("p50")).withColumns(
         {
             "threshold": F.col("p99") + 3 * F.col("std"),

@@ -77,17 +77,19 @@ def trailing_rows(
     n: int,
     sums: Mapping[str, Column],
     slices: int | None = None,
+    lists: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Append sums over the last ``n`` rows (this one included), ``frame_rows`` and ``position``.
+    """Append sums (and ordered lists) over the last ``n`` rows, this one included, ``frame_rows`` and ``position``.
 
     Positions come from ``prefix_sums``; rows are then grouped into blocks of consecutive positions,
     each extended by the ``n - 1`` rows before it, so a frame never needs more than its block.
     """
-    names = list(sums)
+    names, listed = list(sums), list(lists or {})
     block = max(4096, 8 * n)
-    placed = prefix_sums(
-        df.select("*", *[sums[m].alias(f"_m_{m}") for m in names]), keys, order, {"position": F.lit(1)}, slices
+    measured = df.select(
+        "*", *[sums[m].alias(f"_m_{m}") for m in names], *[lists[m].alias(f"_l_{m}") for m in listed]
     )
+    placed = prefix_sums(measured, keys, order, {"position": F.lit(1)}, slices)
     home = F.floor((F.col("position") - 1) / block)
     reaches_next = (F.col("position") - 1) % block >= block - (n - 1)
     copies = placed.withColumn("_home", home).withColumn(
@@ -102,6 +104,7 @@ def trailing_rows(
             "_block",
             F.count(F.lit(1)).over(frame).alias("frame_rows"),
             *[F.sum(f"_m_{m}").over(frame).alias(m) for m in names],
+            *[F.collect_list(f"_l_{m}").over(frame).alias(m) for m in listed],
         )
         .filter(F.col("_home") == F.col("_block"))
         .drop("_home", "_block")
