@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.maths import ratio
@@ -22,7 +22,8 @@ def severity_counts(alerts: DataFrame) -> DataFrame:
     levels = alerts.sparkSession.createDataFrame([(s, 0) for s in SEVERITIES], "severity string, n long")
     counted = alerts.groupBy(F.upper("severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
     filled = levels.unionByName(counted).groupBy("severity").agg(F.sum("n").alias("n"))
-    return filled.withColumn("total", F.coalesce(alerts.agg(F.count(F.lit(1))).scalar(), F.lit(0)))
+    # the frame spans one row per severity level
+    return filled.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
 def severity_tiles(alerts: DataFrame, critical: Sequence[str] = ("CRITICAL",), warning: Sequence[str] = ("HIGH", "MEDIUM")) -> DataFrame:
