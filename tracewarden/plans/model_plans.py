@@ -1 +1,122 @@
+"""Model jobs on the daily behaviour features.  Fits are checked by rows and by property tests."""
 
+from pyspark.sql import functions as F
+
+from tracewarden.operators import evaluation as E
+from tracewarden.operators import features, forest, lookups
+from tracewarden.operators.features import FEATURES
+from tracewarden.plans.drift_plans import feature_table
+from tracewarden.plans.evaluation_plans import DETECTORS, _RUNS
+from tracewarden.plans.registry import query
+from tracewarden.session import cut_lineage
+
+
+def table(t):
+    return feature_table(t).withColumn("row_id", F.concat_ws("@", "ip", "bucket"))
+
+
+def forest_of(df, **settings):
+    return cut_lineage(forest.fit(df, "row_id", FEATURES, **settings))
+
+
+@query("ml01_isolation_forest")
+def _(t):
+    nodes = forest_of(table(t))
+    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("sampled").alias("sampled"))
+
+
+@query("ml02_anomaly_scores")
+def _(t):
+    df = table(t)
+    return forest.score(df, forest_of(df), FEATURES).select("ip", "bucket", F.round("score", 6).alias("score"))
+
+
+@query(
+    "ml03_contamination_cut",
+    "SELECT event_id, CAST(ml_score > (SELECT quantile_cont(ml_score, 0.9) FROM judged) AS INTEGER) AS predicted FROM judged",
+    ("judged",),
+)
+def _(t):
+    return forest.by_contamination(t.judged, "ml_score", 0.1).select("event_id", "predicted")
+
+
+@query(
+    "ml04_feature_matrix",
+    "SELECT ip, bucket, " + " || ',' || ".join(f"CAST(CAST(floor({f} * 1000 + 0.5) AS BIGINT) AS VARCHAR)" for f in FEATURES) + " AS features FROM features",
+    ("features",),
+)
+def _(t):
+    df = features.feature_array(feature_table(t))
+    return df.select("ip", "bucket", F.array_join(F.transform("features", lambda x: F.floor(x * 1000 + 0.5).cast("string")), ",").alias("features"))
+
+
+@query(
+    "ml05_stratified_split",
+    "SELECT event_id, y_true, CASE WHEN CAST('0x' || substr(md5(event_id || '|42'), 1, 7) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS part FROM judged",
+    ("judged",),
+)
+def _(t):
+    return forest.stratified_split(t.judged, "event_id").select("event_id", "y_true", "part")
+
+
+@query("ml06_grid_search")
+def _(t):
+    return forest.search(table(t), "row_id", "label", FEATURES)
+
+
+@query("ml07_cross_validation")
+def _(t):
+    _, summary = forest.cross_validate(table(t), "row_id", "label", FEATURES)
+    return summary
+
+
+@query("ml08_learning_curve")
+def _(t):
+    return forest.learning_curve(table(t), "row_id", "label", FEATURES)
+
+
+@query("ml09_augmented_training")
+def _(t):
+    df = table(t)
+    attack = df.filter("label = 1")
+    perturbed = attack.withColumns({f: F.col(f) * 0.85 for f in ("f1_request_frequency", "f3_failed_request_ratio", "f6_unique_endpoints_per_min")})
+    before = forest_of(df.filter("label = 0"))
+    after = cut_lineage(forest.fit_augmented([df.filter("label = 0"), attack, perturbed], "row_id", FEATURES))
+    parts = df.filter("label = 0").withColumn("part", F.lit("normal")).unionByName(attack.withColumn("part", F.lit("clean"))).unionByName(perturbed.withColumn("part", F.lit("perturbed")))
+    both = None
+    for name, nodes in (("before", before), ("after", after)):
+        scored = cut_lineage(forest.score(parts, nodes, FEATURES))
+        one = forest.by_contamination(scored, "score", 0.1).withColumn("model", F.lit(name)).select("model", "part", "predicted")
+        both = one if both is None else both.unionByName(one)
+    return E.robustness(both, "model", "part", "predicted")
+
+
+@query("ml10_risk_classifier")
+def _(t):
+    e = t.read("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
+    parts = [e.select("vec_id", "a"), e.select("vec_id", F.slice("a", 1, 32).alias("b")), e.select("vec_id", F.slice("a", 1, 16).alias("c"))]
+    whole = lookups.concat_encodings(parts, "vec_id", ["a", "b", "c"], [64, 32, 16]).join(e.select("vec_id", (F.col("label") > 0).cast("int").alias("risk")), "vec_id")
+    model, prepared = forest.risk_classifier(whole, "risk")
+    return model.transform(prepared).groupBy("risk", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml11_permutation_importance")
+def _(t):
+    df = table(t)
+    return forest.permutation_importance(df, "row_id", "label", FEATURES, forest_of(df))
+
+
+@query(
+    "ml12_run_registry",
+    f"""SELECT detector || '/' || run AS params, round(f1, 6) AS f1, round(tpr, 6) AS tpr, 'evaluation' AS phase,
+          (detector || '|' || run) = (SELECT arg_max(detector || '|' || run, (f1, detector || '|' || run)) FROM ({_RUNS})) AS best FROM ({_RUNS})""",
+    ("verdicts",),
+)
+def _(t):
+    long = E.stacked(t.judged.withColumn("run", F.col("user_id") % 10), DETECTORS, ["y_true", "run"])
+    runs = E.rates(E.confusion(long, "y_true", "predicted", ["detector", "run"]), None)
+    reg = forest.register_runs(runs, ["detector", "run"], ["f1", "tpr"], "evaluation", "f1")
+    return reg.select(
+        F.concat_ws("/", F.col("params")["detector"], F.col("params")["run"]).alias("params"), F.round(F.col("metrics")["f1"], 6).alias("f1"),
+        F.round(F.col("metrics")["tpr"], 6).alias("tpr"), "phase", "best",
+    )
