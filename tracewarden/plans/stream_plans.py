@@ -1 +1,164 @@
+"""Streaming queries over the whole event table, fed in two instalments through one checkpoint.
 
+The second instalment carries one marker row far in the future, which moves the watermark past every
+real event so that append mode emits all of them; the marker itself is filtered from the results.
+"""
+
+from pyspark.sql import functions as F
+
+from tracewarden.operators import detectors
+from tracewarden.plans.detector_plans import CONFIRM, ESTIMATES, QUIET, _SUPPRESS, _fold_sql
+from tracewarden.plans.registry import query
+from tracewarden.plans.sources_plans import workdir
+from tracewarden.plans.sql_views import DAY
+from tracewarden.streaming import jobs
+
+MARKER = "marker"
+WATERMARK = "1 hour"
+
+
+def instalments(t, df, key):
+    """The first fifteen days, then the rest with the marker row."""
+    newest = df.agg(F.max("us")).scalar()
+    split = F.col("us") < t.log.agg(F.min("us") + F.lit(15 * DAY)).scalar()
+    late = {
+        "us": newest + F.lit(400 * DAY), "event_id": F.lit(-1), key: F.lit(MARKER), "ts": F.timestamp_micros(newest + F.lit(400 * DAY)),
+    }
+    marker = t.spark.range(1).select(*[late.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return [df.filter(split), df.filter(~split).unionByName(marker)]
+
+
+def run_stream(t, df, build, key="remote_addr", sink=jobs.start):
+    """Feed ``df`` in instalments to ``build`` (stream in, stream out) and read the sink."""
+    base = workdir(t)
+    out = f"{base}/out"
+    for part in instalments(t, df, key):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        q = sink(build(stream), out, f"{base}/checkpoint", poll=None)
+        q.awaitTermination()
+    return t.spark.read.parquet(out), q
+
+
+def log_rows(t):
+    return t.log.select("event_id", "ts", "us", "remote_addr", "request_uri", "http_user_agent", "status", "body_bytes_sent", "event_type")
+
+
+def alert_rows(t):
+    return t.alerts.select("event_id", "us", F.timestamp_micros("us").alias("ts"), "source_ip", "attack_type", "severity", "risk_score")
+
+
+@query("src06_incremental_read", "SELECT event_id, remote_addr, status FROM log", ("log",))
+def _(t):
+    out, _ = run_stream(t, log_rows(t), lambda s: s.select("event_id", "remote_addr", "status"))
+    return out.filter(F.col("remote_addr") != MARKER)
+
+
+@query("str01_polled_alerts", "SELECT event_id, source_ip, attack_type, severity FROM alerts", ("alerts",))
+def _(t):
+    out, _ = run_stream(t, log_rows(t), lambda s: jobs.classified_alerts(s, WATERMARK), sink=jobs.start_alert_sink)
+    return out.select("event_id", "source_ip", "attack_type", "severity")
+
+
+_SLIDES = f"unnest(range((us // {DAY // 6}) * {DAY // 6} - {DAY} + {DAY // 6}, (us // {DAY // 6}) * {DAY // 6} + 1, {DAY // 6}))"
+
+
+@query("str02_sliding_rate", f"SELECT remote_addr, start_us, count(*) AS requests FROM (SELECT remote_addr, {_SLIDES} AS start_us FROM log) GROUP BY 1, 2 HAVING count(*) > 6", ("log",))
+def _(t):
+    out, _ = run_stream(t, log_rows(t), lambda s: jobs.sliding_rate(s, "1 day", "4 hours", WATERMARK, 6))
+    return out
+
+
+@query(
+    "str03_feature_windows",
+    f"""SELECT ip AS remote_addr, bucket * {DAY} AS start_us, event_count AS requests, bytes, f8_ua_suspicion_score AS ua_suspicion, CAST(f6_unique_endpoints_per_min AS BIGINT) AS unique_endpoints,
+          f3_failed_request_ratio AS failed_ratio FROM features JOIN (SELECT remote_addr AS ip, us // {DAY} AS bucket, CAST(sum(body_bytes_sent) AS BIGINT) AS bytes FROM log GROUP BY 1, 2) USING (ip, bucket)""",
+    ("features",),
+)
+def _(t):
+    out, _ = run_stream(t, log_rows(t), lambda s: jobs.feature_windows(s, "1 day", WATERMARK))
+    return out.filter(F.col("remote_addr") != MARKER).drop("endpoint_entropy").withColumn("failed_ratio", F.round("failed_ratio", 6))
+
+
+@query("str04_fingerprint_state", f"WITH RECURSIVE {ESTIMATES} SELECT event_id, remote_addr, round(composite + 1e-9, 6) AS composite FROM prints", ("log",))
+def _(t):
+    observed = detectors.event_estimates(t.log).withColumn("ts", F.timestamp_micros("us"))
+    out, _ = run_stream(t, observed, lambda s: jobs.fingerprints(s, WATERMARK, keep_ms=400 * 86_400_000))
+    return out.filter(F.col("remote_addr") != MARKER).withColumn("composite", F.round(F.col("composite") + 1e-9, 6))
+
+
+@query("str05_suppression_state", f"WITH RECURSIVE {_SUPPRESS} SELECT event_id, source_ip, attack_type, seq >= 3 AS suppressed FROM g", ("alerts",))
+def _(t):
+    out, _ = run_stream(t, alert_rows(t).fillna({"attack_type": ""}), lambda s: jobs.suppression(s, WATERMARK, quiet_us=QUIET), key="source_ip")
+    return out.filter(F.col("source_ip") != MARKER)
+
+
+@query(
+    "str06_incident_state",
+    f"""WITH RECURSIVE {_fold_sql('SELECT * FROM alerts', 'source_ip', 'attack_type', 2 * DAY, True, 'event_id, source_ip, attack_type, risk_score')}
+        SELECT source_ip, attack_type, anchor AS first_seen_us, max(us) AS last_seen_us, count(*) AS alert_count, max(risk_score) AS max_score FROM g GROUP BY source_ip, attack_type, anchor""",
+    ("alerts",),
+)
+def _(t):
+    out, _ = run_stream(t, alert_rows(t), lambda s: jobs.incident_stream(s, WATERMARK, span_us=2 * DAY), key="source_ip")
+    return out.filter(F.col("source_ip") != MARKER)
+
+
+@query(
+    "str07_confirmation_state",
+    f"SELECT event_id, entity_id, count(*) OVER w = 10 AND sum(y_hybrid) OVER w >= 4 AS escalated FROM judged WINDOW w AS {CONFIRM}",
+    ("judged",),
+)
+def _(t):
+    flagged = t.judged.select("event_id", "us", F.timestamp_micros("us").alias("ts"), "entity_id", F.col("y_hybrid").alias("flag"))
+    out, _ = run_stream(t, flagged, lambda s: jobs.confirmations(s.fillna({"flag": 0}), WATERMARK, keep_ms=400 * 86_400_000), key="entity_id")
+    return out.filter(F.col("entity_id") != MARKER)
+
+
+@query("str08_new_alerts_only", "SELECT event_id, source_ip, rule FROM alerts", ("alerts",))
+def _(t):
+    doubled = log_rows(t)
+    out, _ = run_stream(t, doubled.unionByName(doubled), lambda s: jobs.classified_alerts(s, WATERMARK))
+    return out.select("event_id", "source_ip", "rule")
+
+
+@query(
+    "str09_stream_static_enrichment",
+    "SELECT event_id, source_ip, coalesce(s_acctbal > 5000, false) AS malicious FROM alerts LEFT JOIN supplier ON source_ip = '10.0.0.' || s_suppkey",
+    ("alerts",),
+)
+def _(t):
+    from tracewarden.plans.fusion_plans import intel
+
+    listed = intel(t)
+    out, _ = run_stream(t, alert_rows(t), lambda s: jobs.enriched(s, listed, "source_ip"), key="source_ip")
+    return out.filter(F.col("source_ip") != MARKER).select("event_id", "source_ip", F.coalesce("malicious", F.lit(False)).alias("malicious"))
+
+
+@query(
+    "str10_session_windows",
+    f"""SELECT remote_addr, min(us) AS first_us, max(us) AS last_us, count(*) AS requests FROM (
+          SELECT *, sum(s) OVER (PARTITION BY remote_addr ORDER BY us) AS session FROM (
+            SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY remote_addr ORDER BY us) <= {DAY // 2} THEN 0 ELSE 1 END AS s FROM log)) GROUP BY remote_addr, session""",
+    ("log",),
+)
+def _(t):
+    out, _ = run_stream(t, log_rows(t), lambda s: jobs.session_windows(s, "12 hours", WATERMARK))
+    return out.filter(F.col("remote_addr") != MARKER)
+
+
+@query("str11_throughput_report")
+def _(t):
+    _, q = run_stream(t, log_rows(t), lambda s: jobs.sliding_rate(s, "1 day", "4 hours", WATERMARK, 6))
+    return jobs.throughput_report(jobs.progress_table(t.spark, q))
+
+
+@query(
+    "win19_idle_eviction",
+    f"WITH RECURSIVE {_SUPPRESS} SELECT event_id, source_ip, attack_type, seq >= 2 AS suppressed FROM g",
+    ("alerts",),
+)
+def _(t):
+    # keys silent for longer than the quiet period leave the state; the flags must not change by it
+    out, _ = run_stream(t, alert_rows(t).fillna({"attack_type": ""}), lambda s: jobs.suppression(s, WATERMARK, suppress_after=2, quiet_us=QUIET), key="source_ip")
+    return out.filter(F.col("source_ip") != MARKER)
