@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The signature pattern sets, matched case-insensitively.
@@ -71,6 +71,15 @@ def matched_patterns(text: Column, patterns: Sequence[str]) -> Column:
     return F.filter(F.array(*[F.when(matches(text, p), F.lit(p)) for p in patterns]), lambda p: p.isNotNull())
 
 
+def keep_hits(df: DataFrame, verdict: Column, name: str) -> DataFrame:
+    """Rows with a verdict, added as column ``name``.
+
+    A filter on the verdict would be pushed below it and every pattern evaluated twice; the generator
+    evaluates the verdict once per row.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(verdict))))
+
+
 def sqli_signature(uri: Column, referer: Column, threshold: float = 0.5) -> Column:
     """SQL-injection verdict: ``struct(hits, confidence, severity, matched)``, null below the threshold."""
     matched = matched_patterns(F.concat(F.coalesce(uri, F.lit("")), F.lit(" "), F.coalesce(referer, F.lit(""))), SQLI_SIGNATURES)
@@ -125,7 +134,8 @@ def classify_request(uri: Column, agent: Column, status: Column) -> Column:
     )
     chain = None
     for test, (attack_type, severity, rule, risk) in zip(tests, REQUEST_CLASSES, strict=True):
-        level = suspicious_path_severity(uri, status) if rule == "ADMIN_PROBE_RULE" else F.lit(severity)
+        answered = F.coalesce(status, F.lit(200)).isin(200, 301, 302)
+        level = F.when(answered, severity).otherwise("MEDIUM") if rule == "ADMIN_PROBE_RULE" else F.lit(severity)
         verdict = F.struct(
             F.lit(attack_type).alias("attack_type"),
             level.alias("severity"),

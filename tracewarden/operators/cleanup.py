@@ -79,8 +79,7 @@ def alert_records(df: DataFrame) -> DataFrame:
     """Classify requests and project the firing ones to alert rows."""
     hit = S.classify_request(F.col("request_uri"), F.col("http_user_agent"), F.col("status"))
     return (
-        df.withColumn("_hit", hit)
-        .filter(F.col("_hit").isNotNull())
+        S.keep_hits(df, hit, "_hit")
         .select(
             "alert_id",
             "event_id",

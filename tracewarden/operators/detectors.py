@@ -74,12 +74,8 @@ def flood_or_classify(log: DataFrame, limit: Column | float = 30.0, *, width_us:
         F.least(F.lit(0.99), 0.6 + n / (lim * 5)).alias("risk"),
     )
     hit = S.classify_request(F.col("request_uri"), F.col("http_user_agent"), F.col("status"))
-    judged = (
-        log.join(fired, ["remote_addr", "us"], "left")
-        .withColumn("_limit", bound)
-        .withColumn("h", F.when(n.isNotNull(), flood).otherwise(hit))
-        .filter(F.col("h").isNotNull())
-    )
+    joined = log.join(fired, ["remote_addr", "us"], "left").withColumn("_limit", bound)
+    judged = S.keep_hits(joined, F.when(n.isNotNull(), flood).otherwise(hit), "h")
     return judged.select(
         "event_id",
         "remote_addr",
@@ -322,9 +318,7 @@ def assembled_requests(log: DataFrame, *, fragments: int = 5, span_us: int = 5 *
     near = F.filter("recent", lambda x: F.col("us") - x["us"] <= F.lit(span_us))
     text = F.array_join(F.transform(near, lambda x: x["request_uri"]), "")
     return (
-        framed.withColumn("assembled", text)
-        .withColumn("v", S.sqli_signature(F.col("assembled"), F.lit("-")))
-        .filter(F.col("v").isNotNull())
+        S.keep_hits(framed.withColumn("assembled", text), S.sqli_signature(F.col("assembled"), F.lit("-")), "v")
         .select("event_id", "remote_addr", "assembled", "v.hits", "v.confidence", "v.severity")
     )
 
@@ -332,9 +326,13 @@ def assembled_requests(log: DataFrame, *, fragments: int = 5, span_us: int = 5 *
 def rule_set(log: DataFrame, *, rate_threshold: Column | float = 30.0, auth_threshold: float = 10, width_us: int = MINUTE_US, minute_us: int = MINUTE_US, spike: dict | None = None) -> DataFrame:
     """Detections of all five rules as ``event_id, remote_addr, rule, confidence, severity``."""
     cols = ["event_id", "remote_addr", "rule", "confidence", "severity"]
-    sqli = log.select("event_id", "remote_addr", F.lit("sql_injection").alias("rule"), S.sqli_signature(F.col("request_uri"), F.col("http_referer")).alias("v"))
-    trav = log.select("event_id", "remote_addr", F.lit("path_traversal").alias("rule"), S.traversal_signature(F.col("request_uri"), F.col("status")).alias("v"))
-    signed = [d.filter(F.col("v").isNotNull()).select("event_id", "remote_addr", "rule", "v.confidence", "v.severity") for d in (sqli, trav)]
+    verdicts = (
+        ("sql_injection", S.sqli_signature(F.col("request_uri"), F.col("http_referer"))),
+        ("path_traversal", S.traversal_signature(F.col("request_uri"), F.col("status"))),
+    )
+    signed = [
+        S.keep_hits(log, v, "v").select("event_id", "remote_addr", F.lit(name).alias("rule"), "v.confidence", "v.severity") for name, v in verdicts
+    ]
     framed = [
         login_brute_force(log, threshold=auth_threshold, width_us=width_us),
         rate_limit(log, rate_threshold, width_us=width_us, minute_us=minute_us),

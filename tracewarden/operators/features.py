@@ -50,18 +50,21 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column, name: str =
 def distribution(counts: DataFrame, keys: Sequence[str], guard: float, prefix: str) -> DataFrame:
     """Distinct values, entropy in bits and Gini impurity per key, from value counts.
 
-    The entropy guard sits inside the logarithm, so shares are needed per value: totals are a second,
-    much smaller aggregate over the counts.
+    The entropy guard sits inside the logarithm, so every value's share is needed.  Values with equal counts
+    have equal shares: a key first shrinks to one row per *distinct count*, at most about the square root of
+    twice its events, and only those rows meet the key's total.  A hot key is thus spread over its values
+    until little of it is left.
     """
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    alike = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy(*keys)
     share = F.col("n") / F.col("_total")
     return (
-        counts.join(totals, list(keys))
+        alike.withColumn("_total", F.sum(F.col("n") * F.col("_m")).over(whole))
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias(f"{prefix}_distinct"),
-            F.sum(entropy_term(share, guard)).alias(f"{prefix}_entropy"),
-            (1.0 - F.sum(share * share)).alias(f"{prefix}_gini"),
+            F.sum("_m").alias(f"{prefix}_distinct"),
+            F.sum(F.col("_m") * entropy_term(share, guard)).alias(f"{prefix}_entropy"),
+            (1.0 - F.sum(F.col("_m") * share * share)).alias(f"{prefix}_gini"),
         )
     )
 

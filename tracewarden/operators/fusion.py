@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import calibration as C
 from tracewarden.functions.maths import ratio
-from tracewarden.operators.scale import trailing_rows
 
 
 def component_scores(df: DataFrame, shift: float = 0.0, strength: Column | float = 0.9) -> DataFrame:

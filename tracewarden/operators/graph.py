@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import signatures as S
 from tracewarden.functions.maths import ratio
-from tracewarden.operators.scale import trailing_rows
 from tracewarden.session import cut_lineage
 
 
@@ -85,17 +84,15 @@ def stable_hash(*columns, seed: int = 0):
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
 
 
-def sample_neighbours(edges: DataFrame, k: int, seed: int = 0, parts: int = 64) -> DataFrame:
+def sample_neighbours(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """At most ``k`` distinct out-neighbours per vertex, chosen by hash order (a sampling operator).
 
-    A hub's candidates are first cut to ``k`` in each of ``parts`` parts, which run in parallel; the final
-    choice then ranks at most ``k * parts`` rows per vertex.
+    Spark limits every map task to ``k`` rows per vertex before the shuffle, so a hub arrives as ``k`` rows
+    per task.
     """
     ranked = edges.select("src", "dst").distinct().withColumn("_h", stable_hash("src", "dst", seed=seed))
-    part = Window.partitionBy("src", "_p").orderBy("_h", "dst")
-    short = ranked.withColumn("_p", F.pmod(F.col("_h"), F.lit(parts))).withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k)
     w = Window.partitionBy("src").orderBy("_h", "dst")
-    return short.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("src", "dst", "rank")
+    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("src", "dst", "rank")
 
 
 def drop_edges(edges: DataFrame, rate: float, columns: Sequence[str], seed: int = 0) -> DataFrame:
@@ -154,11 +151,18 @@ def random_walks(edges: DataFrame, *, walks: int = 10, length: int = 40, seed: i
     return state.select("walk", "start", "path")
 
 
-def walk_embeddings(walks: DataFrame, *, width: int = 64, window: int = 5, partitions: int | None = None, seed: int = 7) -> DataFrame:
-    """Skip-gram vectors of the vertices on the walks, as (id, vector)."""
+def walk_embeddings(walks: DataFrame, *, width: int = 64, window: int = 5, partitions: int | None = None, seed: int = 7, max_cells: int = 200_000_000) -> DataFrame:
+    """Skip-gram vectors of the vertices on the walks, as (id, vector).
+
+    Spark's trainer keeps one vector per vertex on the driver and in every task; graphs whose vectors would
+    exceed ``max_cells`` numbers are refused rather than attempted.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
+    vertices = walks.select("start").distinct().count()
+    if vertices * width > max_cells:
+        raise ValueError(f"{vertices} vertices of width {width} exceed {max_cells} cells")
     parts = partitions or int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = Word2Vec(
         vectorSize=width, windowSize=window, minCount=1, numPartitions=parts, maxIter=1, seed=seed, inputCol="path", outputCol="unused"

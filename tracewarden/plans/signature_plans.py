@@ -25,10 +25,8 @@ def found(column: str, patterns) -> str:
     ("log",),
 )
 def _(t):
-    v = F.col("v")
     return (
-        t.log.select("event_id", S.sqli_signature(F.col("request_uri"), F.col("http_referer")).alias("v"))
-        .filter(v.isNotNull())
+        S.keep_hits(t.log, S.sqli_signature(F.col("request_uri"), F.col("http_referer")), "v")
         .select("event_id", "v.hits", "v.confidence", "v.severity", F.array_join("v.matched", " & ").alias("matched"))
     )
 
@@ -43,8 +41,7 @@ def _(t):
 )
 def _(t):
     return (
-        t.log.select("event_id", S.traversal_signature(F.col("request_uri"), F.col("status")).alias("v"))
-        .filter(F.col("v").isNotNull())
+        S.keep_hits(t.log, S.traversal_signature(F.col("request_uri"), F.col("status")), "v")
         .select("event_id", "v.hits", "v.confidence", "v.severity", "v.succeeded", F.array_join("v.matched", " & ").alias("matched"))
     )
 

@@ -35,7 +35,7 @@ def start_alert_sink(df: DataFrame, path: str, checkpoint: str, *, poll: str | N
 def classified_alerts(log: DataFrame, watermark: str) -> DataFrame:
     """Classifier alerts with stable ids, repeats within the watermark dropped."""
     hit = S.classify_request(F.col("request_uri"), F.col("http_user_agent"), F.col("status"))
-    fired = log.withColumn("h", hit).filter(F.col("h").isNotNull())
+    fired = S.keep_hits(log, hit, "h")
     rows = fired.select(
         "event_id", "ts", "us", F.col("remote_addr").alias("source_ip"), F.col("h.attack_type").alias("attack_type"), F.col("h.severity").alias("severity"), F.col("h.rule").alias("rule")
     )
