@@ -21,9 +21,8 @@ def requests_per_bucket(log: DataFrame, width_us: int) -> DataFrame:
     )
 
 
-def request_frequency(observations: DataFrame) -> DataFrame:
-    """Moments, percentiles, thresholds and the distance to a Poisson law, as one row."""
-    counts = observations.groupBy("n").agg(F.count(F.lit(1)).alias("weight"))
+def frequency_thresholds(observations: DataFrame) -> DataFrame:
+    """Moments, percentiles and rate thresholds, as one row."""
     moments = observations.agg(
         F.count(F.lit(1)).alias("observations"),
         F.avg("n").alias("mean"),
@@ -36,16 +35,20 @@ def request_frequency(observations: DataFrame) -> DataFrame:
     spread = quantiles.agg(
         F.struct(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
     ).scalar()
-    ks = poisson_distance(counts)
     row = moments.withColumn("_q", spread).select("*", "_q.*").drop("_q")
-    row = row.withColumn("median", F.col("p50")).withColumns(
+    return row.withColumn("median", F.col("p50")).withColumns(
         {
             "threshold": F.col("p99") + 3 * F.col("std"),
             "threshold_conservative": F.col("p99") + 2 * F.col("std"),
             "threshold_aggressive": F.col("p95") + 3 * F.col("std"),
-            "ks_stat": ks.select("ks_stat").scalar(),
         }
     )
+
+
+def request_frequency(observations: DataFrame) -> DataFrame:
+    """``frequency_thresholds`` plus the distance of the counts to a Poisson law."""
+    ks = poisson_distance(observations.groupBy("n").agg(F.count(F.lit(1)).alias("weight")))
+    row = frequency_thresholds(observations).withColumn("ks_stat", ks.select("ks_stat").scalar())
     p = kolmogorov_tail(F.sqrt("observations") * F.col("ks_stat"))
     return row.withColumns({"ks_p": p, "fits_poisson": p > 0.05})
 
@@ -59,9 +62,8 @@ def poisson_distance(counts: DataFrame) -> DataFrame:
     """
     from tracewarden.operators.scale import prefix_sums
 
-    total = counts.agg(F.sum("weight")).scalar()
-    lam = counts.agg(F.sum(F.col("n") * F.col("weight")) / F.sum("weight")).scalar()
-    ranked = prefix_sums(counts, [], ["n"], {"_cum": F.col("weight")}).withColumns({"_total": total, "_lam": lam})
+    ranked = prefix_sums(counts, [], ["n"], {"_cum": F.col("weight"), "_events": F.col("n") * F.col("weight")}, totals=True)
+    ranked = ranked.withColumnRenamed("_cum_total", "_total").withColumn("_lam", F.col("_events_total") / F.col("_total"))
     # sum of exp(-lam) lam^i / i! for i = 0..n, each term from the previous one; far beyond the mean the
     # law is 1 to double precision, and for a large mean it is normal
     lam = F.col("_lam")

@@ -16,6 +16,8 @@ from tracewarden.operators.scale import prefix_sums, trailing_counts, trailing_r
 MINUTE_US = 60_000_000
 # Window in minutes, requests that may fall into it, label and severity.
 MULTI_WINDOWS = ((1, 6, "1m", "critical"), (5, 20, "5m", "high"), (60, 80, "60m", "high"))
+# Names of the five rules, cheapest first.
+RULES = ("sql_injection", "path_traversal", "login_brute_force", "rate_limit", "error_rate_spike")
 
 
 def login_brute_force(log: DataFrame, *, threshold: float = 10, width_us: int = MINUTE_US) -> DataFrame:

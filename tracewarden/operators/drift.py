@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewarden.functions.maths import kolmogorov_tail, ratio, two_sided
 from tracewarden.operators.folds import ema_before
 from tracewarden.operators.scale import exact_quantiles, prefix_sums
+from tracewarden.session import cut_lineage
 
 PSI_EPS = 1e-6
 KL_EPS = 1e-10
@@ -39,7 +40,7 @@ def psi(expected: DataFrame, actual: DataFrame, bins: int = 10) -> DataFrame:
     """
     quantiles = exact_quantiles(expected, ["feature"], "value", [i / bins for i in range(bins + 1)])
     # at most bins + 1 numbers per feature
-    edges = quantiles.groupBy("feature").agg(F.sort_array(F.collect_set(F.round("quantile", 9))).alias("edges"))
+    edges = cut_lineage(quantiles.groupBy("feature").agg(F.sort_array(F.collect_set(F.round("quantile", 9))).alias("edges")))
     last = F.element_at("edges", -1)
     placed = (
         two_sample_counts(expected, actual)
@@ -60,8 +61,8 @@ def psi(expected: DataFrame, actual: DataFrame, bins: int = 10) -> DataFrame:
 def kolmogorov(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Two-sample statistic per feature with the asymptotic p-value."""
     counts = two_sample_counts(expected, actual)
-    totals = counts.groupBy("feature").agg(F.sum("n_expected").alias("ne"), F.sum("n_actual").alias("na"))
-    run = prefix_sums(counts, ["feature"], ["value"], {"ce": F.col("n_expected"), "ca": F.col("n_actual")}).join(totals, "feature")
+    run = prefix_sums(counts, ["feature"], ["value"], {"ce": F.col("n_expected"), "ca": F.col("n_actual")}, totals=True)
+    run = run.withColumnsRenamed({"ce_total": "ne", "ca_total": "na"})
     gap = F.abs(F.col("ce") / F.col("ne") - F.col("ca") / F.col("na"))
     out = run.groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.max("ne").alias("ne"), F.max("na").alias("na"))
     effective = F.sqrt(F.col("ne") * F.col("na") / (F.col("ne") + F.col("na")))

@@ -139,18 +139,21 @@ def behaviour_features(
         *([F.approx_count_distinct(path).alias("_paths_approx")] if approximate else []),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
-    paths = distribution(value_counts(b, keys, path), keys, 1e-12, "path").drop("path_gini")
-    methods = distribution(value_counts(b, keys, F.coalesce("request_method", F.lit("GET"))), keys, 1e-12, "method").select(*keys, "method_gini")
-    letters = F.explode(F.split(F.coalesce("request_uri", F.lit("/")), ""))
-    chars = distribution(
-        value_counts(b.select(*keys, letters.alias("ch")).filter("ch <> ''"), keys, F.col("ch")), keys, 1e-12, "char"
-    ).select(*keys, "char_entropy")
+    # paths and methods are counted together; characters keep the plain split, which stays in generated code
+    token = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    pair = F.explode(F.array(token("path", path), token("method", F.coalesce("request_method", F.lit("GET")))))
+    counted = b.select(*keys, pair.alias("t")).groupBy(*keys, F.col("t.kind").alias("kind"), "t.value").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    shapes = distribution(counted, [*keys, "kind"], 1e-12, "v").groupBy(*keys).agg(
+        of("path", "v_distinct").alias("path_distinct"), of("path", "v_entropy").alias("path_entropy"), of("method", "v_gini").alias("method_gini")
+    )
+    letters = b.select(*keys, F.explode(F.split(F.coalesce("request_uri", F.lit("/")), "")).alias("ch")).filter("ch <> ''")
+    chars = distribution(value_counts(letters, keys, F.col("ch")), keys, 1e-12, "char").select(*keys, "char_entropy")
     n = F.col("event_count")
     entropy_scale = F.when(F.col("path_distinct") > 1, F.log2("path_distinct")).otherwise(1.0)
     distinct_paths = F.col("_paths_approx") if approximate else F.col("path_distinct")
     return (
-        base.join(paths, keys)
-        .join(methods, keys)
+        base.join(shapes, keys)
         .join(chars, keys, "left")
         .select(
             *keys,

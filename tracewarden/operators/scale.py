@@ -42,31 +42,35 @@ def prefix_sums(
     order: Sequence[str],
     sums: Mapping[str, Column],
     slices: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Append the inclusive running sum of every expression in ``sums`` per ``keys`` along ``order``.
 
     Keys must not be null.  Running sums are local to a slice; the offset of a slice is the total
     of the earlier slices of the same key, which exists only for the first key of a slice, so the
-    joined offset table has at most one row per slice.
+    joined offset table has at most one row per slice.  ``totals`` also appends ``{name}_total``, the
+    sum over the whole key, from the same per-slice summaries (one row per slice and key).
     """
     names = list(sums)
     staged = df.select("*", *[sums[n].alias(f"_in_{n}") for n in names])
     cut = ordered_slices(staged, keys, order, slices)
     # one row per slice and key; the window below holds at most one row per slice in a partition
-    totals = cut.groupBy("slice_id", *keys).agg(*[F.sum(f"_in_{n}").alias(n) for n in names])
-    earlier = (
-        Window.partitionBy(*(list(keys) or [F.lit(0)]))
-        .orderBy("slice_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        totals.select("slice_id", *keys, *[F.sum(n).over(earlier).alias(f"_off_{n}") for n in names])
-        .filter(F.col(f"_off_{names[0]}").isNotNull())
-    )
+    per_slice = cut.groupBy("slice_id", *keys).agg(*[F.sum(f"_in_{n}").alias(n) for n in names])
+    of_key = Window.partitionBy(*(list(keys) or [F.lit(0)]))
+    earlier = of_key.orderBy("slice_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.select(
+        "slice_id",
+        *keys,
+        *[F.sum(n).over(earlier).alias(f"_off_{n}") for n in names],
+        *[F.sum(n).over(of_key).alias(f"{n}_total") for n in names if totals],
+    )
+    if not totals:
+        offsets = offsets.filter(F.col(f"_off_{names[0]}").isNotNull())
     local = Window.partitionBy("slice_id", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return cut.join(offsets, ["slice_id", *keys], "left").select(
         *df.columns,
         *[(F.sum(f"_in_{n}").over(local) + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in names],
+        *[f"{n}_total" for n in names if totals],
     )
 
 
@@ -205,12 +209,7 @@ def exact_quantiles(
     the distinct values of a whole group.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, keys, [value], {"_cum": F.col("_n")}, slices)
-    if keys:
-        totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-        ranked = ranked.join(totals, list(keys))
-    else:
-        ranked = ranked.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+    ranked = prefix_sums(counts, keys, [value], {"_cum": F.col("_n")}, slices, totals=True).withColumnRenamed("_cum_total", "_total")
     spot = lambda p: p * (F.col("_total") - 1)
     first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
     touches = lambda p: (

@@ -14,7 +14,7 @@ from tracewarden.session import cut_lineage
 def learned_limit(t):
     """P99 + 3 sigma of requests per address and day.  The profile is learned once and stored as a one-row
     table, the rules read it as a scalar subquery."""
-    freq = baseline.request_frequency(baseline.requests_per_bucket(t.log, DAY))
+    freq = baseline.frequency_thresholds(baseline.requests_per_bucket(t.log, DAY))
     return cut_lineage(freq.select(F.round("threshold", 4).alias("threshold"))).scalar()
 
 

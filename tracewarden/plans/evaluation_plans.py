@@ -260,7 +260,7 @@ def _(t):
           UNION ALL SELECT event_id, 'path_traversal' FROM log WHERE {hits('request_uri', S.TRAVERSAL_SIGNATURES)} > 0
           UNION ALL SELECT event_id, 'login_brute_force' FROM (SELECT *, {RATE_FRAME} AS n FROM log WHERE status IN (401, 403) AND request_uri = '/login') WHERE n > 2
           UNION ALL SELECT event_id, 'rate_limit' FROM (SELECT *, {RATE_FRAME} AS n FROM log) WHERE n > 6 UNION ALL SELECT event_id, rule FROM ({_spike_sql('')})),
-        d AS (SELECT event_type, rule, remote_addr FROM det JOIN log USING (event_id)), names AS (SELECT DISTINCT rule FROM d),
+        d AS (SELECT event_type, rule, remote_addr FROM det JOIN log USING (event_id)), names(rule) AS (VALUES ('sql_injection'), ('path_traversal'), ('login_brute_force'), ('rate_limit'), ('error_rate_spike')),
         grid AS (SELECT event_type, rule, remote_addr, is_attack FROM log, names), hit AS (SELECT event_type, rule, remote_addr, count(*) AS n FROM d GROUP BY ALL),
         c AS (SELECT event_type, rule, count(*) FILTER (WHERE is_attack AND n IS NOT NULL) AS tp, count(*) FILTER (WHERE NOT is_attack AND n IS NOT NULL) AS fp,
             count(*) FILTER (WHERE NOT is_attack AND n IS NULL) AS tn, count(*) FILTER (WHERE is_attack AND n IS NULL) AS fn FROM grid LEFT JOIN hit USING (event_type, rule, remote_addr) GROUP BY 1, 2),
@@ -272,7 +272,7 @@ def _(t):
     found = detectors.rule_set(t.log, rate_threshold=6.0, auth_threshold=2, width_us=DAY, minute_us=DAY)
     found = found.join(t.log.select("event_id", "event_type"), "event_id")
     events = t.log.select("event_type", "remote_addr", F.col("is_attack").cast("int").alias("label"))
-    return E.scorecard(events, found, scenario="event_type", source="remote_addr", label="label")
+    return E.scorecard(events, found, scenario="event_type", source="remote_addr", label="label", rules=detectors.RULES)
 
 
 @query("evl20_quality_gate", f"SELECT detector, f1, tpr, fpr, f1 >= 0.85 AND tpr >= 0.9 AND fpr <= 0.05 AS passed FROM ({rates_sql(counts_sql('verdicts', ['detector']), ['detector'])})", ("verdicts",))

@@ -139,7 +139,7 @@ def _(t):
     from tracewarden.operators import baseline
 
     path = workdir(t)
-    freq = baseline.request_frequency(baseline.requests_per_bucket(t.log, DAY))
+    freq = baseline.frequency_thresholds(baseline.requests_per_bucket(t.log, DAY))
     status = baseline.status_distribution(t.log)
     files.save_profile(
         freq.select(F.round("threshold", 4).alias("rate_limit_req_per_min"), F.round(status.select("threshold_error_rate").scalar(), 6).alias("error_rate_threshold")),
