@@ -339,11 +339,11 @@ def _(t):
     """WITH newest AS (SELECT request_time FROM log ORDER BY us DESC LIMIT 200)
        SELECT count(*) AS total, 0::BIGINT AS errors, round((max(us) - min(us)) / 1e6, 6) AS elapsed_seconds, round(count(*) / ((max(us) - min(us)) / 1e6), 6) AS rate,
          (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM log GROUP BY 1)) AS status_counts,
-         (SELECT round(avg(request_time), 6) FROM newest) AS mean_last, (SELECT round(quantile_cont(request_time, 0.95), 6) FROM newest) AS p95_last FROM log""",
+         (SELECT round(avg(request_time) + 1e-9, 6) FROM newest) AS mean_last, (SELECT round(quantile_cont(request_time, 0.95) + 1e-9, 6) FROM newest) AS p95_last FROM log""",
     ("log",),
 )
 def _(t):
-    return reports.traffic_summary(t.log).select("total", "errors", *r6("elapsed_seconds", "rate"), "status_counts", *r6("mean_last", "p95_last"))
+    return reports.traffic_summary(t.log).select("total", "errors", *r6("elapsed_seconds", "rate"), "status_counts", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean_last", "p95_last")])
 
 
 @query(
