@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions import signatures as S
-from tracewarden.functions.maths import entropy_term, kolmogorov_tail, normal_tail, ratio
+from tracewarden.functions.maths import kolmogorov_tail, normal_tail, ratio
 from tracewarden.operators.features import bucket_of
 from tracewarden.operators.scale import exact_quantiles
 
@@ -86,10 +86,10 @@ def poisson_distance(counts: DataFrame) -> DataFrame:
 def endpoint_distribution(log: DataFrame, top: int = 10) -> DataFrame:
     """Distinct URIs, their entropy and the most requested ones, as one row."""
     counts = log.groupBy("request_uri").agg(F.count(F.lit(1)).alias("n"))
-    total = log.agg(F.count(F.lit(1))).scalar()
-    share = F.col("n") / F.col("_total")
-    summary = counts.withColumn("_total", total).agg(
-        F.count(F.lit(1)).alias("unique_uris"), F.sum(entropy_term(share, 0.0)).alias("entropy_bits")
+    # -sum(p log2 p) with p = n / N is log2 N - sum(n log2 n) / N: one pass, no second total
+    total = F.sum("n")
+    summary = counts.agg(
+        F.count(F.lit(1)).alias("unique_uris"), (F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy_bits")
     )
     best = counts.orderBy(F.desc("n"), "request_uri").limit(top)
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "request_uri", "n")))

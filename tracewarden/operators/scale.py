@@ -27,13 +27,13 @@ def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], sli
 
     The checkpoint makes the slice numbers data: both the summaries and the rows read the same
     assignment, whatever is recomputed later.  ``order`` must end in a unique column, otherwise
-    duplicates of one full order value share a slice.
+    duplicates of one full order value share a slice.  Without ``slices`` Spark sizes them: it starts
+    from ``spark.sql.shuffle.partitions`` ranges and merges neighbours that turn out small, which keeps
+    every slice a contiguous run.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order]
-    return cut_lineage(
-        df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("slice_id", F.spark_partition_id())
-    )
+    ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    return cut_lineage(ranged.sortWithinPartitions(*by).withColumn("slice_id", F.spark_partition_id()))
 
 
 def prefix_sums(

@@ -28,8 +28,10 @@ def read_labelled_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_daily(df: DataFrame, path: str, time_column: str = "ts", mode: str = "append") -> None:
-    """Sink rolled by day: one ``event_date`` partition per day, several files per large day."""
-    df.withColumn("event_date", F.to_date(time_column)).write.mode(mode).partitionBy("event_date").parquet(path)
+    """Sink rolled by day.  The rebalance gives a small day one file and splits a large one over several
+    tasks, instead of every task writing a file for every day."""
+    dated = df.withColumn("event_date", F.to_date(time_column)).hint("rebalance", F.col("event_date"))
+    dated.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def with_alert_key(df: DataFrame, *columns: str) -> DataFrame:
