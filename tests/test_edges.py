@@ -184,3 +184,40 @@ def test_alert_batch_replay_is_idempotent(spark, tmp_path):
 def test_thresholds_default_when_absent(spark):
     r = files.load_thresholds(spark, None).collect()[0]
     assert r.rate_limit_req_per_min == 30.0 and r.error_rate_threshold == 0.30
+
+
+def test_hot_source_in_distributions_and_sessions(spark):
+    """One address holds half of the rows; results against plain Python."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    rows = [(i, "hot" if i % 2 else f"c{i % 40}", f"/p{rnd.randrange(900)}?x={i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "us long, k string, uri string").repartition(6)
+    counts = features.value_counts(df, ["k"], F.substring_index("uri", "?", 1))
+    got = {r.k: r for r in features.distribution(counts, ["k"], 1e-12, "v").collect()}
+    for k in ("hot", "c0", "c14"):
+        c = Counter(u.split("?")[0] for _, q, u in rows if q == k)
+        total = sum(c.values())
+        assert got[k].v_distinct == len(c)
+        assert abs(got[k].v_entropy + sum(n / total * math.log2(n / total + 1e-12) for n in c.values())) < 1e-9
+        assert abs(got[k].v_gini - (1 - sum((n / total) ** 2 for n in c.values()))) < 1e-9
+    stretched = df.withColumn("us", F.col("us") * F.when(F.col("us") > 2000, 1000).otherwise(1))
+    want = {}
+    for us, k, _ in rows:
+        us = us * 1000 if us > 2000 else us
+        runs = want.setdefault(k, [])
+        if runs and us - runs[-1][1] <= 500:
+            runs[-1] = (runs[-1][0], us, runs[-1][2] + 1)
+        else:
+            runs.append((us, us, 1))
+    found = {}
+    for r in features.sessions(stretched, "k", "us", 500, {}).collect():
+        found.setdefault(r.k, []).append((r.start_us, r.end_us, r.requests))
+    assert {k: sorted(v) for k, v in found.items()} == want
+
+
+def test_profile_lookup():
+    from tracewarden.functions.calibration import profile_columns
+
+    assert profile_columns("Balanced")["alert_at"] == 0.45

@@ -65,11 +65,6 @@ def adaptive_hybrid(events: DataFrame, *, size: int = 10, needed: int = 4, stren
     )
 
 
-def profile_table(spark) -> DataFrame:
-    ddl = "profile string, w_ml double, w_rule double, w_behavior double, alert_at double, escalate_at double, window int, hits int"
-    return spark.createDataFrame(list(C.FUSION_PROFILES), ddl)
-
-
 def profile_scores(events: DataFrame, profiles: Sequence[str] | None = None) -> DataFrame:
     """Score every event under named profiles; alerting rows carry level medium or high.
 
