@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewarden.llm import simhash
+from tracewarden.llm import decontaminate, simhash
+from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
 
 @query("op1_simhash_near_duplicates")
 def op1(read):
     return simhash.near_duplicates(read("documents"))
+
+
+@query("op7_fm_index_decontamination", OP7_SQL)
+def op7(read):
+    found = decontaminate.contamination(read("documents"), read("benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
