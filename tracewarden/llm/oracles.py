@@ -5,12 +5,12 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 OP7_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT item, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 11, 2))) AS at, w FROM b WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item, size, array_to_string(w[at:at + size - 1], ' ') AS k FROM bw),
+bw AS (SELECT item, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 11, 2))) AS p, w FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[p:p + size - 1], ' ') AS k FROM bw),
 sizes AS (SELECT DISTINCT size FROM windows),
-dw AS (SELECT n, size, w, unnest(range(1, len(w) - size + 2)) AS at FROM d JOIN sizes ON len(w) >= size),
-found AS (SELECT dw.n, dw.at, dw.size, windows.item FROM dw JOIN windows ON windows.size = dw.size AND windows.k = array_to_string(dw.w[dw.at:dw.at + dw.size - 1], ' ')),
-spread AS (SELECT DISTINCT n, unnest(range(at, at + size)) AS word FROM (SELECT DISTINCT n, at, size FROM found)),
+dw AS (SELECT n, size, w, unnest(range(1, len(w) - size + 2)) AS p FROM d JOIN sizes ON len(w) >= size),
+found AS (SELECT dw.n, dw.p, dw.size, windows.item FROM dw JOIN windows ON windows.size = dw.size AND windows.k = array_to_string(dw.w[dw.p:dw.p + dw.size - 1], ' ')),
+spread AS (SELECT DISTINCT n, unnest(range(p, p + size)) AS word FROM (SELECT DISTINCT n, p, size FROM found)),
 hits AS (SELECT n, count(*) AS n_hit FROM spread GROUP BY n),
 items AS (SELECT n, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY n)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewarden.llm import decontaminate, simhash
+from tracewarden.llm import decontaminate, quality, simhash
 from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
@@ -23,3 +23,10 @@ def op7(read):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op8_ngram_quality_rules")
+def op8(read):
+    docs = read("documents")
+    found = quality.judge(docs, quality.fit(docs, read("labels")))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
