@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import decontaminate, quality, simhash
+from tracewarden.llm import bpe, decontaminate, quality, simhash
 from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
@@ -30,3 +31,13 @@ def op8(read):
     docs = read("documents")
     found = quality.judge(docs, quality.fit(docs, read("labels")))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query("op9_streaming_bpe")
+def op9(read):
+    found = bpe.tokenize(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
