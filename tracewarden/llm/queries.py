@@ -5,11 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, decontaminate, quality, simhash
+from tracewarden.llm import bpe, decontaminate, quality, secrets, simhash
 from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
 
+def _named(spans):
+    """``kind:start:end``, comma-joined."""
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, text), ",")
+
+
+def _of_kind(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op1_simhash_near_duplicates")
 def op1(read):
     return simhash.near_duplicates(read("documents"))
@@ -41,3 +51,13 @@ def op9(read):
         F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_token_efficiency_secrets")
+def op2(read):
+    found = secrets.scan(read("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *[_of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_named(base), 256).alias("base_sha256"), _named("spans").alias("spans"),
+    )
