@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, decontaminate, quality, secrets, simhash
+from tracewarden.llm import bpe, decontaminate, quality, secrets, simhash, toxicity
 from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
@@ -61,3 +61,15 @@ def op2(read):
         F.col("row.doc_id").alias("doc_id"), *[_of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(_named(base), 256).alias("base_sha256"), _named("spans").alias("spans"),
     )
+
+
+def _fold(column, divisor):
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(divisor))
+
+
+@query("op4_clause_grammar_toxicity")
+def op4(read):
+    docs = read("documents")
+    held_out = _fold("row.doc_id", 3) == 1
+    model = toxicity.fit(docs, read("labels").where(_fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
