@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, decontaminate, quality, secrets, simhash, toxicity
+from tracewarden.llm import bpe, decontaminate, language, quality, secrets, simhash, toxicity
 from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
@@ -73,3 +73,11 @@ def op4(read):
     held_out = _fold("row.doc_id", 3) == 1
     model = toxicity.fit(docs, read("labels").where(_fold("doc_id", 3) != 1))
     return toxicity.score(docs, model).select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op3_ppm_language")
+def op3(read):
+    docs = read("documents")
+    model = language.fit(docs.where((_fold("doc_id", 4) != 2) & F.col("lang").isNotNull()))
+    held_out = (_fold("row.doc_id", 4) == 2).alias("held_out")
+    return language.predict(docs, model).select(F.col("row.doc_id").alias("doc_id"), held_out, "lang_pred", "score")
