@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, decontaminate, language, quality, secrets, simhash, toxicity
+from tracewarden.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, toxicity
 from tracewarden.llm.oracles import OP7_SQL
 from tracewarden.llm.registry import query
 
@@ -16,8 +16,8 @@ def _named(spans):
     return F.array_join(F.transform(spans, text), ",")
 
 
-def _of_kind(kind):
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+def _of_kind(kind, spans="spans"):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 @query("op1_simhash_near_duplicates")
@@ -58,7 +58,7 @@ def op2(read):
     found = secrets.scan(read("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select(
-        F.col("row.doc_id").alias("doc_id"), *[_of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.col("row.doc_id").alias("doc_id"), *[_of_kind(k) for k in ("assign", "access", "hex")],
         F.sha2(_named(base), 256).alias("base_sha256"), _named("spans").alias("spans"),
     )
 
@@ -81,3 +81,11 @@ def op3(read):
     model = language.fit(docs.where((_fold("doc_id", 4) != 2) & F.col("lang").isNotNull()))
     held_out = (_fold("row.doc_id", 4) == 2).alias("held_out")
     return language.predict(docs, model).select(F.col("row.doc_id").alias("doc_id"), held_out, "lang_pred", "score")
+
+
+@query("op10_bilstm_crf_pii")
+def op10(read):
+    docs = read("documents")
+    found = pii.scan(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: ~s["added"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), *[_of_kind(k, base) for k in pii.KINDS], F.sha2(_named(base), 256).alias("base_sha256"), _named("spans").alias("spans"))
