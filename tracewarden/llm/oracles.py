@@ -17,3 +17,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (n) LEFT JOIN items USING (n)
 """
+
+OP6_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn) AS turns FROM t GROUP BY conv_id),
+p AS (SELECT conv_id, len(turns) AS size, unnest(range(1, len(turns) + 1)) AS n, turns FROM c),
+prefixes AS (SELECT n, CAST(turns[1:n] AS VARCHAR) AS k, max(size) AS longest FROM p GROUP BY ALL),
+whole AS (SELECT min(conv_id) AS conv_id, len(turns) AS n, CAST(turns AS VARCHAR) AS k FROM c GROUP BY ALL),
+kept AS (SELECT conv_id FROM whole JOIN prefixes USING (n, k) WHERE longest = n),
+parts AS (SELECT conv_id, unnest(range(0, (len(turns) + 63) // 64)) AS part, turns FROM c SEMI JOIN kept USING (conv_id)),
+cut AS (SELECT conv_id, part, turns[part * 64 + 1:part * 64 + 64] AS own FROM parts)
+SELECT conv_id, part, CAST(len(own) AS BIGINT) AS n_turns,
+       list_aggregate(list_transform(own, lambda t: '<|im_start|>' || t.r || chr(10) || t.x || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
+FROM cut
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, toxicity
-from tracewarden.llm.oracles import OP7_SQL
+from tracewarden.llm import bpe, chat, decontaminate, language, licences, pii, quality, secrets, simhash, toxicity
+from tracewarden.llm.oracles import OP6_SQL, OP7_SQL
 from tracewarden.llm.registry import query
 
 
@@ -89,3 +89,20 @@ def op10(read):
     found = pii.scan(docs, pii.fit(docs))
     base = F.filter("spans", lambda s: ~s["added"])
     return found.select(F.col("row.doc_id").alias("doc_id"), *[_of_kind(k, base) for k in pii.KINDS], F.sha2(_named(base), 256).alias("base_sha256"), _named("spans").alias("spans"))
+
+
+@query("op5_tfidf_licences")
+def op5(read):
+    """Documents as files: a source is a tree of directories; in each, documents of the lowest ids are its licence files."""
+    ident = F.coalesce("doc_id", F.lit(0))
+    number = lambda n: F.floor(ident / n).cast("string")
+    name = F.when(ident % 100 < 4, F.concat(F.lit("LICENSE-"), ident.cast("string"))).otherwise(F.concat(ident.cast("string"), F.lit(".txt")))
+    folder = F.when(ident % 100 < 2, number(1000)).otherwise(F.concat_ws("/", number(1000), number(100)))
+    files = read("documents").select("doc_id", "text", F.concat_ws("/", "source", folder, name).alias("path"))
+    found = licences.scan(files, ["doc_id", "path"])
+    return found.select("row.doc_id", "row.path", "licence", F.round("similarity", 6).alias("similarity"), "origin")
+
+
+@query("op6_snapshot_collapse", OP6_SQL)
+def op6(read):
+    return chat.render(read("conversations"))
