@@ -31,7 +31,8 @@ from tracewarden.llm.passing import attach
 PIECE = 1 << 16
 #: Longer words are not kept in the cache of words, which is emptied when it holds CACHE of them.
 SHORT = 40
-CACHE = 100_000
+CACHE = 400_000
+_NO_MERGE = 1 << 60
 TOKENS = "ids array<int>, decoded string"
 
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -74,23 +75,19 @@ class Merges:
         return max(best.values(), default=0)
 
     def apply(self, symbols: list[str]) -> list[str]:
-        """All merges, lowest rank first, equal ones from left to right."""
+        """All merges, lowest rank first, equal ones from left to right; ``symbols`` may be changed."""
         rank = self.rank
-        if len(symbols) < 24:
-            while len(symbols) > 1:
-                first = min(zip(symbols, symbols[1:]), key=lambda pair: rank.get(pair, 1 << 60))
-                if first not in rank:
-                    break
-                left, right = first
-                out, k = [], 0
-                while k < len(symbols):
-                    if symbols[k] == left and k + 1 < len(symbols) and symbols[k + 1] == right:
-                        out.append(left + right)
-                        k += 2
-                    else:
-                        out.append(symbols[k])
-                        k += 1
-                symbols = out
+        if len(symbols) < 48:
+            get = rank.get
+            ranks = [get(pair, _NO_MERGE) for pair in zip(symbols, symbols[1:])]
+            while ranks and (least := min(ranks)) != _NO_MERGE:
+                k = ranks.index(least)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = get((symbols[k - 1], symbols[k]), _NO_MERGE)
+                if k < len(ranks):
+                    ranks[k] = get((symbols[k], symbols[k + 1]), _NO_MERGE)
             return symbols
         symbols = list(symbols)
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
@@ -178,11 +175,16 @@ class Tokenizer:
         normal = self.normalise(piece)
         return (_ASCII_WORD if normal.isascii() else _ANY_WORD).findall(normal)
 
-    def piece(self, piece: str) -> Iterator[Iterable[int]]:
+    def piece(self, piece: str) -> list[Iterable[int]]:
         """Ids, word by word, of a piece without special tokens that is cut at white space."""
-        known, short = self.cache, self.short
-        for word in self.words(piece):
-            yield known.get(word) or (short(word) if len(word) <= SHORT else self.long(word))
+        words = self.words(piece)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            for k, word in enumerate(words):
+                if found[k] is None:
+                    # a word may come again in the piece
+                    found[k] = self.cache.get(word) or (self.short(word) if len(word) <= SHORT else self.long(word))
+        return found
 
     def encode(self, text: str) -> Iterator[Iterable[int]]:
         """Ids of a text, in groups."""
@@ -217,19 +219,19 @@ class Encoder:
     def _ready(self, text: str) -> Iterator[Iterable[int]]:
         tok, at = self.tokenizer, 0
         for special in tok.specials.finditer(text):
-            yield from self._plain(text, at, special.start())
+            yield from self._plain(text[at : special.start()])
             yield (tok.special[special[0]],)
             at = special.end()
-        yield from self._plain(text, at, len(text))
+        yield from self._plain(text[at:])
 
-    def _plain(self, text: str, at: int, end: int) -> Iterator[Iterable[int]]:
-        while end - at > PIECE:  # before white space nothing composes and no word goes on
-            space = _SPACE.search(text, at + PIECE, end)
-            cut = space.start() if space else end
+    def _plain(self, text: str) -> Iterator[Iterable[int]]:
+        at = 0
+        while len(text) - at > PIECE:  # before white space nothing composes and no word goes on
+            space = _SPACE.search(text, at + PIECE)
+            cut = space.start() if space else len(text)
             yield from self.tokenizer.piece(text[at:cut])
             at = cut
-        if at < end:
-            yield from self.tokenizer.piece(text[at:end] if at or end < len(text) else text)
+        yield from self.tokenizer.piece(text[at:])
 
 
 class Decoder:
