@@ -155,7 +155,7 @@ def _portions(tests: DataFrame, id_col: str, text_col: str) -> Iterator[Phrases]
     keyed = tests.select(item.alias("item"), F.col(text_col).cast("string").alias("body"), group.alias("group"), size.alias("size"))
     so_far = Window.partitionBy("group").orderBy("item", "body").rowsBetween(Window.unboundedPreceding, 0)
     keyed = cut_lineage(keyed.distinct().withColumn("share", F.floor(F.sum("size").over(so_far) / PORTION)))
-    for key in keyed.select("group", "share").distinct().orderBy("group", "share").toLocalIterator():
+    for key in keyed.select("group", "share").distinct().orderBy("group", "share").collect():
         rows = keyed.where((F.col("group") == key[0]) & (F.col("share") == key[1])).select("item", "body").collect()
         yield Phrases([r[0] for r in rows], [r[1] for r in rows])
 
