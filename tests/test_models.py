@@ -57,7 +57,7 @@ def test_split_keeps_class_shares(spark):
         assert abs(parts[(y, "test")] / (parts[(y, "test")] + parts[(y, "train")]) - 0.2) < 0.05
 
 
-def test_walks_follow_edges_and_embeddings_cover_vertices(spark):
+def test_walks_follow_edges(spark):
     edges = spark.createDataFrame([(f"h{i % 5}", f"d{(i * 7) % 11}") for i in range(40)], "src string, dst string")
     linked = {tuple(sorted((r.src, r.dst))) for r in edges.collect()}
     walks = graph.random_walks(edges, walks=2, length=6)
@@ -65,8 +65,6 @@ def test_walks_follow_edges_and_embeddings_cover_vertices(spark):
     names = {x for e in linked for x in e}
     assert len(rows) == 2 * len(names) and all(len(r.path) == 6 and r.path[0] == r.start for r in rows)
     assert all(tuple(sorted(p)) in linked for r in rows for p in zip(r.path, r.path[1:], strict=False))
-    vectors = graph.walk_embeddings(walks, width=8).collect()
-    assert {v.id for v in vectors} == names and all(len(v.vector) == 8 for v in vectors)
 
 
 def test_neighbour_means_of_a_small_graph(spark):
@@ -74,3 +72,19 @@ def test_neighbour_means_of_a_small_graph(spark):
     vectors = spark.createDataFrame([("b", [3.0, 0.0]), ("c", [0.0, 3.0])], "id string, vector array<double>")
     got = {r.pos: r.value for r in graph.neighbour_means(edges, vectors, hops=1, normalise=False).collect()}
     assert got == {0: 1.0, 1: 2.0}
+
+
+def test_small_tables_reach_every_tree(spark):
+    for n in (1, 200, 700):
+        df = planted(spark, n, 0)
+        nodes = forest.fit(df, "row_id", COLS, trees=12)
+        assert {r.sampled for r in nodes.select("sampled").distinct().collect()} == {min(n, forest.PSI)}
+        assert nodes.select("tree").distinct().count() == 12
+
+
+def test_student_quantiles_for_any_number_of_folds(spark):
+    # printed tables of the distribution
+    for freedom, value in ((1, 12.7062), (2, 4.3027), (9, 2.2622), (10, 2.2281), (30, 2.0423)):
+        assert abs(forest.student_975(freedom) - value) < 1e-4
+    folds = spark.createDataFrame([(0.5, 0.5, 0.5)], "f1 double, precision double, tpr double")
+    assert forest.summarise_folds(folds, 1).first().f1_low is None

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 # search and validation jobs without SQL; test_models.py runs their parts on planted data
-SLOW = {"ml06_grid_search", "ml07_cross_validation", "ml08_learning_curve", "ml09_augmented_training", "ml11_permutation_importance", "gr04_walk_embeddings"}
+SLOW = {"ml06_grid_search", "ml07_cross_validation", "ml08_learning_curve", "ml09_augmented_training", "ml11_permutation_importance"}
 
 
 @pytest.fixture(scope="module")

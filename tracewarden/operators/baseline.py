@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions import signatures as S
-from tracewarden.functions.maths import kolmogorov_tail, normal_tail, ratio
+from tracewarden.functions.maths import kolmogorov_tail, ratio
 from tracewarden.operators.features import bucket_of
 from tracewarden.operators.scale import exact_quantiles
 
@@ -56,27 +56,38 @@ def request_frequency(observations: DataFrame) -> DataFrame:
 def poisson_distance(counts: DataFrame) -> DataFrame:
     """Kolmogorov distance between counts and Poisson(mean), from rows ``n, weight``.
 
-    ``counts`` has one row per distinct requests-per-window value.  The law is accumulated up to each
-    value inside the row, so the comparison needs no join; the empirical side is a running share over
-    the distinct values.
+    ``counts`` has one row per distinct requests-per-window value.  The law is accumulated inside the row over as
+    many terms as the spread of the law has, so the comparison needs no join; the empirical side is a running share
+    over the distinct values.
     """
     from tracewarden.operators.scale import prefix_sums
 
     ranked = prefix_sums(counts, [], ["n"], {"_cum": F.col("weight"), "_events": F.col("n") * F.col("weight")}, totals=True)
     ranked = ranked.withColumnRenamed("_cum_total", "_total").withColumn("_lam", F.col("_events_total") / F.col("_total"))
-    # sum of exp(-lam) lam^i / i! for i = 0..n, each term from the previous one; far beyond the mean the
-    # law is 1 to double precision, and for a large mean it is normal
-    lam = F.col("_lam")
-    law = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.ceil(lam + 40 * F.sqrt(lam) + 100)), F.lit(1))),
-        F.struct(F.exp(-lam).alias("term"), F.exp(-lam).alias("sum")),
-        lambda acc, i: F.struct((acc["term"] * lam / i).alias("term"), (acc["sum"] + acc["term"] * lam / i).alias("sum")),
-    )
-    upto = (
-        F.when(lam > 500, 1.0 - normal_tail((F.col("n") + 0.5 - lam) / F.sqrt(lam)))
-        .when(F.col("n") >= 1, law["sum"])
-        .otherwise(F.exp(-lam))
-    )
+    # Terms are taken relative to the one at the mean and followed both ways until they are below 1e-300 of it, so
+    # one law holds for any mean; their sum makes up for the missing factor.
+    lam, n = F.col("_lam"), F.col("n")
+    centre = F.floor(lam)
+    reach = F.ceil(40 * F.sqrt(lam) + 400).cast("long")
+
+    def follow(indices, factor):
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("all"), F.lit(0.0).alias("upto"))
+
+        def add(acc, i):
+            term = acc["term"] * factor(i)
+            upto = acc["upto"] + F.when(index(i) <= n, term).otherwise(0.0)
+            return F.struct(term.alias("term"), (acc["all"] + term).alias("all"), upto.alias("upto"))
+
+        index = (lambda i: i) if indices is ahead else (lambda i: i - 1)
+        return F.aggregate(indices, start, add)
+
+    none = F.array().cast("array<bigint>")
+    ahead = F.sequence(centre + 1, centre + reach)
+    back = F.when(centre >= 1, F.sequence(centre, F.greatest(centre - reach, F.lit(0)) + 1, F.lit(-1).cast("long"))).otherwise(none)
+    up = follow(ahead, lambda i: lam / i)
+    down = follow(back, lambda i: i / lam)
+    middle = F.when(centre <= n, 1.0).otherwise(0.0)
+    upto = (up["upto"] + down["upto"] + middle) / (up["all"] + down["all"] + 1.0)
     # the distance is taken on both sides of every observed value, against the law at that value
     above = F.col("_cum") / F.col("_total") - upto
     below = upto - (F.col("_cum") - F.col("weight")) / F.col("_total")

@@ -36,11 +36,11 @@ def psi(expected: DataFrame, actual: DataFrame, bins: int = 10) -> DataFrame:
     """Population stability per feature over the deduplicated quantile bins of ``expected``.
 
     Values outside the expected range are ignored, the last bin is closed, fewer than three edges give 0.
-    Edges are rounded to nine places so that interpolation noise cannot split equal edges.
+    Edges are compared exactly: between equal values interpolation gives that very value.
     """
     quantiles = exact_quantiles(expected, ["feature"], "value", [i / bins for i in range(bins + 1)])
     # at most bins + 1 numbers per feature
-    edges = cut_lineage(quantiles.groupBy("feature").agg(F.sort_array(F.collect_set(F.round("quantile", 9))).alias("edges")))
+    edges = cut_lineage(quantiles.groupBy("feature").agg(F.sort_array(F.collect_set("quantile")).alias("edges")))
     last = F.element_at("edges", -1)
     placed = (
         two_sample_counts(expected, actual)

@@ -91,9 +91,16 @@ def flow_windows(flows: DataFrame, width_us: int, entity: str = "src_ip", us: st
 
 
 def fill_gaps(windows: DataFrame, entity: str, zeros: Sequence[str], keep_null: Sequence[str] = ()) -> DataFrame:
-    """Every window between an entity's first and last; sums and counts of empty ones are 0, means stay null."""
-    span = windows.groupBy(entity).agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
-    grid = span.select(entity, F.explode(F.sequence("_a", "_b")).alias("bucket"))
+    """Every window between an entity's first and last; sums and counts of empty ones are 0, means stay null.
+
+    Window 0 holds the events without a usable time: it is kept, but it does not stretch the time line.
+    """
+    timed = F.when(F.col("bucket") != 0, F.col("bucket"))
+    span = windows.groupBy(entity).agg(F.min(timed).alias("_a"), F.max(timed).alias("_b"), F.max(F.col("bucket") == 0).alias("_zero"))
+    none = F.array().cast("array<bigint>")
+    line = F.when(F.col("_a").isNotNull(), F.sequence("_a", "_b")).otherwise(none)
+    at_zero = F.when(F.col("_zero"), F.array(F.lit(0).cast("long"))).otherwise(none)
+    grid = span.select(entity, F.explode(F.array_union(at_zero, line)).alias("bucket"))
     return grid.join(windows, [entity, "bucket"], "left").select(
         entity, "bucket", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in zeros], *keep_null
     )
@@ -196,8 +203,11 @@ def sessions(log: DataFrame, key: str, us: str, gap_us: int, sums: dict[str, Col
     )
 
 
-def window_extras(log: DataFrame, width_us: int, burst_us: int = 1_000_000) -> DataFrame:
-    """Per address and window: bytes per request, busiest second, path depth, auth-failure share, agent entropy."""
+def window_extras(log: DataFrame, width_us: int, burst_us: int = 1_000_000, last_us: int = 10_000_000) -> DataFrame:
+    """Per address and window: bytes per request, burst, path depth, auth-failure share, agent entropy.
+
+    The burst is the busiest second (``burst_us``) of the window's last ten (``last_us``), 0 if they are empty.
+    """
     b = log.withColumn("bucket", bucket_of(F.col("us"), width_us)).withColumnRenamed("remote_addr", "ip")
     keys = ["ip", "bucket"]
     depth = F.size(F.split(S.uri_path(F.col("request_uri")), "/")) - 1
@@ -207,10 +217,11 @@ def window_extras(log: DataFrame, width_us: int, burst_us: int = 1_000_000) -> D
         F.avg(depth).alias("path_depth"),
         ratio(F.count_if(F.col("status").isin(401, 403) & S.is_auth_endpoint(F.col("request_uri"))), F.count(F.lit(1))).alias("auth_failure_rate"),
     )
-    seconds = b.groupBy(*keys, F.floor(F.col("us") / F.lit(burst_us)).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    late = F.col("us") >= (F.col("bucket") + 1) * width_us - last_us
+    seconds = b.filter(late).groupBy(*keys, F.floor(F.col("us") / F.lit(burst_us)).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     burst = seconds.groupBy(*keys).agg(F.max("_n").alias("connection_burst"))
     agents = distribution(value_counts(b, keys, F.coalesce("http_user_agent", F.lit(""))), keys, 1e-12, "ua").select(*keys, "ua_entropy")
-    return base.join(burst, keys).join(agents, keys)
+    return base.join(burst, keys, "left").join(agents, keys).withColumn("connection_burst", F.coalesce("connection_burst", F.lit(0)))
 
 
 def rolling_deviation(windows: DataFrame, key: str, value: str, back: int) -> DataFrame:

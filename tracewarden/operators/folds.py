@@ -35,13 +35,14 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _slices_with_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None) -> DataFrame:
-    keyed = df.withColumn("fold_key", F.concat_ws("\u001f", *[F.col(k).cast("string") for k in keys]))
+    # JSON tells a null part from an empty one and one part from another
+    keyed = df.withColumn("fold_key", F.to_json(F.struct(*keys)))
     return ordered_slices(keyed, ["fold_key"], order, slices)
 
 
 def _enter(cut: DataFrame, entries: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Attach entry states; ``entries`` holds at most two rows per slice, hence the broadcast."""
-    return cut.join(F.broadcast(entries.select("slice_id", "fold_key", *columns)), ["slice_id", "fold_key"], "left")
+    """Attach entry states; ``entries`` holds a row for each slice and key that is open at a border."""
+    return cut.join(entries.select("slice_id", "fold_key", *columns), ["slice_id", "fold_key"], "left")
 
 
 # --------------------------------------------------------------------------------------------------

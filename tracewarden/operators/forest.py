@@ -23,14 +23,11 @@ from tracewarden.session import cut_lineage
 
 PSI = 256  # rows per tree
 DEPTH = 8  # ceil(log2(PSI))
-OVERSAMPLE = 1.3
+OVERSAMPLE = 1.5
 # Search grid.
 GRID_TREES = (50, 100, 150, 200)
 GRID_CONTAMINATION = (0.05, 0.10, 0.15, 0.20)
 GRID_MAX_FEATURES = (0.5, 0.75, 1.0)
-# 97.5 % quantiles of Student's t for 1 to 9 degrees of freedom.
-T_975 = (12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622)
-
 NODES = "grp string, tree int, node int, feature int, threshold double, child int, size int, sampled int"
 
 
@@ -74,27 +71,29 @@ def _grow(features: Sequence[str], max_features: float, seed: int):
 
 
 def fit(df: DataFrame, id_column: str, features: Sequence[str], *, trees: int = 100, max_features: float = 1.0, seed: int = 42, group: str | None = None) -> DataFrame:
-    """Node table of one forest, or of one forest per value of ``group``.
+    """Node table of one forest, or of one forest per value of ``group`` (a few values: their row counts are a map).
 
-    Every row draws its trees by hash, about ``PSI`` rows per tree and forest, so only sampled rows are
-    shuffled and the same seed gives the same forest.
+    A tree sees ``PSI`` rows, or all if there are fewer.  Every row draws its trees by hash, about ``PSI *
+    OVERSAMPLE`` rows per tree and forest, so only sampled rows are shuffled and the same seed gives the same
+    forest.  Where the rows are so few that a draw could leave a tree short, each row goes to every tree.
     """
     keyed = df.select(F.col(id_column).alias("_id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), *features)
-    sizes = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("grp").isNotNull())
+    sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct("grp", "n")))).scalar()
     want = F.col("_want")
+    rows = keyed.filter(F.col("grp").isNotNull()).withColumn("_rows", F.element_at(sizes, F.col("grp")))
+    few = F.col("_rows") <= 4 * PSI
     copies = (
-        keyed.join(sizes, "grp")
-        .withColumn("_want", F.lit(trees * PSI * OVERSAMPLE) / F.col("_rows"))
-        .withColumn("_copies", F.least(F.ceil(want), F.lit(4 * trees)).cast("int"))
+        rows.withColumn("_want", F.lit(trees * PSI * OVERSAMPLE) / F.col("_rows"))
+        .withColumn("_copies", F.when(few, trees).otherwise(F.least(F.ceil(want), F.lit(4 * trees))).cast("int"))
         .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     )
     h = F.xxhash64("_id", "grp", "_c", F.lit(seed))
-    drawn = copies.filter(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < want / F.col("_copies")).withColumn(
-        "tree", F.pmod(F.xxhash64("_id", "_c", "grp", F.lit(seed + 1)), F.lit(trees)).cast("int")
-    )
+    tree = F.when(few, F.col("_c") - 1).otherwise(F.pmod(F.xxhash64("_id", "_c", "grp", F.lit(seed + 1)), F.lit(trees)))
+    drawn = copies.filter(few | (F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < want / F.col("_copies"))).withColumn("tree", tree.cast("int"))
     once = drawn.dropDuplicates(["grp", "tree", "_id"])
     # about PSI * OVERSAMPLE rows per tree reach this window
-    order = Window.partitionBy("grp", "tree").orderBy(F.xxhash64("_id", F.lit(seed + 2)), "_id")
+    order = Window.partitionBy("grp", "tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed + 2)), "_id")
     sample = once.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PSI)
     return sample.select("grp", "tree", "_id", *features).groupBy("grp", "tree").applyInPandas(_grow(features, max_features, seed), NODES)
 
@@ -189,6 +188,11 @@ def search(df: DataFrame, id_column: str, label: str, features: Sequence[str], *
     return out.orderBy(F.desc("f1"), "max_features", "trees", "contamination")
 
 
+def _cut_map(cuts: DataFrame, key: str):
+    """The cuts of a few forests as one scalar map."""
+    return cuts.agg(F.map_from_entries(F.collect_list(F.struct(key, "quantile")))).scalar()
+
+
 def cross_validate(df: DataFrame, id_column: str, label: str, features: Sequence[str], *, k: int = 5, trees: int = 100, contamination: float = 0.1, max_features: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Per-fold metrics and their summary with a t interval.  All fold forests grow in one job."""
     folded = cut_lineage(df.select(id_column, label, *features).withColumn("fold", stable_hash(id_column, seed=seed) % k))
@@ -197,14 +201,34 @@ def cross_validate(df: DataFrame, id_column: str, label: str, features: Sequence
     # each forest also scores its training rows, whose quantile is the cut
     scored = cut_lineage(score(folded.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))), nodes, features, group="held"))
     cuts = exact_quantiles(scored.filter("held <> fold"), ["held"], "score", [1 - contamination])
-    judged = scored.filter("held = fold").join(cuts.select("held", "quantile"), "held").withColumn("predicted", (F.col("score") > F.col("quantile")).cast("int"))
+    judged = scored.filter("held = fold").withColumn("predicted", (F.col("score") > F.element_at(_cut_map(cuts, "held"), F.col("held"))).cast("int"))
     folds = evaluation.rates(evaluation.confusion(judged, label, "predicted", ["fold"]))
     return folds, summarise_folds(folds, k)
 
 
+def student_975(freedom: int) -> float:
+    """97.5 % quantile of Student's t: bisection on its density, integrated by Simpson's rule."""
+    scale = math.exp(math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2)) / math.sqrt(freedom * math.pi)
+    steps = 2000
+
+    def below(x: float) -> float:
+        # with u = x / sqrt(f) * tan the integral is over an angle and smooth for any degree of freedom
+        top = math.atan(x / math.sqrt(freedom))
+        weight = lambda i: 1 if i in (0, steps) else 4 if i % 2 else 2
+        total = sum(weight(i) * math.cos(top * i / steps) ** (freedom - 1) for i in range(steps + 1))
+        return 0.5 + scale * math.sqrt(freedom) * total * top / steps / 3
+
+    low, high = 0.0, 20.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < 0.975 else (low, middle)
+    return high
+
+
 def summarise_folds(folds: DataFrame, k: int) -> DataFrame:
+    """Means over the folds with a t interval; a single fold has none."""
     row = folds.agg(F.avg("f1").alias("mean_f1"), F.stddev_samp("f1").alias("std_f1"), F.avg("precision").alias("mean_precision"), F.avg("tpr").alias("mean_recall"))
-    margin = F.lit(T_975[k - 2]) * F.col("std_f1") / math.sqrt(k)
+    margin = F.lit(student_975(k - 1) if k > 1 else None).cast("double") * F.col("std_f1") / math.sqrt(k)
     return row.withColumns({"f1_low": F.col("mean_f1") - margin, "f1_high": F.col("mean_f1") + margin})
 
 
@@ -218,7 +242,7 @@ def learning_curve(df: DataFrame, id_column: str, label: str, features: Sequence
     nodes = fit(grown.filter(train), id_column, features, trees=trees, seed=seed, group="size")
     scored = cut_lineage(score(grown.filter(train | (F.col("part") == "test")), nodes, features, group="size"))
     cuts = exact_quantiles(scored.filter("part = 'train'"), ["size"], "score", [1 - contamination])
-    judged = scored.filter("part = 'test'").join(cuts.select("size", "quantile"), "size").withColumn("predicted", (F.col("score") > F.col("quantile")).cast("int"))
+    judged = scored.filter("part = 'test'").withColumn("predicted", (F.col("score") > F.element_at(_cut_map(cuts, "size"), F.col("size"))).cast("int"))
     return evaluation.rates(evaluation.confusion(judged, label, "predicted", ["size"])).orderBy("size")
 
 

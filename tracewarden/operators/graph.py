@@ -60,21 +60,22 @@ def both_directions(edges: DataFrame) -> DataFrame:
 def neighbour_means(edges: DataFrame, vectors: DataFrame, hops: int = 2, normalise: bool = True, places: int | None = None) -> DataFrame:
     """Replace each vertex' vector by the mean over its out-neighbours, ``hops`` times, then scale to length 1.
 
-    Vectors travel exploded to (id, position, value): the mean is a plain aggregate that combines before
-    the shuffle, so a hub is never gathered into one task.  Parallel edges count once each.
+    Whole vectors travel, weighted by the number of parallel edges; the mean is an aggregate that combines before
+    the shuffle, so a hub is never gathered into one task.  Cells of the result are (id, pos, value).
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
-    cells = vectors.select("id", F.posexplode("vector").alias("pos", "value"))
+    now = vectors.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
     for _ in range(hops):
-        sums = (
-            pairs.join(cells, pairs.dst == cells.id)
-            .groupBy(F.col("src").alias("id"), "pos")
-            .agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("value"))
-        )
-        cells = sums
+        met = pairs.join(now, pairs.dst == now.id).select(F.col("src").alias("id"), "vector", F.col("times").cast("double").alias("times"))
+        now = met.groupBy("id").agg(Summarizer.mean(F.col("vector"), F.col("times")).alias("vector"))
+    cells = now.select("id", vector_to_array("vector").alias("a"))
     if normalise:
-        norms = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-        cells = cells.join(norms, "id").select("id", "pos", ratio(F.col("value"), F.col("norm")).alias("value"))
+        norm = F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x))
+        cells = cells.withColumn("_n", norm).select("id", F.transform("a", lambda x: ratio(x, F.col("_n"))).alias("a"))
+    cells = cells.select("id", F.posexplode("a").alias("pos", "value"))
     return cells if places is None else cells.withColumn("value", F.round("value", places))
 
 
@@ -124,47 +125,26 @@ def sequences(windows: DataFrame, entity: str, order: str, value: str, length: i
 def random_walks(edges: DataFrame, *, walks: int = 10, length: int = 40, seed: int = 7, cut_every: int = 8) -> DataFrame:
     """Uniform random walks as (walk, start, path array) over the undirected graph.
 
-    All walks advance together: one equi-join per step on (vertex, hashed index of the neighbour), so a hub is
-    spread over its neighbours' indexes.  Lineage is cut every few steps.
+    All walks advance together: one equi-join per step on (vertex, index of the neighbour), so a hub is spread over
+    its neighbours' indexes; every neighbour row carries its own degree for the next draw.  Draws are md5 values of
+    start, walk, step and seed, so any engine can repeat them.  Lineage is cut every few steps.
     """
     linked = both_directions(edges.select("src", "dst").distinct()).distinct()
     from tracewarden.operators.scale import prefix_sums
 
     # number every vertex' neighbours without gathering them
-    numbered = prefix_sums(linked, ["src"], ["dst"], {"at": F.lit(1)}).select(
-        F.col("src").alias("node"), (F.col("at") - 1).cast("long").alias("at"), F.col("dst").alias("next")
+    numbered = prefix_sums(linked, ["src"], ["dst"], {"at": F.lit(1)}, totals=True).select(
+        F.col("src").alias("node"), (F.col("at") - 1).cast("long").alias("at"), F.col("dst").alias("next"), F.col("at_total").alias("degree")
     )
     numbered = cut_lineage(numbered)
-    degree = cut_lineage(numbered.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
-    state = degree.select(
-        F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.col("node").alias("start"), "node", F.array("node").alias("path")
-    )
+    degrees = numbered.filter("at = 0").select("node", "degree")
+    steps = cut_lineage(numbered.select("node", "at", "next").join(degrees.withColumnsRenamed({"node": "next"}), "next"))
+    state = degrees.select(F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.col("node").alias("start"), "node", "degree", F.array("node").alias("path"))
     for step in range(1, length):
-        drawn = state.join(degree, "node").withColumn(
-            "at", F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.col("degree"))
-        )
-        state = drawn.join(numbered, ["node", "at"]).select(
-            "walk", "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")
+        drawn = state.withColumn("at", stable_hash("start", "walk", F.lit(step), seed=seed) % F.col("degree")).drop("degree")
+        state = drawn.join(steps, ["node", "at"]).select(
+            "walk", "start", F.col("next").alias("node"), "degree", F.concat("path", F.array("next")).alias("path")
         )
         if step % cut_every == 0:
             state = cut_lineage(state)
     return state.select("walk", "start", "path")
-
-
-def walk_embeddings(walks: DataFrame, *, width: int = 64, window: int = 5, partitions: int | None = None, seed: int = 7, max_cells: int = 200_000_000) -> DataFrame:
-    """Skip-gram vectors of the vertices on the walks, as (id, vector).
-
-    Spark's trainer keeps one vector per vertex on the driver and in every task; graphs whose vectors would
-    exceed ``max_cells`` numbers are refused rather than attempted.
-    """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    vertices = walks.select("start").distinct().count()
-    if vertices * width > max_cells:
-        raise ValueError(f"{vertices} vertices of width {width} exceed {max_cells} cells")
-    parts = partitions or int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = Word2Vec(
-        vectorSize=width, windowSize=window, minCount=1, numPartitions=parts, maxIter=1, seed=seed, inputCol="path", outputCol="unused"
-    ).fit(walks.repartition(parts, "start", "walk"))
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vector"))

@@ -6,7 +6,7 @@ and shuffles it otherwise, so a lookup table may grow without changing the code.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +34,16 @@ def technique_coverage(alerts: DataFrame) -> DataFrame:
     return per.agg(F.max("covered").alias("covered"), F.coalesce(F.sum("n"), F.lit(0)).alias("alerts")).withColumn("coverage", share)
 
 
-def normalised_intel(reports: DataFrame, malicious_above: float = 50) -> DataFrame:
-    """Vendor reports to one record per address, the highest raw score winning."""
+def normalised_intel(reports: DataFrame, malicious_above: Mapping[str, float] | None = None, otherwise: float = 50) -> DataFrame:
+    """Vendor reports to one record per address, the highest raw score winning.
+
+    A record is malicious above the threshold of its source; sources not named have ``otherwise``.
+    """
     best = reports.groupBy("ip").agg(F.max_by(F.struct("source", "raw_score", "confidence", "tags"), F.struct("raw_score", "source")).alias("r"))
-    return best.select("ip", "r.*").withColumn("malicious", F.col("raw_score") > malicious_above)
+    above = F.lit(float(otherwise))
+    for source, score in (malicious_above or {}).items():
+        above = F.when(F.col("source") == source, float(score)).otherwise(above)
+    return best.select("ip", "r.*").withColumn("malicious", F.col("raw_score") > above)
 
 
 def enrich(df: DataFrame, intel: DataFrame, ip: str) -> DataFrame:

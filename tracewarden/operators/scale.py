@@ -46,7 +46,7 @@ def prefix_sums(
 ) -> DataFrame:
     """Append the inclusive running sum of every expression in ``sums`` per ``keys`` along ``order``.
 
-    Keys must not be null.  Running sums are local to a slice; the offset of a slice is the total
+    A null key is a key of its own.  Running sums are local to a slice; the offset of a slice is the total
     of the earlier slices of the same key, which exists only for the first key of a slice, so the
     joined offset table has at most one row per slice.  ``totals`` also appends ``{name}_total``, the
     sum over the whole key, from the same per-slice summaries (one row per slice and key).
@@ -67,7 +67,11 @@ def prefix_sums(
     if not totals:
         offsets = offsets.filter(F.col(f"_off_{names[0]}").isNotNull())
     local = Window.partitionBy("slice_id", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, ["slice_id", *keys], "left").select(
+    at = offsets.withColumnsRenamed({"slice_id": "_slice"} | {k: f"_key{i}" for i, k in enumerate(keys)})
+    same = F.col("slice_id") == F.col("_slice")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return cut.join(at, same, "left").select(
         *df.columns,
         *[(F.sum(f"_in_{n}").over(local) + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in names],
         *[f"{n}_total" for n in names if totals],

@@ -349,19 +349,20 @@ def _(t):
 @query(
     "agg34_window_extras",
     f"""SELECT ip, bucket, requests, round(byte_ratio, 6) AS byte_ratio, round(path_depth, 6) AS path_depth, round(auth_failure_rate, 6) AS auth_failure_rate,
-          connection_burst, round(ua_entropy, 6) AS ua_entropy, round(CASE WHEN sd > 0 THEN (requests - mu) / sd ELSE 0 END, 6) AS baseline_deviation
+          coalesce(burst, 0) AS connection_burst, round(ua_entropy, 6) AS ua_entropy, round(CASE WHEN sd > 0 THEN (requests - mu) / sd ELSE 0 END, 6) AS baseline_deviation
         FROM (SELECT *, avg(requests) OVER w AS mu, stddev_samp(requests) OVER w AS sd FROM (
           SELECT remote_addr AS ip, us // {DAY} AS bucket, count(*) AS requests, avg(body_bytes_sent) AS byte_ratio,
             avg(len(string_split(split_part(request_uri, '?', 1), '/')) - 1) AS path_depth,
             avg(CASE WHEN status IN (401, 403) AND request_uri = '/login' THEN 1.0 ELSE 0.0 END) AS auth_failure_rate FROM log GROUP BY 1, 2)
-          JOIN (SELECT ip, bucket, max(n) AS connection_burst FROM (SELECT remote_addr AS ip, us // {DAY} AS bucket, us // 1000000 AS s, count(*) AS n FROM log GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (ip, bucket)
+          LEFT JOIN (SELECT ip, bucket, max(n) AS burst FROM (SELECT remote_addr AS ip, us // {DAY} AS bucket, us // {DAY // 60} AS s, count(*) AS n FROM log
+            WHERE us % {DAY} >= {DAY - DAY // 6} GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (ip, bucket)
           JOIN (SELECT ip, bucket, -sum(p * log2(p + 1e-12)) AS ua_entropy FROM (SELECT ip, bucket, n / sum(n) OVER (PARTITION BY ip, bucket) AS p FROM (
             SELECT remote_addr AS ip, us // {DAY} AS bucket, http_user_agent, count(*) AS n FROM log GROUP BY 1, 2, 3)) GROUP BY 1, 2) USING (ip, bucket)
           WINDOW w AS (PARTITION BY ip ORDER BY bucket RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
     ("log",),
 )
 def _(t):
-    df = features.rolling_deviation(features.window_extras(t.log, DAY), "ip", "requests", 7)
+    df = features.rolling_deviation(features.window_extras(t.log, DAY, DAY // 60, DAY // 6), "ip", "requests", 7)
     return df.select("ip", "bucket", "requests", "connection_burst", *r6("byte_ratio", "path_depth", "auth_failure_rate", "ua_entropy", "baseline_deviation"))
 
 

@@ -35,8 +35,10 @@ VIEWS["psi"] = (("long",), """
     SELECT feature, bin, greatest(e / (sum(e) OVER f + 1e-6::DOUBLE), 1e-6::DOUBLE) AS pe, greatest(a / (sum(a) OVER f + 1e-6::DOUBLE), 1e-6::DOUBLE) AS pa FROM (
       SELECT b.feature, b.bin, count(*) FILTER (WHERE early) AS e, count(*) FILTER (WHERE NOT early) AS a FROM (
         SELECT feature, unnest(range(len(edges) - 1)) AS bin, unnest(edges[1:len(edges) - 1]) AS lo, unnest(edges[2:]) AS hi, len(edges) AS k FROM (
-          SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda q: round(q, 9)))) AS edges
-          FROM long WHERE early GROUP BY 1) WHERE len(edges) >= 3) b
+          SELECT feature, list_sort(list_distinct(list_transform(range(11), lambda i: s[CAST(floor(i / 10.0::DOUBLE * (len(s) - 1)) AS BIGINT) + 1]
+            + (s[CAST(ceil(i / 10.0::DOUBLE * (len(s) - 1)) AS BIGINT) + 1] - s[CAST(floor(i / 10.0::DOUBLE * (len(s) - 1)) AS BIGINT) + 1])
+            * (i / 10.0::DOUBLE * (len(s) - 1) - floor(i / 10.0::DOUBLE * (len(s) - 1)))))) AS edges
+          FROM (SELECT feature, list(value ORDER BY value) AS s FROM long WHERE early GROUP BY 1)) WHERE len(edges) >= 3) b
       LEFT JOIN long l ON l.feature = b.feature AND l.value >= b.lo AND (l.value < b.hi OR (b.bin = b.k - 2 AND l.value <= b.hi)) GROUP BY 1, 2)
     WINDOW f AS (PARTITION BY feature)) USING (feature) GROUP BY 1""")
 VIEWS["ks"] = (("long",), """

@@ -66,24 +66,36 @@ def supply(t):
     )
 
 
-@query("gr04_walk_embeddings")
+_DRAW = "CAST('0x' || substr(md5(concat_ws('|', {}, '7')), 1, 7) AS BIGINT)"
+
+
+@query(
+    "gr04_random_walks",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT remote_addr AS src, split_part(request_uri, '?', 1) AS dst FROM log),
+       both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+       n AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS degree FROM both_ways),
+       w AS (SELECT src AS start, walk, 0 AS step, src AS node, src AS path FROM (SELECT DISTINCT src FROM n), range(1, 4) r(walk)
+         UNION ALL SELECT w.start, w.walk, w.step + 1, n.dst, w.path || ' ' || n.dst FROM w JOIN n ON n.src = w.node AND n.i = {_DRAW.format('w.start, w.walk, w.step + 1')} % n.degree WHERE w.step < 9)
+       SELECT start, CAST(walk AS INTEGER) AS walk, path FROM w WHERE step = 9""",
+    ("log",),
+)
 def _(t):
     links = t.log.select(F.col("remote_addr").alias("src"), S.uri_path(F.col("request_uri")).alias("dst"))
-    vectors = graph.walk_embeddings(graph.random_walks(links, walks=10, length=40))
-    return vectors.select("id", F.size("vector").alias("width"))
+    return graph.random_walks(links, walks=3, length=10).select("start", "walk", F.array_join("path", " ").alias("path"))
 
 
 @query(
     "gr05_neighbour_means",
     """WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*) AS times FROM lineitem GROUP BY 1, 2),
        pairs AS (SELECT * FROM e UNION ALL SELECT dst, src, times FROM e),
-       v AS (SELECT id, unnest(vec) AS value, unnest(range(64)) AS pos FROM (SELECT 'p' || p_partkey AS id, CAST(embedding AS DOUBLE[]) AS vec FROM part JOIN embeddings ON vec_id = p_partkey % 200)),
+       v AS (SELECT id, unnest(vec) AS value, unnest(range(64)) AS pos FROM (SELECT 'p' || p_partkey AS id, CAST(embedding AS DOUBLE[]) AS vec FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))),
        h1 AS (SELECT src AS id, pos, sum(value * times) / sum(times) AS value FROM pairs JOIN v ON dst = id GROUP BY 1, 2),
        h2 AS (SELECT src AS id, pos, sum(value * times) / sum(times) AS value FROM pairs JOIN h1 ON dst = id GROUP BY 1, 2)
        SELECT id, CAST(pos AS INTEGER) AS pos, round(value / sqrt(sum(value * value) OVER (PARTITION BY id)), 6) AS value FROM h2""",
 )
 def _(t):
-    parts = t.read("part").select("p_partkey", (F.col("p_partkey") % 200).alias("vec_id")).join(t.read("embeddings"), "vec_id")
+    known = t.read("embeddings")
+    parts = t.read("part").select("p_partkey", (F.col("p_partkey") % known.agg(F.count(F.lit(1))).scalar()).alias("vec_id")).join(known, "vec_id")
     vectors = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     return graph.neighbour_means(graph.both_directions(supply(t).select("src", "dst")), vectors, places=6)
 

@@ -10,21 +10,21 @@ from tracewarden.functions import signatures as S
 
 @query(
     "jn01_intel_enrichment",
-    """WITH reports AS (SELECT '10.0.0.' || (c_custkey % 200) AS ip, 'r' || (c_custkey % 3) AS source, CAST(floor(c_acctbal / 100) AS BIGINT) AS raw_score FROM customer),
+    """WITH reports AS (SELECT '10.' || (c_custkey // 65536) || '.' || (c_custkey // 256 % 256) || '.' || (c_custkey % 256) AS ip, 'r' || (c_custkey % 3) AS source, CAST(floor(c_acctbal / 100) AS BIGINT) AS raw_score FROM customer),
        intel AS (SELECT ip, max(raw_score) AS raw_score, arg_max(source, (raw_score, source)) AS source FROM reports GROUP BY 1)
-       SELECT alert_id, source_ip, source AS intel_source, raw_score, raw_score > 50 AS malicious FROM alerts LEFT JOIN intel ON ip = source_ip""",
+       SELECT alert_id, source_ip, source AS intel_source, raw_score, raw_score > CASE source WHEN 'r0' THEN 75 ELSE 50 END AS malicious FROM alerts LEFT JOIN intel ON ip = source_ip""",
     ("alerts",),
 )
 def _(t):
     key = F.col("c_custkey")
     reports = t.read("customer").select(
-        F.concat(F.lit("10.0.0."), (key % 200).cast("string")).alias("ip"),
+        F.concat_ws(".", F.lit("10"), *[F.floor(key / n % 256).cast("string") for n in (65536, 256, 1)]).alias("ip"),
         F.concat(F.lit("r"), (key % 3).cast("string")).alias("source"),
         F.floor(F.col("c_acctbal") / 100).alias("raw_score"),
         F.floor(F.col("c_acctbal") / 100).alias("confidence"),
         F.array(F.lit("customer")).alias("tags"),
     )
-    intel = lookups.normalised_intel(reports).withColumnRenamed("source", "intel_source")
+    intel = lookups.normalised_intel(reports, {"r0": 75}).withColumnRenamed("source", "intel_source")
     return lookups.enrich(t.alerts, intel, "source_ip").select("alert_id", "source_ip", "intel_source", "raw_score", "malicious")
 
 

@@ -97,12 +97,12 @@ def _(t):
 @query(
     "src05_history_scan",
     """SELECT us, remote_addr, request_method, request_uri, status, body_bytes_sent, round(request_time, 6) AS request_time, http_user_agent, http_referer
-       FROM log ORDER BY us LIMIT 10000""",
+       FROM log ORDER BY us""",
     ("log",),
 )
 def _(t):
     columns = ["us", "remote_addr", "request_method", "request_uri", "status", "body_bytes_sent", "request_time", "http_user_agent", "http_referer"]
-    return files.scan_history(t.log, columns, limit=10000).withColumn("request_time", F.round("request_time", 6))
+    return files.scan_history(t.log, columns).withColumn("request_time", F.round("request_time", 6))
 
 
 @query(

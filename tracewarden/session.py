@@ -8,15 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone; every operator works in UTC event time.
-
-    A local session left at Spark's default of 200 shuffle partitions gets one per core instead, which
-    matters most for the state of streaming queries.  Cluster settings are never touched.
-    """
+    """Pin the session time zone; every operator works in UTC event time.  Nothing else of a session is touched."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
