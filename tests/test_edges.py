@@ -135,7 +135,7 @@ def test_perfect_and_inverted_ranking(spark):
 def test_mcnemar_identical(spark):
     df = spark.createDataFrame([(1, 1, 1), (0, 0, 0)], "y int, a int, b int")
     r = evaluation.mcnemar(evaluation.paired_counts(df, "y", {"ab": ("a", "b")})).collect()[0]
-    assert r.p_value == 1.0 and r.interpretation == "Identical predictions"
+    assert r.p_value == 1.0 and r.interpretation == "Same verdict everywhere"
 
 
 def test_drift_of_constant_and_shifted_features(spark):

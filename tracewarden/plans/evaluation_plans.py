@@ -228,8 +228,8 @@ _PAIRED = " UNION ALL ".join(
 @query(
     "evl16_mcnemar",
     f"""SELECT pair, n_ab, n_ba, round(s, 4) AS statistic, round(p, 4) AS p_value, p < 0.05 AS significant,
-          CASE WHEN n_ab + n_ba = 0 THEN 'Identical predictions' WHEN p < 0.01 THEN 'Strongly significant (p < 0.01) — improvement is real' WHEN p < 0.05 THEN 'Significant (p < 0.05) — improvement is real'
-            ELSE 'Not significant (p ≥ 0.05) — could be chance' END AS interpretation
+          CASE WHEN n_ab + n_ba = 0 THEN 'Same verdict everywhere' WHEN p < 0.01 THEN 'p below 0.01: the detectors differ' WHEN p < 0.05 THEN 'p below 0.05: the detectors probably differ'
+            ELSE 'p of 0.05 or more: no difference shown' END AS interpretation
         FROM (SELECT *, least(1.0, 2.0 * {tail('r')}) AS p FROM (SELECT *, sqrt(s) AS r FROM (SELECT *, CASE WHEN n_ab + n_ba > 0 THEN power(abs(n_ab - n_ba) - 1, 2) / (n_ab + n_ba) ELSE 0.0 END AS s FROM ({_PAIRED}))))""",
     ("judged",),
 )

@@ -174,13 +174,13 @@ def _(t):
     return df.select("event_id", "scorer", F.round("score", 6).alias("score"))
 
 
-INTEL = "intel AS (SELECT '10.0.0.' || s_suppkey AS ip, s_acctbal > 5000 AS malicious, CASE WHEN s_acctbal > 5000 THEN CAST(floor(s_acctbal / 100) AS BIGINT) ELSE 0 END AS confidence FROM supplier)"
+INTEL = "intel AS (SELECT '10.' || (s_suppkey // 65536) || '.' || (s_suppkey // 256 % 256) || '.' || (s_suppkey % 256) AS ip, s_acctbal > 5000 AS malicious, CASE WHEN s_acctbal > 5000 THEN CAST(floor(s_acctbal / 100) AS BIGINT) ELSE 0 END AS confidence FROM supplier)"
 
 
 def intel(t):
     bal = F.col("s_acctbal")
     return t.read("supplier").select(
-        F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string")).alias("ip"),
+        F.concat_ws(".", F.lit("10"), *[F.floor(F.col("s_suppkey") / n % 256).cast("string") for n in (65536, 256, 1)]).alias("ip"),
         (bal > 5000).alias("malicious"),
         F.when(bal > 5000, F.floor(bal / 100)).otherwise(0).alias("confidence"),
     )

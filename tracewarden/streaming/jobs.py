@@ -93,8 +93,17 @@ def _gathered(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataF
     return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], watermark: str, output: str, state: str, fold: Callable, on_timeout: Callable | None = None, keep_ms: int = 600_000) -> DataFrame:
-    """Stateful map per key; a key silent for ``keep_ms`` of event time is flushed and forgotten."""
+#: A row dated later than this (2200-01-01) ends a finite input: every key still held is flushed.
+END_OF_INPUT_MS = 7_258_118_400_000
+#: Micro-batches of which Spark keeps the progress for ``progress_table``.
+PROGRESS_KEPT = 1_000_000
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], watermark: str, output: str, state: str, fold: Callable, on_timeout: Callable | None = None, keep_ms: int | None = 600_000) -> DataFrame:
+    """Stateful map per key; a key silent for ``keep_ms`` of event time is flushed and forgotten.
+
+    With ``keep_ms=None`` a key is held until the end of the input.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -105,7 +114,8 @@ def _keyed(df: DataFrame, keys: Sequence[str], watermark: str, output: str, stat
         pdf = _gathered(batches, ["us", "event_id"])
         out, new = fold(key, pdf, held.getOption)
         held.update(new)
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), int(pdf["us"].iloc[-1]) // 1000) + keep_ms)
+        last = max(held.getCurrentWatermarkMs(), int(pdf["us"].iloc[-1]) // 1000)
+        held.setTimeoutTimestamp(max(last + 1, END_OF_INPUT_MS) if keep_ms is None else last + keep_ms)
         yield out
 
     return df.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
@@ -147,9 +157,11 @@ def suppression(alerts: DataFrame, watermark: str, *, suppress_after: int = 3, q
     )
 
 
-def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000_000) -> DataFrame:
-    """Incidents as they close.  The open group is state; the event-time timer stands in for the flush at the
-    end of a finite log, so it fires once the key has been silent beyond the span."""
+def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000_000, close_after_us: int | None = None) -> DataFrame:
+    """Incidents as they close: on a later alert of the key or at the end of the input, as in the batch operator.
+
+    ``close_after_us`` also closes an open one after so long a silence of its key; it is off by default.
+    """
 
     def rows(key, groups):
         return pd.DataFrame(
@@ -178,7 +190,7 @@ def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000
     return _keyed(
         alerts, ["source_ip", "attack_type"], watermark,
         "source_ip string, attack_type string, first_seen_us long, last_seen_us long, alert_count long, max_score double",
-        "first_us long, last_us long, n long, score double", fold, flush, keep_ms=10 * span_us // 1000,
+        "first_us long, last_us long, n long, score double", fold, flush, keep_ms=None if close_after_us is None else close_after_us // 1000,
     )
 
 
@@ -197,11 +209,17 @@ def confirmations(flagged: DataFrame, watermark: str, *, size: int = 10, needed:
     return _keyed(flagged, ["entity_id"], watermark, "event_id long, entity_id string, escalated boolean", "flags array<int>", fold, keep_ms=keep_ms)
 
 
-def progress_table(spark, query) -> DataFrame:
-    """Progress of a streaming query as rows: rows, rates, batch time and rows dropped as too late."""
+def keep_progress(spark) -> None:
+    """Let queries started from now on keep the progress of all their micro-batches, a small record each."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS_KEPT))
+
+
+def progress_table(spark, queries) -> DataFrame:
+    """Progress of streaming queries as rows: rows, rates, batch time and rows dropped as too late."""
     rows = [
         (p["batchId"], p["numInputRows"], float(p["inputRowsPerSecond"] or 0), float(p["processedRowsPerSecond"] or 0), float(p["durationMs"].get("triggerExecution", 0)),
          sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]))
+        for query in queries
         for p in query.recentProgress
     ]
     return spark.createDataFrame(rows, "batch_id long, rows long, input_rate double, processed_rate double, batch_ms double, dropped_late long")
