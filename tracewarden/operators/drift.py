@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.maths import kolmogorov_tail, ratio, two_sided
 from tracewarden.operators.folds import ema_before
-from tracewarden.operators.scale import exact_quantiles, prefix_sums
+from tracewarden.operators.scale import prefix_sums, ranked_quantiles
 from tracewarden.session import cut_lineage
 
 PSI_EPS = 1e-6
@@ -32,26 +32,42 @@ def two_sample_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.groupBy("feature", "value").agg(F.sum("e").alias("n_expected"), F.sum(1 - F.col("e")).alias("n_actual"))
 
 
+def ranked_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """``two_sample_counts`` with running counts ``ce``, ``ca`` and totals ``ne``, ``na``: all that the tests need."""
+    counts = two_sample_counts(expected, actual)
+    run = prefix_sums(counts, ["feature"], ["value"], {"ce": F.col("n_expected"), "ca": F.col("n_actual")}, totals=True)
+    return cut_lineage(run.withColumnsRenamed({"ce_total": "ne", "ca_total": "na"}))
+
+
+def per_feature(df: DataFrame, value: str) -> Column:
+    """A small value of every feature as one scalar map, so that no large side is joined on a few names."""
+    return df.agg(F.map_from_entries(F.collect_list(F.struct("feature", value)))).scalar()
+
+
 def psi(expected: DataFrame, actual: DataFrame, bins: int = 10) -> DataFrame:
     """Population stability per feature over the deduplicated quantile bins of ``expected``.
 
     Values outside the expected range are ignored, the last bin is closed, fewer than three edges give 0.
     Edges are compared exactly: between equal values interpolation gives that very value.
     """
-    quantiles = exact_quantiles(expected, ["feature"], "value", [i / bins for i in range(bins + 1)])
+    return ranked_psi(ranked_counts(expected, actual), bins)
+
+
+def ranked_psi(ranked: DataFrame, bins: int = 10) -> DataFrame:
+    quantiles = ranked_quantiles(ranked, ["feature"], "value", [i / bins for i in range(bins + 1)], "n_expected", "ce", "ne")
     # at most bins + 1 numbers per feature
     edges = cut_lineage(quantiles.groupBy("feature").agg(F.sort_array(F.collect_set("quantile")).alias("edges")))
     last = F.element_at("edges", -1)
     placed = (
-        two_sample_counts(expected, actual)
-        .join(edges, "feature")
+        ranked.select("feature", "value", "n_expected", "n_actual")
+        .withColumn("edges", F.element_at(per_feature(edges, "edges"), F.col("feature")))
         .filter((F.size("edges") >= 3) & F.col("value").between(F.element_at("edges", 1), last))
         .withColumn("bin", F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1, F.size("edges") - 2))
     )
     filled = placed.groupBy("feature", "bin").agg(F.sum("n_expected").alias("e"), F.sum("n_actual").alias("a"))
     grid = edges.filter(F.size("edges") >= 3).select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    totals = filled.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    cells = grid.join(filled, ["feature", "bin"], "left").join(totals, "feature", "left")
+    whole = Window.partitionBy("feature")  # a row for each bin
+    cells = grid.join(filled, ["feature", "bin"], "left").withColumns({"te": F.sum("e").over(whole), "ta": F.sum("a").over(whole)})
     share = lambda n, total: F.greatest(F.coalesce(n, F.lit(0)) / (total + PSI_EPS), F.lit(PSI_EPS))
     pe, pa = share(F.col("e"), F.col("te")), share(F.col("a"), F.col("ta"))
     found = cells.groupBy("feature").agg(F.round(F.sum((pa - pe) * F.log(pa / pe)), 4).alias("psi"))
@@ -60,19 +76,21 @@ def psi(expected: DataFrame, actual: DataFrame, bins: int = 10) -> DataFrame:
 
 def kolmogorov(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Two-sample statistic per feature with the asymptotic p-value."""
-    counts = two_sample_counts(expected, actual)
-    run = prefix_sums(counts, ["feature"], ["value"], {"ce": F.col("n_expected"), "ca": F.col("n_actual")}, totals=True)
-    run = run.withColumnsRenamed({"ce_total": "ne", "ca_total": "na"})
+    return ranked_kolmogorov(ranked_counts(expected, actual))
+
+
+def ranked_kolmogorov(ranked: DataFrame) -> DataFrame:
     gap = F.abs(F.col("ce") / F.col("ne") - F.col("ca") / F.col("na"))
-    out = run.groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.max("ne").alias("ne"), F.max("na").alias("na"))
+    out = ranked.groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.max("ne").alias("ne"), F.max("na").alias("na"))
     effective = F.sqrt(F.col("ne") * F.col("na") / (F.col("ne") + F.col("na")))
     return out.select("feature", "ks_stat", kolmogorov_tail(effective * F.col("ks_stat")).alias("ks_p"))
 
 
 def drift_report(expected: DataFrame, actual: DataFrame, *, warn: float = 0.1, drift: float = 0.2, alpha: float = 0.05) -> DataFrame:
-    """One row per feature, largest PSI first."""
+    """One row per feature, largest PSI first; both tests read the same ranked value counts."""
     p, ks = F.col("psi"), F.col("ks_p") < alpha
-    joined = psi(expected, actual).join(kolmogorov(expected, actual), "feature")
+    ranked = ranked_counts(expected, actual)
+    joined = ranked_psi(ranked).join(ranked_kolmogorov(ranked), "feature")
     return joined.select(
         "feature",
         "psi",
@@ -130,10 +148,18 @@ def effect_size(moments: DataFrame) -> DataFrame:
     return moments.withColumn("cohens_d", d).withColumn("effect_size", label).withColumn("recommended", F.abs("cohens_d") >= 0.5)
 
 
+def class_counts(samples: DataFrame, label: str = "label") -> DataFrame:
+    """Value counts of both classes with their running total ``upto``."""
+    counts = samples.groupBy("feature", "value").agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("a"))
+    return prefix_sums(counts, ["feature"], ["value"], {"upto": F.col("n") + F.col("a")})
+
+
 def mann_whitney(samples: DataFrame, label: str = "label") -> DataFrame:
     """U of the normal class, two-sided p with tie and continuity correction, from value counts."""
-    counts = samples.groupBy("feature", "value").agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("a"))
-    run = prefix_sums(counts, ["feature"], ["value"], {"upto": F.col("n") + F.col("a")})
+    return ranked_mann_whitney(class_counts(samples, label))
+
+
+def ranked_mann_whitney(run: DataFrame) -> DataFrame:
     ties = F.col("n") + F.col("a")
     rank = F.col("upto") - ties + (ties + 1) / 2
     t = ties.cast("double")
@@ -156,17 +182,22 @@ def _upper(z: Column) -> Column:
 
 def kl_divergence(samples: DataFrame, label: str = "label", bins: int = 50) -> DataFrame:
     """KL(attack || normal) over equal-width bins shared by both classes."""
-    span = samples.groupBy("feature").agg(F.min("value").alias("lo"), (F.max("value") + 1e-9).alias("hi"))
     counts = samples.groupBy("feature", "value").agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("a"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))
-    filled = counts.join(span, "feature").groupBy("feature", at.alias("bin")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("a").alias("ta"))
-    grid = span.select("feature", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
-    density = lambda c, total: F.coalesce(c, F.lit(0)) / (total * width) + KL_EPS
-    cells = grid.join(filled, ["feature", "bin"], "left").join(totals, "feature").select(
-        "feature", density(F.col("n"), F.col("tn")).alias("dn"), density(F.col("a"), F.col("ta")).alias("da")
+    return counted_divergence(counts, bins)
+
+
+def counted_divergence(counts: DataFrame, bins: int = 50) -> DataFrame:
+    """``kl_divergence`` from the value counts ``n`` and ``a`` of both classes."""
+    low, high = F.min("value"), F.max("value") + 1e-9
+    span = cut_lineage(
+        counts.groupBy("feature").agg(F.struct(low.alias("lo"), ((high - low) / bins).alias("width"), F.sum("n").alias("tn"), F.sum("a").alias("ta")).alias("s"))
     )
+    own = F.element_at(per_feature(span, "s"), F.col("feature"))
+    at = F.least(F.floor((F.col("value") - F.col("s.lo")) / F.col("s.width")), F.lit(bins - 1))
+    filled = counts.select("feature", "value", "n", "a", own.alias("s")).groupBy("feature", at.alias("bin")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    grid = span.select("feature", "s.*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
+    density = lambda c, total: F.coalesce(c, F.lit(0)) / (total * F.col("width")) + KL_EPS
+    cells = grid.join(filled, ["feature", "bin"], "left").select("feature", density(F.col("n"), F.col("tn")).alias("dn"), density(F.col("a"), F.col("ta")).alias("da"))
     # with p = da / sum(da) and q = dn / sum(dn) the sum of p ln(p / q) needs three sums only
     sums = cells.groupBy("feature").agg(
         F.sum("da").alias("sa"), F.sum("dn").alias("sn"), F.sum(F.col("da") * F.log(F.col("da") / F.col("dn"))).alias("x")
@@ -177,7 +208,8 @@ def kl_divergence(samples: DataFrame, label: str = "label", bins: int = 50) -> D
 def discrimination_report(samples: DataFrame, label: str = "label", min_rows: int = 10) -> DataFrame:
     """How well each feature separates the classes, strongest first; small classes are skipped."""
     m = effect_size(welch(class_moments(samples, label))).filter((F.col("n_count") >= min_rows) & (F.col("a_count") >= min_rows))
-    joined = m.join(mann_whitney(samples, label), "feature").join(kl_divergence(samples, label), "feature")
+    run = cut_lineage(class_counts(samples, label))
+    joined = m.join(ranked_mann_whitney(run), "feature").join(counted_divergence(run), "feature")
     return joined.select(
         "feature", "n_mean", "a_mean", (F.col("a_mean") - F.col("n_mean")).alias("mean_delta"), F.sqrt("n_var").alias("n_std"), F.sqrt("a_var").alias("a_std"),
         "p_ttest", "p_mw", "cohens_d", "effect_size", "kl_divergence", (F.col("p_mw") < 0.05).alias("significant"), "recommended",

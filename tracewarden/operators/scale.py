@@ -213,21 +213,27 @@ def exact_quantiles(
     the distinct values of a whole group.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, keys, [value], {"_cum": F.col("_n")}, slices, totals=True).withColumnRenamed("_cum_total", "_total")
-    spot = lambda p: p * (F.col("_total") - 1)
-    first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
+    ranked = prefix_sums(counts, keys, [value], {"_cum": F.col("_n")}, slices, totals=True)
+    return ranked_quantiles(ranked, keys, value, probs, "_n", "_cum", "_cum_total")
+
+
+def ranked_quantiles(ranked: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], n: str, cum: str, total: str) -> DataFrame:
+    """``exact_quantiles`` from value counts that already have their running sums and totals."""
+    spot = lambda p: p * (F.col(total) - 1)
+    first, last = F.col(cum) - F.col(n), F.col(cum) - 1
     touches = lambda p: (
         F.floor(spot(p)).between(first, last) | F.ceil(spot(p)).between(first, last)
     )
-    hits = ranked.select(
-        *keys, value, first.alias("_first"), last.alias("_last"), "_total",
+    hits = ranked.filter(F.col(n) > 0).select(
+        *keys, value, first.alias("_first"), last.alias("_last"), spot(F.lit(1.0)).alias("_end"),
         F.explode(F.filter(F.array(*[F.lit(float(p)) for p in probs]), touches)).alias("prob"),
     )
-    low, high = F.floor(spot(F.col("prob"))), F.ceil(spot(F.col("prob")))
+    at = F.col("prob") * F.col("_end")
+    low, high = F.floor(at), F.ceil(at)
     picked = hits.groupBy(*keys, "prob").agg(
         F.max(F.when(low.between(F.col("_first"), F.col("_last")), F.col(value))).alias("_lo"),
         F.max(F.when(high.between(F.col("_first"), F.col("_last")), F.col(value))).alias("_hi"),
-        F.max(spot(F.col("prob")) - low).alias("_frac"),
+        F.max(at - low).alias("_frac"),
     )
     return picked.select(
         *keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("quantile")

@@ -19,12 +19,12 @@ def halves(t):
     """Long feature tables of days 1-15 and of the days after."""
     df = feature_table(t)
     split = F.col("bucket") < df.agg(F.min("bucket") + F.lit(15)).scalar()
-    flagged = cut_lineage(drift.long_form(df.withColumn("early", split), FEATURES, ["early"]))
+    flagged = drift.long_form(df.withColumn("early", split), FEATURES, ["early"])
     return flagged.filter("early").drop("early"), flagged.filter("not early").drop("early")
 
 
 def labelled(t):
-    return cut_lineage(drift.long_form(feature_table(t), FEATURES, ["label"]))
+    return drift.long_form(feature_table(t), FEATURES, ["label"])
 
 
 _LONG = " UNION ALL ".join(f"SELECT bucket, is_attack AS label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM features" for f in FEATURES)
