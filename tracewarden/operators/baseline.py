@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tracewarden.functions import signatures as S
 from tracewarden.functions.maths import kolmogorov_tail, ratio
 from tracewarden.operators.features import bucket_of
-from tracewarden.operators.scale import exact_quantiles
 
 
 def requests_per_bucket(log: DataFrame, width_us: int) -> DataFrame:
@@ -23,19 +22,17 @@ def requests_per_bucket(log: DataFrame, width_us: int) -> DataFrame:
 
 def frequency_thresholds(observations: DataFrame) -> DataFrame:
     """Moments, percentiles and rate thresholds, as one row."""
-    moments = observations.agg(
+    probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    # exact percentiles keep one entry for each distinct count, and combine before the shuffle
+    row = observations.agg(
         F.count(F.lit(1)).alias("observations"),
         F.avg("n").alias("mean"),
         F.stddev_samp("n").alias("std"),
         F.skewness("n").alias("skewness"),
         F.kurtosis("n").alias("kurtosis"),
+        F.percentile("n", F.array(*[F.lit(p) for p in probs.values()])).alias("_q"),
     )
-    probs = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
-    quantiles = exact_quantiles(observations.select(F.col("n").cast("double").alias("n")), [], "n", list(probs.values()))
-    spread = quantiles.agg(
-        F.struct(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in probs.items()])
-    ).scalar()
-    row = moments.withColumn("_q", spread).select("*", "_q.*").drop("_q")
+    row = row.withColumns({name: F.get("_q", F.lit(k)) for k, name in enumerate(probs)}).drop("_q")
     return row.withColumn("median", F.col("p50")).withColumns(
         {
             "threshold": F.col("p99") + 3 * F.col("std"),

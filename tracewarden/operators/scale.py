@@ -136,8 +136,8 @@ def trailing_counts(
 
     The time line is cut into cells.  First the per-cell totals (map-side combined, one row per key
     and cell) bound every frame from above; keys whose bound never passes a floor are dropped before
-    any event is shuffled.  For the rest a frame is the difference of two running counts, so a key is
-    split over its cells however many rows it has, whatever the width of the window.
+    any event is shuffled.  For the rest a frame is the difference of two running counts over slices of equal
+    volume, so a burst is split however many rows it has, whatever the width of the window.
     """
     cell = cell_us or max(1, min(windows) // 4)
     cell_of = lambda c: F.floor(c / F.lit(cell))
@@ -173,15 +173,9 @@ def trailing_counts(
         ],
     )
     records = moments.select("_k", "_t", "n", F.explode(marks).alias("m")).select(
-        "_k", "_t", "n", "m.at", "m.kind", "m.width", "m.add", cell_of(F.col("m.at")).alias("_c")
-    )
-    totals = records.groupBy("_k", "_c").agg(F.sum("add").alias("_tot"))
-    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_k", "_c", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("_k", "_c").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    running = records.join(offsets, ["_k", "_c"]).select(
-        "_k", "_t", "n", "width", (F.sum("add").over(local) + F.col("_off")).alias("run")
+        "_k", "_t", "n", F.col("m.at").alias("at"), F.col("m.kind").alias("kind"), F.col("m.width").alias("width"), F.col("m.add").alias("add")
     )
+    running = prefix_sums(records, ["_k"], ["at", "kind", "width"], {"run": F.col("add")})
     per_moment = running.groupBy("_k", "_t").agg(
         F.max("n").alias("n"),
         F.max(F.when(F.col("width") == 0, F.col("run"))).alias("_upto"),

@@ -50,6 +50,18 @@ def _(t):
     return reports.severity_counts(detectors.rate_limit(t.log, learned_limit(t), width_us=DAY, minute_us=DAY))
 
 
+@query(
+    "win02_rate_limit_fixed",
+    f"""SELECT event_id, remote_addr, us, n AS window_requests, round(n / 6.0, 6) AS rate_ratio, round(least(n / 6.0, 1.0), 4) AS confidence
+        FROM (SELECT *, {RATE_FRAME} AS n FROM log) WHERE n > 6""",
+    ("log",),
+)
+def _(t):
+    """The same rule with a given limit, which many windows pass."""
+    df = detectors.rate_limit(t.log, 6.0, width_us=DAY, minute_us=DAY)
+    return df.select("event_id", "remote_addr", "us", "window_requests", F.round("rate_ratio", 6).alias("rate_ratio"), "confidence")
+
+
 @query(
     "win03_flood_or_classify",
     f"""SELECT event_id, remote_addr, us, CASE WHEN n > lim THEN 'DoS Flood' ELSE attack_type END AS attack_type,
