@@ -256,9 +256,7 @@ def _(t):
     return out.withColumn("delta_vs_rules", F.round("delta_vs_rules", 6))
 
 
-@query(
-    "evl19_scorecard",
-    f"""WITH det AS (SELECT event_id, 'sql_injection' AS rule FROM log WHERE {hits("(request_uri || ' ' || http_referer)", S.SQLI_SIGNATURES)} > 0
+_SCORECARD = f"""WITH det AS (SELECT event_id, 'sql_injection' AS rule FROM log WHERE {hits("(request_uri || ' ' || http_referer)", S.SQLI_SIGNATURES)} > 0
           UNION ALL SELECT event_id, 'path_traversal' FROM log WHERE {hits('request_uri', S.TRAVERSAL_SIGNATURES)} > 0
           UNION ALL SELECT event_id, 'login_brute_force' FROM (SELECT *, {RATE_FRAME} AS n FROM log WHERE status IN (401, 403) AND request_uri = '/login') WHERE n > 2
           UNION ALL SELECT event_id, 'rate_limit' FROM (SELECT *, {RATE_FRAME} AS n FROM log) WHERE n > 6 UNION ALL SELECT event_id, rule FROM ({_spike_sql('')})),
@@ -267,16 +265,30 @@ def _(t):
         c AS (SELECT event_type, rule, count(*) FILTER (WHERE is_attack AND n IS NOT NULL) AS tp, count(*) FILTER (WHERE NOT is_attack AND n IS NOT NULL) AS fp,
             count(*) FILTER (WHERE NOT is_attack AND n IS NULL) AS tn, count(*) FILTER (WHERE is_attack AND n IS NULL) AS fn FROM grid LEFT JOIN hit USING (event_type, rule, remote_addr) GROUP BY 1, 2),
         r AS ({rates_sql('SELECT * FROM c', ['event_type', 'rule'])})
-        SELECT r.*, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM hit h WHERE h.event_type = r.event_type AND h.rule = r.rule), 0) AS detections, tpr >= 0.95 AS tpr_ok, fpr <= 0.05 AS fpr_ok FROM r""",
-    ("log",),
-)
-def _(t):
+        SELECT r.*, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM hit h WHERE h.event_type = r.event_type AND h.rule = r.rule), 0) AS detections, tpr >= 0.95 AS tpr_ok, fpr <= 0.05 AS fpr_ok FROM r"""
+
+
+def scorecard(t):
     found = detectors.rule_set(t.log, rate_threshold=6.0, auth_threshold=2, width_us=DAY, minute_us=DAY)
     found = found.join(t.log.select("event_id", "event_type"), "event_id")
     events = t.log.select("event_type", "remote_addr", F.col("is_attack").cast("int").alias("label"))
     return E.scorecard(events, found, scenario="event_type", source="remote_addr", label="label", rules=detectors.RULES)
 
 
+@query("evl19_scorecard", _SCORECARD, ("log",))
+def _(t):
+    return scorecard(t)
+
+
+@query(
+    "evl19_overall_verdict",
+    f"SELECT count(*) AS cells, count(*) FILTER (WHERE NOT (tpr_ok AND fpr_ok)) AS missed, count(*) FILTER (WHERE NOT (tpr_ok AND fpr_ok)) = 0 AS all_targets_met FROM ({_SCORECARD})",
+    ("log",),
+)
+def _(t):
+    return E.scorecard_verdict(scorecard(t))
+
+
 @query("evl20_quality_gate", f"SELECT detector, f1, tpr, fpr, f1 >= 0.85 AND tpr >= 0.9 AND fpr <= 0.05 AS passed FROM ({rates_sql(counts_sql('verdicts', ['detector']), ['detector'])})", ("verdicts",))
 def _(t):
     long = E.stacked(t.judged, DETECTORS, ["y_true"])

@@ -188,6 +188,20 @@ def _(t):
     return kept.groupBy(F.floor(F.col("us") / DAY).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "src12_dropped_days",
+    f"SELECT us // {DAY} AS day, count(*) AS n FROM log WHERE us // {DAY} >= (SELECT max(us // {DAY}) FROM log) - 7 GROUP BY 1",
+    ("log",),
+)
+def _(t):
+    """Days stored as partitions, old ones removed from the store."""
+    path = f"{workdir(t)}/by-day"
+    day = F.floor(F.col("us") / DAY)
+    t.log.select("event_id", day.alias("day")).write.partitionBy("day").parquet(path)
+    files.drop_old_days(t.spark, path, 7, t.log.agg(F.max(day)).first()[0])
+    return t.spark.read.parquet(path).groupBy(F.col("day").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "src13_packet_log_lines",
     """SELECT '[' || us || '] TCP ' || src_ip || ':' || dst_port || ' -> ' || dst_ip || ' LEN=' || bytes_in || ' ' ||

@@ -88,6 +88,20 @@ def retain_days(df: DataFrame, days: int, now, time_column: str = "ts") -> DataF
     return df.filter(F.col(time_column) >= now - F.make_dt_interval(F.lit(days)))
 
 
+def drop_old_days(spark: SparkSession, path: str, days: int, today: int, column: str = "day") -> list[int]:
+    """Remove the partitions ``column=n`` (days since 1970) of a stored table that are more than ``days`` before
+    ``today``; gives the numbers removed.  Partitions of other names are left alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = []
+    for entry in store.listStatus(folder):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == column and value.lstrip("-").isdigit() and int(value) < today - days:
+            store.delete(entry.getPath(), True)
+            removed.append(int(value))
+    return sorted(removed)
+
+
 def packet_lines(df: DataFrame) -> DataFrame:
     """One text line per packet: ``[time] proto source:port -> target LEN=n flags``."""
     return df.select(
