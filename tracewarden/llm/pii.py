@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds what they miss.
 
-The tagger is trained in numpy on windows of at most ``SAMPLE`` texts whose spans the patterns have labelled; in some
+The tagger is trained in numpy on windows of about ``SAMPLE`` texts whose spans the patterns have labelled; in some
 of them a number loses its plus sign, so that the network also learns such numbers.  Every kind holds a digit or an
 at sign, so windows cover all text within ``REACH`` characters of one.  Windows overlap by half; a character takes its
 tag from the window in which it stands farthest from an edge, and spans are read off the whole text's tags.  An added
@@ -156,9 +156,16 @@ def fit_windows(chars: np.ndarray, tags: np.ndarray) -> Tagger | None:
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Tagger | None:
-    """Train on at most ``sample`` texts with an at sign or a number, in order of a hash, and ``WINDOWS`` windows."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"@|[0-9][.)( -]?[0-9]") & (F.octet_length("text") <= SAMPLE_BYTES))
-    picked = texts.orderBy(F.xxhash64("text"), "text").limit(sample)
+    """Train on about ``sample`` different texts with an at sign or a number, and ``WINDOWS`` windows at most.
+
+    Texts are drawn by a hash whose share follows from how many there are, and copies count once: no task and not the
+    driver gets more of them when the table grows.
+    """
+    body = F.col(text_col).cast("string").alias("text")
+    texts = docs.select(body).where(F.col("text").rlike(r"@|[0-9][.)( -]?[0-9]") & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("hash", F.xxhash64("text"))
+    there = texts.agg(F.approx_count_distinct("hash")).first()[0]
+    drawn = texts.where(F.pmod(F.col("hash"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, there)) * (1 << 30))))
+    picked = drawn.groupBy("hash").agg(F.min("text").alias("text")).select("text")
     rows = picked.mapInArrow(_training_batches, "chars binary, tags binary").orderBy(F.xxhash64("chars"), "chars").limit(WINDOWS).collect()
     grid = lambda name: np.frombuffer(b"".join(r[name] for r in rows), np.uint8).reshape(-1, WINDOW)
     return fit_windows(grid("chars"), grid("tags")) if rows else None
