@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewarden.llm.byte_text import ALNUM, LOWER, blocks
 from tracewarden.llm.fm_index import FmIndex
+from tracewarden.llm.passing import as_row, named
 from tracewarden.session import cut_lineage
 
 WINDOW = 13
@@ -182,8 +184,7 @@ def contamination(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
     judged alike, each on its own.  An empty test set finds nothing.
     """
     spark = docs.sparkSession
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    base = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(as_row(docs), named(text_col).cast("string").alias("text"))
     found, several = None, False
     for count, phrases in enumerate(_portions(tests, item_col, item_text_col)):
         shared = spark.sparkContext.broadcast(phrases)
@@ -205,8 +206,8 @@ def contamination(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + FOUND
+def _schema(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, *StructType.fromDDL(FOUND).fields])
 
 
 def _without(text, spans):

@@ -6,8 +6,8 @@ C: the escape weighs as many as the context has followers), down to one of 256 e
 frozen statistics give the shortest exact code for the whole text is predicted.
 
 The tree is kept as sorted tables of n-grams with the finished cost of each for every language, so a whole block of
-texts is scored by a few binary searches in numpy.  At most ``SAMPLE`` texts of a language (those with the smallest
-hash of their id) of at most ``SAMPLE_BYTES`` bytes train the trees.
+texts is scored by a few binary searches in numpy.  About ``SAMPLE`` texts of a language of at most ``SAMPLE_BYTES``
+bytes, drawn by hash, train the trees.
 """
 
 from __future__ import annotations
@@ -17,12 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.byte_text import LOWER, Block, blocks, sums_between
 from tracewarden.llm.passing import attach
-from tracewarden.session import cut_lineage
 
 ORDER = 3
 SAMPLE = 500
@@ -30,7 +29,6 @@ SAMPLE_BYTES = 1 << 15
 UNKNOWN = "und"
 #: Before its first byte a text counts as preceded by line feeds.
 _LEAD = 0x0A0A0A0A
-BROADCAST_ROWS = 200_000
 
 
 def grams(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +137,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Frozen trees of every language of ``docs``; rows without text or language teach nothing.
 
-    What reaches the driver is bounded by the sample: at most ``sample * SAMPLE_BYTES`` counts a language.
+    Texts are drawn by a hash of their id whose share follows from how many texts the language has, so nothing is
+    gathered to choose them.  What reaches the driver is bounded by the sample: about ``sample * SAMPLE_BYTES`` counts
+    a language.
     """
     ident, text = F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")
     usable = docs.select(ident, F.col(lang_col).cast("string").alias("lang"), text).where(F.col("lang").isNotNull() & (F.octet_length("text").between(1, SAMPLE_BYTES)))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = cut_lineage(usable.select("id", "lang").withColumn("turn", turn).where(F.col("turn") <= sample).select("id", "lang").distinct())
-    small = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
-    rows = usable.join(small, ["id", "lang"], "left_semi").select("lang", "text")
+    there = usable.groupBy("lang").count().agg(F.map_from_entries(F.collect_list(F.struct("lang", "count")))).scalar()  # a number a language
+    share = F.lit(float(sample)) / F.element_at(there, F.col("lang"))
+    rows = usable.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
     counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names, language = np.unique(np.array(counts["lang"].to_pylist(), object), return_inverse=True) if counts.num_rows else (np.array([]), np.array([], int))
     return freeze([str(x) for x in names], language.ravel(), counts["gram"].to_numpy(), counts["n"].to_numpy())

@@ -15,6 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.llm.passing import named
 from tracewarden.session import cut_lineage
 
 SIMILAR = 0.6
@@ -92,11 +93,11 @@ def scan(files: DataFrame, keep: list[str], path_col: str = "path", text_col: st
     file of the empty directory; a null text says nothing; repeated rows are judged each by its own text.
     """
     templates = templates or TEMPLATES
-    path, text = F.col(f"`{path_col}`").cast("string"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    path, text = named(path_col).cast("string"), F.coalesce(named(text_col).cast("string"), F.lit(""))
     is_file = F.coalesce(path.rlike(LICENCE_FILE), F.lit(False))
     lines = F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))
     notices = F.when(is_file & (text != ""), F.array(text)).when(text.rlike(CUE), lines).otherwise(F.array().cast("array<string>"))
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    row = F.struct(*[named(c) for c in keep]).alias("row")
     base = files.select(row, _directory(path).alias("directory"), is_file.alias("is_file"), notices.alias("notices"))
     # rows without a notice get a key of their own kind that nothing matches
     key = F.when(F.size("notices") > 0, F.sha2(F.array_join("notices", "\n"), 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("row").cast("string")))

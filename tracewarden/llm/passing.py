@@ -7,19 +7,30 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct ``row``."""
+    return F.struct(*[named(c) for c in df.columns]).alias("row")
 
 
 def attach(df: DataFrame, text_col: str, results: str, fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """``(row, *results)``: ``fn`` gives the result columns (named and typed by ``results``) of an array of texts."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    base = df.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    names = [part.split()[0] for part in results.replace(", ", ",").split(",") if " " in part]
+    base = df.select(as_row(df), named(text_col).cast("string").alias("text"))
+    fields = StructType.fromDDL(results).fields
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *fn(batch.column(1))], ["row", *names])
 
-    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, {results}")
+    return base.mapInArrow(run, StructType([StructField("row", base.schema["row"].dataType), *fields]))
 
 
 def restored(found: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:

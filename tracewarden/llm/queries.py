@@ -64,7 +64,7 @@ def op2(read):
 
 
 def _fold(column, divisor):
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(divisor))
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(divisor)), F.lit(-1))  # no id, no remainder
 
 
 @query("op4_clause_grammar_toxicity")
