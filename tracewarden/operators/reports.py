@@ -100,6 +100,30 @@ def rate_series(log: DataFrame, width_us: int, conditions: Mapping[str, Column])
     )
 
 
+def psi_series(log: DataFrame, value: Column, baseline: Column, width_us: int, bins: int = 10) -> DataFrame:
+    """Population stability of a value per window after the baseline period, over the quantile bins of that period.
+
+    Values beyond the baseline's range are ignored and fewer than three edges give no rows, as in ``drift.psi``.
+    """
+    from tracewarden.operators.drift import PSI_EPS
+
+    rows = log.select(bucket_of(F.col("us"), width_us).alias("bucket"), value.cast("double").alias("value"), baseline.alias("early"))
+    quantiles = exact_quantiles(rows.filter("early"), [], "value", [i / bins for i in range(bins + 1)])
+    edges = quantiles.agg(F.sort_array(F.collect_set("quantile"))).scalar()
+    placed = rows.withColumn("edges", edges).filter((F.size("edges") >= 3) & F.col("value").between(F.element_at("edges", 1), F.element_at("edges", -1)))
+    at = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1, F.size("edges") - 2)
+    # one row for each window and bin from here on
+    counts = placed.groupBy("bucket", at.alias("bin"), "early").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("edges")).alias("size"))
+    expected = counts.filter("early").groupBy("bin").agg(F.sum("n").alias("e"))
+    of_bin = expected.agg(F.map_from_entries(F.collect_list(F.struct("bin", "e")))).scalar()
+    total = expected.agg(F.sum("e")).scalar()
+    actual = counts.filter("not early").groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("seen"), F.sum("n").alias("ta"), F.max("size").alias("size"))
+    cells = actual.select("bucket", "seen", "ta", F.explode(F.sequence(F.lit(0), F.col("size") - 2)).alias("bin"))
+    share = lambda n, whole: F.greatest(F.coalesce(n, F.lit(0)) / (whole + PSI_EPS), F.lit(PSI_EPS))
+    cells = cells.select("bucket", share(F.try_element_at("seen", F.col("bin")), F.col("ta")).alias("pa"), share(F.try_element_at(of_bin, F.col("bin")), total).alias("pe"))
+    return cells.groupBy("bucket").agg(F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe"))).alias("psi"))
+
+
 def ingest_lag(df: DataFrame, event_us: str, processed_us: str, labels: Sequence[str] = ()) -> DataFrame:
     lag = (F.col(processed_us) - F.col(event_us)) / 1e6
     return df.groupBy(*labels).agg(

@@ -278,6 +278,7 @@ def _(t):
 
 
 _BOUNDS = ", ".join(f"('{b}', {b}::DOUBLE)" for b in reports.RULE_LATENCY_BOUNDS) + ", ('+Inf', 'inf'::DOUBLE)"
+_MODEL_BOUNDS = ", ".join(f"('{b}', {b}::DOUBLE)" for b in reports.MODEL_LATENCY_BOUNDS) + ", ('+Inf', 'inf'::DOUBLE)"
 
 
 @query(
@@ -290,6 +291,16 @@ def _(t):
     return reports.cumulative_histogram(t.log, "request_time", reports.RULE_LATENCY_BOUNDS, ["event_type"])
 
 
+@query(
+    "agg30_model_latency_histogram",
+    f"""SELECT event_type, le, CAST(count(*) FILTER (WHERE request_time <= bound) AS BIGINT) AS n
+        FROM log, (VALUES {_MODEL_BOUNDS}) v(le, bound) GROUP BY 1, 2""",
+    ("log",),
+)
+def _(t):
+    return reports.cumulative_histogram(t.log, "request_time", reports.MODEL_LATENCY_BOUNDS, ["event_type"])
+
+
 @query(
     "agg31_monitoring_conditions",
     f"""WITH s AS (SELECT us // {HOUR} AS bucket, avg(CASE WHEN status >= 500 THEN 1.0 ELSE 0.0 END) AS r5,
@@ -323,6 +334,32 @@ def _(t):
     return reports.sustained(grid, F.coalesce("n", F.lit(0)) == 0, 1).select("bucket", "flag", "firing")
 
 
+_EDGE = "i / 10.0::DOUBLE * (len(s) - 1)"
+
+
+@query(
+    "agg31_drift_condition",
+    f"""WITH r AS (SELECT us // {DAY} AS bucket, CAST(body_bytes_sent AS DOUBLE) AS value, us // {DAY} < (SELECT min(us // {DAY}) + 15 FROM log) AS early FROM log),
+        edges AS (SELECT list_sort(list_distinct(list_transform(range(11), lambda i: s[CAST(floor({_EDGE}) AS BIGINT) + 1] + (s[CAST(ceil({_EDGE}) AS BIGINT) + 1] - s[CAST(floor({_EDGE}) AS BIGINT) + 1]) * ({_EDGE} - floor({_EDGE}))))) AS edges
+          FROM (SELECT list(value ORDER BY value) AS s FROM r WHERE early)),
+        placed AS (SELECT bucket, early, least(len(list_filter(edges, lambda e: e <= value)) - 1, len(edges) - 2) AS bin FROM r, edges WHERE value BETWEEN edges[1] AND edges[-1]),
+        grid AS (SELECT bucket, bin FROM (SELECT DISTINCT bucket FROM placed WHERE NOT early), (SELECT unnest(range(len(edges) - 1)) AS bin FROM edges)),
+        e AS (SELECT bin, count(*) AS e, sum(count(*)) OVER () AS te FROM placed WHERE early GROUP BY 1),
+        a AS (SELECT bucket, bin, count(*) AS a, sum(count(*)) OVER (PARTITION BY bucket) AS ta FROM placed WHERE NOT early GROUP BY 1, 2),
+        shares AS (SELECT bucket, greatest(coalesce(a, 0) / (max(ta) OVER (PARTITION BY bucket) + 1e-6::DOUBLE), 1e-6::DOUBLE) AS pa, greatest(coalesce(e, 0) / ((SELECT max(te) FROM e) + 1e-6::DOUBLE), 1e-6::DOUBLE) AS pe
+          FROM grid LEFT JOIN a USING (bucket, bin) LEFT JOIN e USING (bin)),
+        f AS (SELECT bucket, round(sum((pa - pe) * ln(pa / pe)), 6) AS psi FROM shares GROUP BY 1)
+        SELECT bucket, psi, psi > 0.02 AS flag, (SELECT count(*) FROM f g WHERE g.psi > 0.02 AND g.bucket BETWEEN f.bucket - 5 AND f.bucket) = 6 AS firing FROM f""",
+    ("log",),
+)
+def _(t):
+    """Held for five minutes, here days; the limit is a tenth of the usual 0.2, which these data never pass."""
+    day = features.bucket_of(F.col("us"), DAY)
+    early = day < t.log.agg(F.min(day) + F.lit(15)).scalar()
+    series = reports.psi_series(t.log, F.col("body_bytes_sent"), early, DAY).withColumn("psi", F.round("psi", 6))
+    return reports.sustained(series, F.col("psi") > 0.02, 5).select("bucket", "psi", "flag", "firing")
+
+
 @query(
     "agg32_ingest_lag",
     """SELECT event_type, max(us) AS last_event_us, round(max(lag), 6) AS max_lag_seconds, round(avg(lag), 6) AS mean_lag_seconds
