@@ -130,11 +130,6 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
         lo = hi
 
 
-def per_row(counts_of: np.ndarray, rows: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """How many entries (or what weight) each row has."""
-    return np.bincount(counts_of, weights, rows) if weights is not None else np.bincount(counts_of, minlength=rows)
-
-
 def sums_between(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values[first[r]:first[r + 1]]`` for each r."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
