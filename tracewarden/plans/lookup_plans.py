@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tracewarden.operators import detectors, lookups
+from tracewarden.operators import lookups
 from tracewarden.plans.registry import query
-from tracewarden.plans.sql_views import DAY, search
+from tracewarden.plans.sql_views import search
 from tracewarden.functions import signatures as S
 
 
