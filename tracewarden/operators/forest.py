@@ -284,14 +284,20 @@ def permutation_importance(df: DataFrame, id_column: str, label: str, features:
     return f1.filter("feature <> '(none)'").withColumn("importance", whole - F.col("f1")).orderBy(F.desc("importance"), "feature")
 
 
+def prepared_encodings(encodings: DataFrame) -> DataFrame:
+    """Encodings as the vectors that the classifier of risk reads."""
+    from pyspark.ml.functions import array_to_vector
+
+    return encodings.withColumn("raw", array_to_vector("encoding"))
+
+
 def risk_classifier(encodings: DataFrame, label: str, *, width: int = 112, layers: Sequence[int] = (64, 32), seed: int = 42, iterations: int = 30):
     """Scaled encodings through a small perceptron; returns the fitted pipeline model."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
 
-    prepared = encodings.withColumn("raw", array_to_vector("encoding"))
+    prepared = prepared_encodings(encodings)
     stages = [
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
         MultilayerPerceptronClassifier(featuresCol="scaled", labelCol=label, layers=[width, *layers, 2], seed=seed, maxIter=iterations),

@@ -91,13 +91,29 @@ def _(t):
     return E.robustness(both, "model", "part", "predicted")
 
 
-@query("ml10_risk_classifier")
-def _(t):
+def encoded(t):
+    """Encodings of three widths with a label, split into training and test rows."""
     e = t.read("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
     parts = [e.select("vec_id", "a"), e.select("vec_id", F.slice("a", 1, 32).alias("b")), e.select("vec_id", F.slice("a", 1, 16).alias("c"))]
     whole = lookups.concat_encodings(parts, "vec_id", ["a", "b", "c"], [64, 32, 16]).join(e.select("vec_id", (F.col("label") > 0).cast("int").alias("risk")), "vec_id")
-    model, prepared = forest.risk_classifier(whole, "risk")
-    return model.transform(prepared).groupBy("risk", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(forest.stratified_split(whole, "vec_id"))
+
+
+@query(
+    "ml10_split",
+    """SELECT risk, part, count(*) AS n FROM (SELECT CAST(label > 0 AS INTEGER) AS risk, CASE WHEN CAST('0x' || substr(md5(vec_id || '|42'), 1, 7) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS part
+         FROM embeddings) GROUP BY ALL""",
+)
+def _(t):
+    return encoded(t).groupBy("risk", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml10_risk_classifier")
+def _(t):
+    """Judged on rows the fit has not seen."""
+    rows = encoded(t)
+    model, _ = forest.risk_classifier(rows.filter("part = 'train'").drop("part"), "risk")
+    return model.transform(forest.prepared_encodings(rows.filter("part = 'test'"))).groupBy("risk", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ml11_permutation_importance")
