@@ -31,7 +31,7 @@ from tracewarden.llm.passing import attach
 PIECE = 1 << 16
 #: Longer words are not kept in the cache of words, which is emptied when it holds CACHE of them.
 SHORT = 40
-CACHE = 400_000
+CACHE = 250_000
 _NO_MERGE = 1 << 60
 TOKENS = "ids array<int>, decoded string"
 

@@ -16,7 +16,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _RANDOM = np.random.default_rng(20_240_917)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm.byte_text import LOWER, NOT_SPACE, Block, Words, blocks, mix, sums_between
 from tracewarden.llm.passing import attach, restored
 
-SAMPLE = 1500
+SAMPLE = 1000
 SAMPLE_BYTES = 1 << 16
 THRESHOLD = 0.5
 BITS = 17
@@ -109,11 +109,15 @@ def fit_numpy(y: np.ndarray, slots: list[np.ndarray], shares: list[np.ndarray])
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
-    row = np.repeat(np.arange(len(y)), [len(s) for s in slots])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(s) for s in slots])
     first = np.concatenate([[0], np.cumsum([len(s) for s in slots])])
     slot = np.concatenate(slots) if slots else np.zeros(0, np.int32)
-    value = SCALE * (np.concatenate(shares).astype(np.float64) if shares else np.zeros(0))
-    used, slot = np.unique(slot, return_inverse=True)
+    value = np.float32(SCALE) * (np.concatenate(shares) if shares else np.zeros(0, np.float32))
+    # slots are few: a table renames them, without sorting all entries
+    seen = np.zeros(_FAMILIES << BITS, bool)
+    seen[slot] = True
+    used = np.flatnonzero(seen)
+    slot = (np.cumsum(seen, dtype=np.int32) - 1)[slot]
     w, bias = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     margin = lambda: sums_between(w[slot] * value, first) + bias
@@ -126,8 +130,8 @@ def fit_numpy(y: np.ndarray, slots: list[np.ndarray], shares: list[np.ndarray])
         w -= step[:-1]
         bias -= step[-1]
     # calibration: slope and shift by Newton steps, with smoothed targets
-    seen = held if held.any() else np.ones(len(y), bool)
-    z, t = margin()[seen], y[seen]
+    calm = held if held.any() else np.ones(len(y), bool)
+    z, t = margin()[calm], y[calm]
     each = np.where(t == 1, 0.5 / max(1, (t == 1).sum()), 0.5 / max(1, (t == 0).sum()))
     goal = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((t == 0).sum() + 2))
     a, b = 1.0, 0.0
