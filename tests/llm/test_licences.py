@@ -66,3 +66,14 @@ def test_whole_table(spark):
     assert sorted(have, key=str) == sorted(brute([(i, p, texts[i]) for i, p, *_ in have]), key=str)
     plan = op5(read)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_whole_licence_files_are_found_and_inherited(spark):
+    texts = dict(licences.whole_texts())
+    mit = texts["MIT"].replace("<year> <copyright holders>", "2019 Jane Roe and the Foo project")
+    rows = [(1, "m/LICENSE", mit), (2, "m/src/a.py", "code"), (3, "p/LICENSE.txt", texts["Apache-2.0"]), (4, "p/b/c.py", None)]
+    rows += [(10 + k, f"all/{n}/COPYING", t.replace("\n", "\r\n")) for k, (n, t) in enumerate(texts.items())]
+    rows += [(30, "prose/LICENSE", "story of the sea and the old boat\n" * 40 + licences.TEMPLATES["CC-BY-4.0"] + "\nmore"), (31, "prose/x", "x"), (32, "s/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later"), (33, "none/LICENSE", "the of and to in a is that for it " * 300)]
+    have = {r.row.doc_id: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), ["doc_id"]).collect()}
+    want = {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Apache-2.0", "inherited"), 30: ("CC-BY-4.0", "own"), 31: ("CC-BY-4.0", "inherited"), 32: ("GPL-2.0", "own"), 33: (None, "none")}
+    assert have == want | {10 + k: (n, "own") for k, n in enumerate(texts)}
