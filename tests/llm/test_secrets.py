@@ -80,3 +80,21 @@ def test_redaction(spark):
     assert secrets.redact(docs, PATH).columns == docs.columns
     assert rows[1].text == "a [secret]' b [secret]" and rows[1].n_chars == 22
     assert (rows[2].text, rows[2].n_chars, rows[3].text, rows[3].n_chars) == (None, None, "é", 1)
+
+
+@pytest.mark.parametrize("alphabet, size", [("abcdefghijklmnopqrstuvwxyz0123456789", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24), ("abcdefghijklmnopqrstuvwxyz", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 24)])
+@pytest.mark.parametrize("before", ["", "https://hooks.example.com/services/integrations/notifications/", "/etc/application/credentials/production/", "my-service-account=", "deploy_value_of_the_service="])
+def test_recall_in_paths_and_assignments(words, alphabet, size, before):
+    rng = random.Random(5)
+    hit = 0
+    for _ in range(200):
+        key = "".join(rng.choices(alphabet, k=size))
+        text = f"see {before}{key} there"
+        at = text.index(key)
+        hit += any(s <= at and at + size <= e for s, k, e in secrets.spans(text, words) if k == 3)
+    assert hit >= 190
+
+
+def test_no_random_strings_in_names(words):
+    for plain in ("com/services/integrations/notifications/settings", "getHttpResponseCodeFromServerConnection", "HAVE_SCHED_SETSCHEDULER", "abcdefghijklmnopqrstuvwxyz", "api/550e8400-e29b-41d4-a716-446655440000/items", "archive/d41d8cd98f00b204e9800998ecf8427e/download", "donaudampfschifffahrtsgesellschaft", "--------------------------------"):
+        assert secrets.dense_spans(plain, words) == [], plain

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, then random strings by how few characters a token of theirs has.
 
 A vocabulary learned from prose and code needs few tokens for words and names, and a token for nearly every other
-character of a random string.  Candidates are runs of 20 or more key characters with a letter and a digit; known
-digests and identifiers are left out; what is left with at most ``RATIO`` characters a token counts as random.
+character of a random string.  Candidates are runs of 20 or more key characters; known digests and identifiers are
+left out.  A run with a letter and a digit that has at most ``RATIO`` characters a token counts as random as a whole.
+In any other the densest stretches are looked for, as readable words joined to a secret lift the ratio of the run.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ FOUND = "spans array<struct<kind:string,start:long,end:long>>"
 MASK = "[secret]"
 #: Token counts of longer runs are sums over pieces of this length.
 PIECE = 256
+#: Least length of a random string, of its longest part between separators, and the loss at which a stretch ends.
+LEAST, LEAST_PART, DROP = 20, 12, 8.0
+#: Strings of letters alone: at most this share of them in tokens of four or more, as words have.
+WORDY = 0.3
 
 # The patterns of the base kinds and what their matches must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,6 +46,15 @@ _KNOWN = re.compile(
     r"|(?:sha(?:1|224|256|384|512)|md5)[-=][A-Za-z0-9+/=]+"
     r"|[0-9eETZ+/_=-]+"
 )
+# The same inside a run, between separators: neither is part of a random string.
+_KNOWN_PART = re.compile(
+    r"(?<![A-Za-z0-9])(?:"
+    r"(?:[0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|(?:sha(?:1|224|256|384|512)|md5)[-=][A-Za-z0-9+/=]+"
+    r"|[0-9eETZ]+)(?![A-Za-z0-9])"
+)
+_PART = re.compile(r"[A-Za-z0-9]+")
 # Same rule as the vocabulary was made with: words, numbers, other characters.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -62,15 +76,96 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX_LONG.finditer(text)]
 
 
+def _tokens(part: str, words: tiktoken.Encoding) -> list[int]:
+    """Lengths of the tokens of a string of ASCII characters."""
+    pieces = (part[k : k + PIECE] for k in range(0, len(part), PIECE))
+    return [len(words.decode_single_token_bytes(t)) for x in pieces for t in words.encode_ordinary(x)]
+
+
+def _wordy(text: str, lengths: list[int]) -> bool:
+    """Letters that are words to the vocabulary, or the alphabet."""
+    return sum(n for n in lengths if n > 3) > WORDY * sum(lengths) or "abcdefg" in text.lower()
+
+
+def _stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """Runs of items with the largest sums, one after the other; each ends where the sum fell by ``DROP`` or to zero."""
+    out, k = [], 0
+    while k < len(scores):
+        if scores[k] <= 0:
+            k += 1
+            continue
+        total, best, stop, j = 0.0, 0.0, k, k
+        while j < len(scores):
+            total += scores[j]
+            j += 1
+            if total > best:
+                best, stop = total, j
+            if total <= 0 or total < best - DROP:
+                break
+        out.append((k, stop))
+        k = stop
+    return out
+
+
+def dense_spans(run: str, words: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(start, end) of the random strings inside a run, widened to the separators around them.
+
+    Separators count neither way, so that they neither hide a secret nor make one of short words.
+    """
+    known = {k for m in _KNOWN_PART.finditer(run) for k in range(m.start(), m.end())}
+    out, items = [], []
+
+    def flush():
+        for i, j in _stretches([ratio - n for _, n, _, _ in items]):
+            inside = items[i:j]
+            # a part of which only a small rest is dense stays out
+            parts: dict[tuple[int, int], int] = {}
+            for _, n, s, e in inside:
+                parts[s, e] = parts.get((s, e), 0) + n
+            held = [(s, e) for (s, e), n in parts.items() if n >= LEAST_PART or n == e - s]
+            size = sum(n for _, n, _, _ in inside)
+            if size < LEAST or size > ratio * len(inside) or max(parts.values()) < LEAST_PART or not held:
+                continue
+            start, end = min(s for s, _ in held), max(e for _, e in held)
+            letters = all(run[s:e].isalpha() for s, e in held)
+            if not letters or max(parts.values()) >= LEAST and not _wordy(run[start:end], [n for _, n, _, _ in inside]):
+                out.append((start, end))
+        items.clear()
+
+    for m in _PART.finditer(run):
+        if m.start() in known:
+            # short numbers are as likely pieces of a secret in base64; longer known ones end a stretch
+            if m.end() - m.start() >= 8:
+                flush()
+            continue
+        at, lengths = m.start(), _tokens(m[0], words)
+        if LEAST <= len(m[0]) <= ratio * len(lengths) and not (m[0].isalpha() and _wordy(m[0], lengths)):
+            out.append(m.span())
+        for n in lengths:
+            items.append((at, n, m.start(), m.end()))
+            at += n
+    flush()
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(out):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(end, merged[-1][1])
+        else:
+            merged.append((start, end))
+    return merged
+
+
 def random_spans(text: str, words: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     out = []
     for m in _CANDIDATE.finditer(text):
         run = m[0]
-        if not _MIXED.match(run) or _KNOWN.fullmatch(run):
+        if _KNOWN.fullmatch(run):
             continue
-        tokens = sum(len(words.encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
-        if len(run) <= ratio * tokens:
-            out.append((m.start(), 3, m.end()))
+        if _MIXED.match(run):
+            tokens = sum(len(words.encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
+            if len(run) <= ratio * tokens:
+                out.append((m.start(), 3, m.end()))
+                continue
+        out += [(m.start() + s, 3, m.start() + e) for s, e in dense_spans(run, words, ratio)]
     return out
 
 
