@@ -88,3 +88,13 @@ def test_student_quantiles_for_any_number_of_folds(spark):
         assert abs(forest.student_975(freedom) - value) < 1e-4
     folds = spark.createDataFrame([(0.5, 0.5, 0.5)], "f1 double, precision double, tpr double")
     assert forest.summarise_folds(folds, 1).first().f1_low is None
+
+
+def test_full_walks_go_on_from_the_small_ones(spark):
+    import __spark_entry__ as entry
+
+    run = lambda name: {(r.start, r.walk): r.path.split(" ") for r in entry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+    small, full = run("gr04_random_walks"), run("gr04_random_walks_full")
+    assert {k for _, k in full} == set(range(1, 11)) and all(len(p) == 40 for p in full.values())
+    assert len(full) == 10 * len({s for s, _ in small})
+    assert all(full[k][:10] == p for k, p in small.items())

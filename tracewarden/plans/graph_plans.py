@@ -79,8 +79,18 @@ _DRAW = "CAST('0x' || substr(md5(concat_ws('|', {}, '7')), 1, 7) AS BIGINT)"
     ("log",),
 )
 def _(t):
+    return _walks(t, 3, 10)
+
+
+def _walks(t, walks, length):
     links = t.log.select(F.col("remote_addr").alias("src"), S.uri_path(F.col("request_uri")).alias("dst"))
-    return graph.random_walks(links, walks=3, length=10).select("start", "walk", F.array_join("path", " ").alias("path"))
+    return graph.random_walks(links, walks=walks, length=length).select("start", "walk", F.array_join("path", " ").alias("path"))
+
+
+@query("gr04_random_walks_full")
+def _(t):
+    """The size of the original; its first walks and steps are those of the smaller query, which SQL repeats."""
+    return _walks(t, 10, 40)
 
 
 @query(
