@@ -90,3 +90,20 @@ def test_links_of_dense_group(spark, tile, monkeypatch):
 
     roots = {r.node: r.root for r in components(simhash.links(nodes)).collect()}
     assert [roots.get(k, k) for k in range(len(prints))] == want.tolist()
+
+
+def test_rows_are_kept_by_content_not_by_id(spark):
+    base = " ".join(f"w{k}" for k in range(400))
+    other, third = " ".join(f"x{k}" for k in range(300)), " ".join(f"y{k}" for k in range(300))
+    rows = [(1, other), (1, third), (3, base), (5, base.replace("w7 ", "w7x ")), (5, "a text of its own kind here"), (5, "a text of its own kind here"), *[(None, "no id and many copies of this")] * 50, (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, other), (1, third), (3, base), (5, "a text of its own kind here"), (None, "no id and many copies of this"), (None, None)], key=str)
+
+
+def test_links_through_rows_without_an_id(spark, monkeypatch):
+    prints = [(1, 0), (None, 0b111), (2, 0b111111), (None, 1 << 40 | 0xFFFF << 20)]
+    fixed = spark.createDataFrame(prints, "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fixed)
+    have = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(fixed).collect()), key=str)
+    assert have == sorted([(1, 1), (None, 1), (2, 1), (None, None)], key=str)

@@ -16,11 +16,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.byte_text import LOWER, NOT_SPACE, Block, Words, blocks
 from tracewarden.llm.components import components
+from tracewarden.llm.passing import as_row, named
 from tracewarden.session import cut_lineage
 
 SHINGLE = 3
@@ -195,32 +196,54 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.select("prints_a", "ids_a", "prints", "ids").mapInArrow(_link_batches(radius), "a long, b long")
 
 
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, root)`` of every fingerprint of ``prints``; root is the smallest fingerprint that links reach.
+
+    Fingerprints are their own nodes, so that those which only rows without an id have link like any other.
+    """
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.first("fp").alias("node")))
+    roots = components(links(nodes, radius))
+    return nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row for every row of ``docs``.
 
     ``fingerprint`` is 16 lowercase hex digits, ``component_id`` the smallest id that links of ``radius`` or fewer
     differing bits reach.  Null and empty texts and texts without words have fingerprint zero and link like any
-    other.  Repeated rows appear as often as they come.  A null id stays null and names no component: its row gets
-    the component of its fingerprint, null if only null ids have it.  Empty tables give no rows.
+    other.  Repeated rows appear as often as they come.  A null id stays null and names no component: its row links
+    like others and gets the component, null if only null ids are in it.  Empty tables give no rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null")
-    roots = components(links(nodes, radius))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    rooted = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("id")).join(groups(prints, radius), "fp"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = rooted.join(least, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp", "left").select(F.col("id").alias("doc_id"), digits, "component_id")
+    return prints.join(found, "fp", "left").select(F.col("id").alias("doc_id"), digits, "component_id")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Of all columns with their names; equal for equal rows only."""
+    return F.unhex(F.sha2(F.to_json(as_row(docs)), 256))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.  Columns are those of ``docs``.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each near-duplicate group: that of the smallest id, then of the smallest hash of the whole row.
 
-    Rows that share the surviving id keep one row (which one is left open if they differ).  Rows without an id
-    cannot be named and stay.  Texts without words are one group.
+    Columns are those of ``docs``.  Rows are told apart by their content, not by their id: rows with one id and
+    different texts are judged each by its own text.  Of rows without an id, which cannot be ranked by it, one of each
+    group stays beside the one with an id.  Texts without words are one group.
     """
-    ident = F.col(id_col).cast("long")
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = cut_lineage(kept.select(F.col("doc_id").alias("__id"), "copies"))
-    once = docs.join(kept.where("copies = 1"), ident == F.col("__id"), "left_semi")
-    again = docs.join(kept.where("copies > 1"), ident == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(ident.isNull()))
+    picked = docs.select(F.struct(named(id_col).cast("long").alias("id"), _row_hash(docs).alias("hash")).alias("key"), named(text_col).cast("string").alias("text"))
+    rows = cut_lineage(picked.mapInArrow(_fingerprint_batches, "id struct<id:long,hash:binary>, fp long")).select("fp", "id.*")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "hash"))).alias("first")
+    bare = F.min(F.when(F.col("id").isNull(), F.col("hash"))).alias("bare")
+    per_print = rows.groupBy("fp").agg(first, bare).join(groups(rows, radius), "fp")
+    best = per_print.groupBy("root").agg(F.min("first").alias("first"), F.min("bare").alias("bare"))
+    chosen = best.select(F.explode(F.array_compact(F.array("first.hash", "bare"))).alias("__hash"))
+    copies = rows.groupBy(F.col("hash").alias("__hash")).agg(F.count("*").alias("copies"))
+    kept = cut_lineage(chosen.join(copies, "__hash"))
+    hashed = _row_hash(docs)
+    once = docs.join(kept.where("copies = 1"), hashed == F.col("__hash"), "left_semi")
+    again = docs.select(as_row(docs), hashed.alias("__hash")).join(kept.where("copies > 1"), "__hash", "left_semi")
+    return once.union(again.dropDuplicates(["__hash"]).select("row.*"))
