@@ -31,3 +31,21 @@ SELECT conv_id, part, CAST(len(own) AS BIGINT) AS n_turns,
        list_aggregate(list_transform(own, lambda t: '<|im_start|>' || t.r || chr(10) || t.x || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
 FROM cut
 """
+
+_TERMS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS no, doc_id, {_TERMS} AS w FROM documents),
+stats AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+o AS (SELECT no, unnest(w) AS term FROM d),
+tf AS (SELECT no, term, count(*) AS tf FROM o SEMI JOIN q USING (term) GROUP BY no, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, stats GROUP BY term, n_docs),
+sizes AS (SELECT no, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, stats WHERE len(w) > 0),
+scores AS (
+    SELECT item_id, doc_id, no, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM q JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (no) GROUP BY item_id, doc_id, no
+),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, chat, decontaminate, language, licences, pii, quality, secrets, simhash, toxicity
-from tracewarden.llm.oracles import OP6_SQL, OP7_SQL
+from tracewarden.llm import bpe, chat, decontaminate, language, lexical, licences, pii, quality, secrets, simhash, toxicity
+from tracewarden.llm.oracles import OP6_SQL, OP7_SQL, OP13_SQL
 from tracewarden.llm.registry import query
 
 
@@ -106,3 +106,8 @@ def op5(read):
 @query("op6_snapshot_collapse", OP6_SQL)
 def op6(read):
     return chat.render(read("conversations"))
+
+
+@query("op13_accumulator_limited_search", OP13_SQL)
+def op13(read):
+    return lexical.search(read("documents"), read("benchmark"))
