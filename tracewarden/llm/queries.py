@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, chat, decontaminate, language, lexical, licences, pii, quality, secrets, simhash, toxicity
-from tracewarden.llm.oracles import OP6_SQL, OP7_SQL, OP13_SQL
+from tracewarden.llm import bpe, chat, decontaminate, language, lexical, licences, pii, quality, secrets, simhash, substring_dedup, toxicity
+from tracewarden.llm.oracles import OP6_SQL, OP7_SQL, OP12_SQL, OP13_SQL
 from tracewarden.llm.registry import query
 
 
@@ -111,3 +111,9 @@ def op6(read):
 @query("op13_accumulator_limited_search", OP13_SQL)
 def op13(read):
     return lexical.search(read("documents"), read("benchmark"))
+
+
+@query("op12_fm_index_substrings", OP12_SQL)
+def op12(read):
+    found = substring_dedup.dedup(read("documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
