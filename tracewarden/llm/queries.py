@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, chat, decontaminate, language, lexical, licences, pii, quality, secrets, simhash, substring_dedup, toxicity
-from tracewarden.llm.oracles import OP6_SQL, OP7_SQL, OP12_SQL, OP13_SQL
+from tracewarden.llm import bpe, chat, collocations, decontaminate, language, lexical, licences, pii, quality, secrets, simhash, substring_dedup, toxicity
+from tracewarden.llm.oracles import OP6_SQL, OP7_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from tracewarden.llm.registry import query
 
 
@@ -117,3 +117,8 @@ def op13(read):
 def op12(read):
     found = substring_dedup.dedup(read("documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_son_collocations", OP11_SQL)
+def op11(read):
+    return collocations.collocations(read("documents"))
