@@ -30,8 +30,8 @@ SUPPORT, TOP, SHARDS = 10, 2000, 4
 SIZES = (1, 2, 3)
 #: Shards of a language whose local support is known to the tasks, largest first; others are mined at support 1.
 KNOWN = 1 << 16
-#: Phrase occurrences that a task combines at a time.
-COMBINE = 1 << 21
+#: Distinct phrases of blocks that a task combines at a time.
+COMBINE = 1 << 19
 _ODD = np.random.default_rng(20_261_202).integers(1 << 62, 1 << 63, (4, 4), dtype=np.uint64) | np.uint64(1)
 
 _BREAK = np.zeros(256, bool)
@@ -92,21 +92,27 @@ def _runs(starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each distinct key: the place of one occurrence, and how many there are."""
+def _grouped(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct key: one place of it, and the sum of ``n``."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(keys)
-    head = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])[: len(keys)])
-    return order[head], np.diff(np.append(head, len(keys)))
+    head = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+    return order[head], np.add.reduceat(n[order], head)
 
 
 def _mine_batches(shared, size: int):
     """``(shard, phrase, need, n)``: local counts of phrases, with the local support of their language's shard."""
     names = ["shard", "phrase", "need", "n"]
 
-    def combined(parts: list[tuple]) -> pa.RecordBatch:
-        shard, phrase, need = (np.concatenate(x) for x in zip(*parts))
-        one, n = _grouped(phrase + shard.astype(np.uint64) * _ODD[0, 0])
-        return pa.RecordBatch.from_arrays([pa.array(shard[one], pa.int32()), pa.array(phrase[one].view(np.int64)), pa.array(need[one], pa.int32()), pa.array(n, pa.int64())], names)
+    def combined(parts: list[tuple]) -> tuple:
+        shard, phrase, need, n = (np.concatenate(x) for x in zip(*parts))
+        one, n = _grouped(phrase + shard.astype(np.uint64) * _ODD[0, 0], n)
+        return shard[one], phrase[one], need[one], n
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        shard, phrase, need, n = combined(parts)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(phrase.view(np.int64)), pa.array(need), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needs, below = shared.value
@@ -118,13 +124,13 @@ def _mine_batches(shared, size: int):
                 phrases = Phrases(block, hashes[block.lo : block.hi])
                 at, keys = phrases.level(size, below)
                 row = block.lo + phrases.words.row[at]
-                parts.append((shards[row], keys, supports[row]))
-                held += len(at)
+                parts.append(combined([(shards[row], keys, supports[row], np.ones(len(at), np.int64))]))
+                held += len(parts[-1][1])
                 if held >= COMBINE:
-                    yield combined(parts)
+                    yield rows(parts)
                     parts, held = [], 0
         if held:
-            yield combined(parts)
+            yield rows(parts)
 
     return run
 
@@ -134,37 +140,49 @@ def _of_languages(batch: pa.RecordBatch, needs: dict) -> tuple[np.ndarray, np.nd
     coded = batch.column("lang").dictionary_encode()
     names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     hashes = next((b.hashes(b.offset[:-1], b.offset[1:]) for b in blocks(coded.dictionary, 1 << 62)), np.zeros(0, np.uint64))
-    table = np.array([[needs.get((name, s), 1) for s in range(SHARDS)] for name in names], np.int64).reshape(len(names), SHARDS)
+    table = np.array([[needs.get((name, s), 1) for s in range(SHARDS)] for name in names], np.int32).reshape(len(names), SHARDS)
     return hashes[code], table[code, batch.column("shard").to_numpy()]
 
 
 def _count_batches(shared):
     """``(lang, size, phrase, n)``: counts of the candidates; size 0 counts all words of the language."""
+    names = ["lang", "size", "phrase", "n"]
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        keys, lang, size, phrase, n = zip(*parts)
+        one, n = _grouped(np.concatenate(keys), np.concatenate(n))
+        take = pa.array(one)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(lang).take(take), pa.array(np.concatenate(size)[one]), pa.concat_arrays(phrase).take(take), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = shared.value
+        parts, held = [], 0
         for batch in batches:
             hashes, _ = _of_languages(batch, {})
             lang = batch.column("lang")
-            for block in blocks(batch.column("text"), 8 << 20):
+            for block in blocks(batch.column("text")):
                 phrases = Phrases(block, hashes[block.lo : block.hi])
-                words = np.diff(phrases.words.first)
-                some = np.flatnonzero(words)
-                yield _counted(lang.take(pa.array(block.lo + some)), 0, pa.array([""] * len(some), pa.string()), words[some])
+                many = np.diff(phrases.words.first)
+                found = [(np.flatnonzero(many), hashes[block.lo : block.hi][many > 0], many[many > 0])]  # row, key, n of size 0
                 for size in SIZES:
                     at, keys = phrases.level(size, fields)
                     hit = fields[size - 1].has(keys)
-                    at, keys = at[hit], keys[hit]
-                    one, n = _grouped(keys)
-                    yield _counted(lang.take(pa.array(block.lo + phrases.words.row[at[one]])), size, phrases.strings(at[one], size), n)
+                    found.append((at[hit], keys[hit], np.ones(int(hit.sum()), np.int64)))
+                for size, (at, keys, n) in enumerate(found):
+                    one, n = _grouped(keys, n)
+                    row = phrases.words.row[at[one]] if size else at[one]
+                    phrase = phrases.strings(at[one], size) if size else pa.array([""] * len(one), pa.string())
+                    parts.append((keys[one], lang.take(pa.array(block.lo + row)), np.full(len(one), size, np.int32), phrase, n))
+                    held += len(one)
+                if held >= COMBINE // 2:
+                    yield rows(parts)
+                    parts, held = [], 0
+        if held:
+            yield rows(parts)
 
     return run
 
 
-def _counted(lang: pa.Array, size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(n), size), pa.int32()), phrase, pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
-
-
 def _needs(texts: DataFrame, support: int) -> dict:
     """Local support of the shards of the largest languages."""
     share = texts.groupBy("lang", "shard").agg(F.sum(F.octet_length("text")).alias("bytes"))
