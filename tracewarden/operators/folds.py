@@ -1,11 +1,11 @@
 """Order-dependent state per key that no window frame can express.
 
-Both folds run the same three passes over ``ordered_slices`` (so a hot key is spread over many
-slices and no task ever holds a whole key):
+Both folds run over ``ordered_slices`` (so a hot key is spread over many slices and no task ever holds a
+whole key):
 
-1. every slice reports what it does to the state of its first and last key - one or two rows per
-   slice, whatever its size;
-2. those summaries are chained per key, giving each slice the state it starts with;
+1. every slice reports on its first and last key - one or two rows per slice, whatever its size;
+2. from those reports each slice gets the state it starts with: moving averages chain them, anchored
+   groups rank the anchors of the slices (``chains``);
 3. the slices run again in parallel from their entry states.
 
 Python sees Arrow batches of a few narrow columns and keeps one key's state at a time.
@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewarden.operators.chains import entry_anchors
 from tracewarden.operators.scale import ordered_slices
 
-_NONE = np.iinfo(np.int64).min  # "no open group" inside summary arrays
-
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     """Start and end of each run of equal keys in a sorted batch."""
@@ -78,97 +77,6 @@ def walk_groups(t: np.ndarray, span: int, closes: bool, anchor: int | None, seq:
     return anchors, seqs, anchor, seq
 
 
-def group_exits(t: np.ndarray, span: int, closes: bool):
-    """What a slice filled by one key does to *any* entry anchor.
-
-    Returns thresholds with the anchor and group size left open at the end of the slice; the first
-    threshold beyond the entry anchor applies.  Entry anchors that lead to the same exit are merged.
-    """
-    m = len(t)
-    reach = min(m, int(np.searchsorted(t, t[0] + span, "right")) + 1)
-    # the row that ends the entry group: always the first of rows sharing one time
-    first = np.unique(t[:reach], return_index=True)[1]
-    cur = first + 1 if closes else first.copy()
-    live = cur < m
-    while live.any():
-        idx = np.flatnonzero(live)
-        if closes:
-            step = np.searchsorted(t, t[cur[idx]] + span, "left") + 1
-            moved = step <= m
-        else:
-            step = np.searchsorted(t, t[cur[idx]] + span, "right")
-            moved = step < m
-        cur[idx[moved]] = step[moved]
-        live[:] = False
-        live[idx[moved]] = cur[idx[moved]] < m
-    inside = cur < m
-    exit_anchor = np.where(inside, t[np.minimum(cur, m - 1)], _NONE)
-    exit_seq = np.where(inside, m - cur, 0)
-    last = np.r_[cur[1:] != cur[:-1], True]
-    return (t[first] - span)[last], exit_anchor[last], exit_seq[last]
-
-
-_GROUP_SUMMARY = (
-    "slice_id int, fold_key string, is_last boolean, n bigint, exit_anchor bigint, exit_seq bigint, "
-    "thresholds array<bigint>, exits array<bigint>, exit_seqs array<bigint>"
-)
-_GROUP_COLUMNS = [part.split()[0] for part in _GROUP_SUMMARY.split(", ")]
-
-
-def _summarise_groups(order_col: str, span: int, closes: bool) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slice_id = first_key = key = None
-        anchor, seq, n, seen = None, 0, 0, []
-        for b in batches:
-            keys, times = b["fold_key"].to_numpy(), b[order_col].to_numpy(np.int64)
-            for lo, hi in _runs(keys):
-                if keys[lo] != key:
-                    if key is None:
-                        slice_id, first_key = int(b["slice_id"].iloc[0]), keys[lo]
-                    key, anchor, seq, n = keys[lo], None, 0, 0
-                    seen = []
-                part = times[lo:hi]
-                _, _, anchor, seq = walk_groups(part, span, closes, anchor, seq)
-                n += hi - lo
-                if key == first_key:
-                    seen.append(part)
-        if key is None:
-            return
-        rows = []
-        if key == first_key:
-            th, ex, sq = group_exits(np.concatenate(seen), span, closes)
-            rows.append((slice_id, key, True, n, anchor, seq, th.tolist(), ex.tolist(), sq.tolist()))
-        else:
-            rows.append((slice_id, first_key, False, 0, None, 0, [], [], []))
-            rows.append((slice_id, key, True, n, anchor, seq, [], [], []))
-        out = pd.DataFrame(rows, columns=_GROUP_COLUMNS)
-        yield out.astype({"exit_anchor": "Int64"})
-
-    return run
-
-
-def _chain_groups(closes: bool) -> Callable:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, state = [], None  # state: (anchor or None, size) left by the slices so far
-        for r in pdf.sort_values("slice_id").itertuples(index=False):
-            fresh = (None if pd.isna(r.exit_anchor) else int(r.exit_anchor), int(r.exit_seq))
-            if state is not None and state[0] is not None:
-                out.append((r.slice_id, r.fold_key, state[0], state[1]))
-                if r.is_last:
-                    th = np.asarray(r.thresholds, np.int64)
-                    at = int(np.searchsorted(th, state[0], "left" if closes else "right"))
-                    if at < len(th):
-                        a = int(r.exits[at])
-                        state = (None if a == _NONE else a, int(r.exit_seqs[at]))
-                    else:
-                        state = (state[0], state[1] + int(r.n))
-            elif r.is_last:
-                state = fresh
-        return pd.DataFrame(out, columns=["slice_id", "fold_key", "in_anchor", "in_seq"])
-
-    return run
-
-
 def _label_groups(order_col: str, span: int, closes: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, anchor, seq = None, None, 0
@@ -203,12 +111,8 @@ def anchored_groups(
     See ``walk_groups`` for the two grouping rules.
     """
     cut = _slices_with_key(df, keys, order, slices)
-    summary = cut.select("slice_id", "fold_key", order[0]).mapInPandas(
-        _summarise_groups(order[0], span_us, closes), _GROUP_SUMMARY
-    )
-    entries = summary.groupBy("fold_key").applyInPandas(
-        _chain_groups(closes), "slice_id int, fold_key string, in_anchor bigint, in_seq bigint"
-    )
+    walk = lambda times, anchor, seq: walk_groups(times, span_us, closes, anchor, seq)
+    entries = entry_anchors(cut, order[0], span_us, closes=closes, walk=walk)
     schema = T.StructType([*df.schema.fields, T.StructField("anchor_us", T.LongType()), T.StructField("group_seq", T.LongType())])
     entered = _enter(cut, entries, ["in_anchor", "in_seq"])
     return entered.select(*df.columns, "slice_id", "fold_key", "in_anchor", "in_seq").mapInPandas(
