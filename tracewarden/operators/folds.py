@@ -126,12 +126,25 @@ def anchored_groups(
 
 
 def ema_path(x: np.ndarray, alpha: float, state: float) -> tuple[np.ndarray, float]:
-    """Averages *before* each observation, and the one after the last."""
-    before = np.empty(len(x))
+    """Averages *before* each observation, and the one after the last.
+
+    The recurrence s' = alpha x + k s is solved block by block: within a block s after i observations is
+    k^i (s + alpha (x_1 / k + ... + x_i / k^i)).  A block ends where 1 / k^i reaches 1e9, so no digits are lost.
+    """
+    x = np.asarray(x, np.float64)
     keep = 1.0 - alpha
-    for i, v in enumerate(x.tolist()):
-        before[i] = state
-        state = alpha * v + keep * state
+    before = np.empty(len(x))
+    if keep <= 0.0:
+        before[:1], before[1:] = state, x[:-1]
+        return before, float(x[-1]) if len(x) else state
+    block = 512 if keep >= 1.0 else max(1, min(512, int(np.log(1e9) / -np.log(keep))))
+    power = keep ** np.arange(1, block + 1)
+    for lo in range(0, len(x), block):
+        part = x[lo : lo + block]
+        after = power[: len(part)] * (state + alpha * np.cumsum(part / power[: len(part)]))
+        before[lo] = state
+        before[lo + 1 : lo + len(part)] = after[:-1]
+        state = float(after[-1])
     return before, state
 
 

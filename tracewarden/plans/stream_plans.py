@@ -1,7 +1,8 @@
-"""Streaming queries over the whole event table, fed in two instalments through one checkpoint.
+"""Streaming queries over the whole event table, fed in six pages out of order, with a restart after three.
 
-The second instalment carries one marker row far in the future, which moves the watermark past every
-real event so that append mode emits all of them; the marker itself is filtered from the results.
+A row's page is that of its time plus a delay drawn from its id, up to the watermark's: rows come late, as late as
+the watermark allows, and never in order.  The last page carries one marker row far in the future, which moves the
+watermark past every real event so that append mode emits all of them; the marker itself is filtered from the results.
 """
 
 from pyspark.sql import functions as F
@@ -14,33 +15,38 @@ from tracewarden.plans.sql_views import DAY
 from tracewarden.streaming import jobs
 
 MARKER = "marker"
-WATERMARK = "1 hour"
+DELAY_DAYS, PAGES, PAGE_US = 2, 6, 5 * DAY
+WATERMARK = f"{DELAY_DAYS} days"
 
 
 END_US = 9_183_110_400_000_000  # 2261-01-01: later than the end of the input, within the range of pandas times
 
 
-def instalments(t, df, key):
-    """The first fifteen days, then the rest with the marker row."""
-    split = F.col("us") < t.log.agg(F.min("us") + F.lit(15 * DAY)).scalar()
+def pages(t, df, key):
+    """Pages in order of arrival, each shuffled; the last one with the marker row."""
+    drawn = F.xxhash64("event_id")
+    arrival = F.col("us") - t.log.agg(F.min("us")).scalar() + F.pmod(drawn, F.lit(DELAY_DAYS * DAY))
+    dealt = df.withColumn("_page", F.least(F.greatest(F.floor(arrival / PAGE_US), F.lit(0)), F.lit(PAGES - 1)))
     late = {
         "us": F.lit(END_US), "event_id": F.lit(-1), key: F.lit(MARKER), "ts": F.timestamp_micros(F.lit(END_US)),
     }
     marker = t.spark.range(1).select(*[late.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
-    return [df.filter(split), df.filter(~split).unionByName(marker)]
+    for page in range(PAGES):
+        part = dealt.where(F.col("_page") == page).drop("_page").repartition(drawn).sortWithinPartitions(drawn)
+        yield part.unionByName(marker) if page == PAGES - 1 else part
 
 
 def run_stream(t, df, build, key="remote_addr", sink=jobs.start):
-    """Feed ``df`` in instalments to ``build`` (stream in, stream out) and read the sink; also gives the queries."""
+    """Feed ``df`` in pages to ``build`` (stream in, stream out) and read the sink; also gives the queries."""
     base, queries = workdir(t), []
     out = f"{base}/out"
-    jobs.keep_progress(t.spark)
-    for part in instalments(t, df, key):
-        part.write.mode("append").parquet(f"{base}/in")
-        stream = t.spark.readStream.schema(df.schema).parquet(f"{base}/in")
-        q = sink(build(stream), out, f"{base}/checkpoint", poll=None)
-        q.awaitTermination()
-        queries.append(q)
+    for number, part in enumerate(pages(t, df, key), 1):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if number % (PAGES // 2) == 0:
+            stream = jobs.read_pages(t.spark, f"{base}/in", df.schema, 1)
+            q = sink(build(stream), out, f"{base}/checkpoint", poll=None)
+            q.awaitTermination()
+            queries.append(q)
     return t.spark.read.parquet(out), queries
 
 
@@ -151,17 +157,28 @@ def _(t):
     return out.filter(F.col("remote_addr") != MARKER)
 
 
+def observed_run(t):
+    """Progress rows of the sliding rate over all pages, from a listener."""
+    with jobs.ProgressLog(t.spark, f"{workdir(t)}/progress") as log:
+        _, queries = run_stream(t, log_rows(t), lambda s: jobs.sliding_rate(s, "1 day", "4 hours", WATERMARK, 6))
+        return log.table(queries)
+
+
 @query("str11_throughput_report")
 def _(t):
-    _, queries = run_stream(t, log_rows(t), lambda s: jobs.sliding_rate(s, "1 day", "4 hours", WATERMARK, 6))
-    return jobs.throughput_report(jobs.progress_table(t.spark, queries))
+    return jobs.throughput_report(observed_run(t))
 
 
 @query("str11_processed_events", "SELECT count(*) + 1 AS events, 0 AS dropped_late FROM log", ("log",))
 def _(t):
-    """All rows and the closing one, whatever the instalments."""
-    _, queries = run_stream(t, log_rows(t), lambda s: jobs.sliding_rate(s, "1 day", "4 hours", WATERMARK, 6))
-    return jobs.throughput_report(jobs.progress_table(t.spark, queries)).select("events", "dropped_late")
+    """All rows and the closing one, whatever the pages."""
+    return jobs.throughput_report(observed_run(t)).select("events", "dropped_late")
+
+
+@query("str11_micro_batches", f"SELECT count(DISTINCT least((us - lo) // {PAGE_US}, {PAGES - 1})) AS busy_batches FROM log, (SELECT min(us) AS lo FROM log)", ("log",))
+def _(t):
+    """Micro-batches that had rows: one a page."""
+    return observed_run(t).where("rows > 0").agg(F.count(F.lit(1)).alias("busy_batches"))
 
 
 @query(

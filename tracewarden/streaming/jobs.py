@@ -1,18 +1,22 @@
 """The detectors as streaming queries.
 
-Windows and joins use the built-in streaming operators; per-key recursions keep a few numbers of keyed
-state and fold each micro-batch of a key in time order, with the same small helpers as the batch jobs.
-Every stateful query declares a watermark, and idle keys leave the state by timeout.
+Windows and joins use the built-in streaming operators.  Per-key recursions fold rows in event order, whatever
+the order in which they arrive: a row waits in the state until the watermark has passed it, a timer then takes
+all such rows of the key in order through the same small helpers as the batch jobs.  So the state of a key holds a
+few numbers and its rows within the watermark's delay, and idle keys leave it by timer.
 """
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewarden.functions import signatures as S
@@ -20,6 +24,11 @@ from tracewarden.operators.folds import walk_groups
 from tracewarden.sources import files
 
 
+def read_pages(spark, path: str, schema, files: int) -> DataFrame:
+    """A growing folder of tables as a stream, at most ``files`` new files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def start(df: DataFrame, path: str, checkpoint: str, *, mode: str = "append", poll: str | None = "5 seconds"):
     """Parquet sink polled every ``poll``; ``poll=None`` processes what is available and ends."""
     writer = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
@@ -88,37 +97,61 @@ def enriched(events: DataFrame, intel: DataFrame, ip: str) -> DataFrame:
     return events.join(intel.withColumnRenamed("ip", ip), ip, "left")
 
 
-def _gathered(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    """This micro-batch's rows of one key in time order; bounded by the batch size."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
-
-
 #: A row dated later than this (2200-01-01) ends a finite input: every key still held is flushed.
 END_OF_INPUT_MS = 7_258_118_400_000
-#: Micro-batches of which Spark keeps the progress for ``progress_table``.
-PROGRESS_KEPT = 1_000_000
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], watermark: str, output: str, state: str, fold: Callable, on_timeout: Callable | None = None, keep_ms: int | None = 600_000) -> DataFrame:
-    """Stateful map per key; a key silent for ``keep_ms`` of event time is flushed and forgotten.
+def _keyed(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], watermark: str, output: str, state: str, fold: Callable,
+    on_timeout: Callable | None = None, keep_ms: int | None = 600_000,
+) -> DataFrame:
+    """Stateful map per key in the order of ``us`` and ``event_id``.
 
-    With ``keep_ms=None`` a key is held until the end of the input.
+    ``fold(key, columns, state)`` gets the rows that the watermark has passed, as arrays by name, and the state that
+    it left.  A key silent for ``keep_ms`` of event time is flushed and forgotten; with ``keep_ms=None`` it is held
+    until the end of the input.
     """
+    names = ["us", "event_id", *values]
+    types = dict(df.select(*names).dtypes)
+    waiting = ", ".join(f"w_{n} array<{types[n]}>" for n in names)
+    kinds = {n: np.float64 if types[n] in ("double", "float") else np.int64 for n in names}
+    folded = len(state.split(", "))
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            if on_timeout is not None:
-                yield from on_timeout(key, held.get)
+        old = held.getOption
+        had, parts = (None, {n: [] for n in names})
+        if old is not None:
+            known, last_us, lists, had = old[0], old[1], old[2 : 2 + len(names)], tuple(old[2 + len(names) :])
+            had = had if known else None
+            for n, column in zip(names, lists, strict=True):
+                parts[n].append(np.asarray(column, kinds[n]))
+        else:
+            last_us = 0
+        if not held.hasTimedOut:
+            for pdf in batches:
+                for n in names:
+                    parts[n].append(pdf[n].to_numpy(kinds[n]))
+        now = held.getCurrentWatermarkMs()
+        rows = {n: np.concatenate(x or [np.zeros(0, kinds[n])]) for n, x in parts.items()}
+        order = np.lexsort((rows["event_id"], rows["us"]))
+        ready = int(np.searchsorted(rows["us"][order], now * 1000, "left"))  # later rows may still arrive at or beyond the watermark
+        if ready:
+            first = {n: x[order[:ready]] for n, x in rows.items()}
+            out, had = fold(key, first, had)
+            last_us = int(first["us"][-1])
+            yield out
+        rest = {n: x[order[ready:]].tolist() for n, x in rows.items()}
+        silent = END_OF_INPUT_MS if keep_ms is None else last_us // 1000 + keep_ms
+        if not rest["us"] and silent <= now:
+            if on_timeout is not None and had is not None:
+                yield from on_timeout(key, had)
             held.remove()
             return
-        pdf = _gathered(batches, ["us", "event_id"])
-        out, new = fold(key, pdf, held.getOption)
-        held.update(new)
-        last = max(held.getCurrentWatermarkMs(), int(pdf["us"].iloc[-1]) // 1000)
-        held.setTimeoutTimestamp(max(last + 1, END_OF_INPUT_MS) if keep_ms is None else last + keep_ms)
-        yield out
+        held.update((had is not None, last_us, *(rest[n] for n in names), *(had if had is not None else (None,) * folded)))
+        held.setTimeoutTimestamp(max(now + 1, rest["us"][0] // 1000 + 1 if rest["us"] else silent))
 
-    return df.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    schema = f"known boolean, last_us long, {waiting}, {state}"
+    return df.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(run, output, schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fingerprints(observed: DataFrame, watermark: str, *, alpha: float = 0.1, keep_ms: int = 600_000) -> DataFrame:
@@ -127,32 +160,33 @@ def fingerprints(observed: DataFrame, watermark: str, *, alpha: float = 0.1, kee
 
     seeds = (("rate", 2.1), ("err", 0.05), ("ent", 1.8))
 
-    def fold(key, pdf, state):
+    def fold(key, rows, state):
         current = list(state) if state else [s for _, s in seeds]
         before = {}
         for i, (c, _) in enumerate(seeds):
-            before[c], current[i] = ema_path(pdf[c].to_numpy(float), alpha, float(current[i]))
+            before[c], current[i] = ema_path(rows[c], alpha, float(current[i]))
         score = (
-            0.5 * (pdf["rate"] - before["rate"]) / (before["rate"] * 0.3 + 0.1)
-            + 0.3 * (pdf["err"] - before["err"]) / 0.1
-            + 0.2 * (pdf["ent"] - before["ent"]).abs() / 0.5
+            0.5 * (rows["rate"] - before["rate"]) / (before["rate"] * 0.3 + 0.1)
+            + 0.3 * (rows["err"] - before["err"]) / 0.1
+            + 0.2 * np.abs(rows["ent"] - before["ent"]) / 0.5
         )
-        return pd.DataFrame({"event_id": pdf["event_id"], "remote_addr": key[0], "composite": score}), tuple(float(c) for c in current)
+        return pd.DataFrame({"event_id": rows["event_id"], "remote_addr": key[0], "composite": score}), tuple(float(c) for c in current)
 
-    return _keyed(observed, ["remote_addr"], watermark, "event_id long, remote_addr string, composite double", "rate double, err double, ent double", fold, keep_ms=keep_ms)
+    doubles = observed.withColumns({c: F.col(c).cast("double") for c, _ in seeds})
+    return _keyed(doubles, ["remote_addr"], [c for c, _ in seeds], watermark, "event_id long, remote_addr string, composite double", "rate double, err double, ent double", fold, keep_ms=keep_ms)
 
 
 def suppression(alerts: DataFrame, watermark: str, *, suppress_after: int = 3, quiet_us: int = 300_000_000) -> DataFrame:
     """Suppressed flag per alert; the state is the anchor of the current group and its size."""
 
-    def fold(key, pdf, state):
+    def fold(key, rows, state):
         anchor, seq = (int(state[0]), int(state[1])) if state else (None, 0)
-        _, seqs, anchor, seq = walk_groups(pdf["us"].to_numpy(np.int64), quiet_us, False, anchor, seq)
-        out = pd.DataFrame({"event_id": pdf["event_id"], "source_ip": key[0], "attack_type": key[1], "suppressed": seqs >= suppress_after})
+        _, seqs, anchor, seq = walk_groups(rows["us"], quiet_us, False, anchor, seq)
+        out = pd.DataFrame({"event_id": rows["event_id"], "source_ip": key[0], "attack_type": key[1], "suppressed": seqs >= suppress_after})
         return out, (anchor, seq)
 
     return _keyed(
-        alerts, ["source_ip", "attack_type"], watermark, "event_id long, source_ip string, attack_type string, suppressed boolean", "anchor long, seq long", fold,
+        alerts, ["source_ip", "attack_type"], [], watermark, "event_id long, source_ip string, attack_type string, suppressed boolean", "anchor long, seq long", fold,
         keep_ms=quiet_us // 1000 + 1,
     )
 
@@ -163,32 +197,28 @@ def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000
     ``close_after_us`` also closes an open one after so long a silence of its key; it is off by default.
     """
 
-    def rows(key, groups):
-        return pd.DataFrame(
-            [(key[0], key[1], *g) for g in groups], columns=["source_ip", "attack_type", "first_seen_us", "last_seen_us", "alert_count", "max_score"]
-        )
-
-    def fold(key, pdf, state):
-        held = list(state) if state and state[2] > 0 else None  # first, last, count, score
-        anchor, seq = (int(held[0]), int(held[2])) if held else (None, 0)
-        t = pdf["us"].to_numpy(np.int64)
-        anchors, _, anchor, seq = walk_groups(t, span_us, True, anchor, seq)
-        done, current = [], held
-        for a, u, s in zip(anchors.tolist(), t.tolist(), pdf["risk_score"].tolist(), strict=True):
-            if current is None:
-                current = [a, u, 0, s]
-            current = [current[0], u, current[2] + 1, max(current[3], s)]
-            if u - current[0] >= span_us:
-                done.append(tuple(current))
-                current = None
-        return rows(key, done), tuple(current) if current else (0, 0, 0, 0.0)
+    def table(key, first, last, count, score):
+        return pd.DataFrame({"source_ip": key[0], "attack_type": key[1], "first_seen_us": first, "last_seen_us": last, "alert_count": count, "max_score": score})
+
+    def fold(key, rows, state):
+        held = state if state and state[2] > 0 else None  # first, last, count, score
+        t = rows["us"]
+        anchors, seqs, _, _ = walk_groups(t, span_us, True, *((int(held[0]), int(held[2])) if held else (None, 0)))
+        begin = np.unique(np.append(np.flatnonzero(seqs == 1), 0))
+        end = np.append(begin[1:], len(t)) - 1
+        score = np.maximum.reduceat(rows["risk_score"], begin)
+        if held:
+            score[0] = max(score[0], held[3])
+        closed = t[end] - anchors[end] >= span_us  # all but the last
+        done = table(key, anchors[end][closed], t[end][closed], seqs[end][closed], score[closed])
+        return done, (0, 0, 0, 0.0) if closed[-1] else (int(anchors[-1]), int(t[-1]), int(seqs[-1]), float(score[-1]))
 
     def flush(key, state):
         if state[2] > 0:
-            yield rows(key, [tuple(state)])
+            yield table(key, *([x] for x in state))
 
     return _keyed(
-        alerts, ["source_ip", "attack_type"], watermark,
+        alerts.withColumn("risk_score", F.col("risk_score").cast("double")), ["source_ip", "attack_type"], ["risk_score"], watermark,
         "source_ip string, attack_type string, first_seen_us long, last_seen_us long, alert_count long, max_score double",
         "first_us long, last_us long, n long, score double", fold, flush, keep_ms=None if close_after_us is None else close_after_us // 1000,
     )
@@ -197,32 +227,73 @@ def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000
 def confirmations(flagged: DataFrame, watermark: str, *, size: int = 10, needed: int = 4, keep_ms: int = 600_000) -> DataFrame:
     """k-of-n escalation; the state is the last n - 1 flags."""
 
-    def fold(key, pdf, state):
-        past = list(state[0]) if state else []
-        flags = np.array(past + pdf["flag"].astype(int).tolist())
+    def fold(key, rows, state):
+        past = np.asarray(state[0] if state else [], np.int64)
+        flags = np.concatenate([past, rows["flag"].astype(np.int64)])
         total = np.r_[0, np.cumsum(flags)]
         end = np.arange(len(past) + 1, len(flags) + 1)
         begin = np.maximum(end - size, 0)
         escalated = (end - begin == size) & (total[end] - total[begin] >= needed)
-        return pd.DataFrame({"event_id": pdf["event_id"], "entity_id": key[0], "escalated": escalated}), (flags[-(size - 1):].tolist(),)
+        return pd.DataFrame({"event_id": rows["event_id"], "entity_id": key[0], "escalated": escalated}), (flags[-(size - 1):].tolist(),)
+
+    return _keyed(flagged, ["entity_id"], ["flag"], watermark, "event_id long, entity_id string, escalated boolean", "flags array<int>", fold, keep_ms=keep_ms)
 
-    return _keyed(flagged, ["entity_id"], watermark, "event_id long, entity_id string, escalated boolean", "flags array<int>", fold, keep_ms=keep_ms)
 
+class ProgressLog(StreamingQueryListener):
+    """Progress of the streaming queries started while it listens, a small row a micro-batch.
 
-def keep_progress(spark) -> None:
-    """Let queries started from now on keep the progress of all their micro-batches, a small record each."""
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS_KEPT))
+    Rows go to a table in ``folder`` whenever ``held`` of them have come together, so the driver never holds more.
+    """
+
+    SCHEMA = "run_id string, batch_id long, rows long, input_rate double, processed_rate double, batch_ms double, dropped_late long"
+
+    def __init__(self, spark, folder: str, held: int = 1000):
+        self.spark, self.folder, self.held = spark, folder, held
+        self.rows: list[tuple] = []
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+        self.lock = threading.Lock()
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
 
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
 
-def progress_table(spark, queries) -> DataFrame:
-    """Progress of streaming queries as rows: rows, rates, batch time and rows dropped as too late."""
-    rows = [
-        (p["batchId"], p["numInputRows"], float(p["inputRowsPerSecond"] or 0), float(p["processedRowsPerSecond"] or 0), float(p["durationMs"].get("triggerExecution", 0)),
-         sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]))
-        for query in queries
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "batch_id long, rows long, input_rate double, processed_rate double, batch_ms double, dropped_late long")
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rate = lambda x: float(x) if x is not None and np.isfinite(x) else 0.0
+        row = (
+            str(p.runId), p.batchId, p.numInputRows, rate(p.inputRowsPerSecond), rate(p.processedRowsPerSecond), float(p.durationMs.get("triggerExecution", 0)),
+            sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+        )
+        with self.lock:
+            self.rows.append(row)
+            if len(self.rows) >= self.held:
+                self._write()
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def _write(self) -> None:
+        if self.rows:
+            self.spark.createDataFrame(self.rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+            self.rows = []
+
+    def table(self, queries, patience: float = 60.0) -> DataFrame:
+        """The rows of ended queries; events may come a little after the end of a query."""
+        for query in queries:
+            if not self.ended[str(query.runId)].wait(patience):
+                raise TimeoutError(f"no end of query {query.runId} was heard")
+        with self.lock:
+            self._write()
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder).where(F.col("run_id").isin([str(q.runId) for q in queries]))
 
 
 def throughput_report(progress: DataFrame) -> DataFrame:
