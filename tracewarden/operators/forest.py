@@ -7,6 +7,7 @@ ship to every task by construction.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -24,6 +25,7 @@ from tracewarden.session import cut_lineage
 PSI = 256  # rows per tree
 DEPTH = 8  # ceil(log2(PSI))
 OVERSAMPLE = 1.5
+DRAWS = 1 << 28  # numbers that seven hexadecimal digits can name
 # Search grid.
 GRID_TREES = (50, 100, 150, 200)
 GRID_CONTAMINATION = (0.05, 0.10, 0.15, 0.20)
@@ -40,15 +42,20 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
+def _draw(*parts) -> str:
+    """Hexadecimal digits drawn for a name; any engine with MD5 draws the same."""
+    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
 def _grow(features: Sequence[str], max_features: float, seed: int):
+    """Nodes of one tree, numbered like a heap: the children of n are 2n + 1 and 2n + 2."""
+    width = max(1, int(round(max_features * len(features))))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grp, tree = str(pdf["grp"].iloc[0]), int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("_id")[list(features)].to_numpy(float)
-        rng = np.random.default_rng([seed, tree])
-        width = max(1, int(round(max_features * len(features))))
-        usable = np.sort(rng.choice(len(features), width, replace=False))
+        x = pdf[list(features)].to_numpy(float)
+        usable = sorted(sorted(range(len(features)), key=lambda f: _draw(seed, tree, f))[:width])
         rows, queue = [], [(0, np.arange(len(x)), 0)]
-        free = 1
         while queue:
             node, idx, depth = queue.pop()
             part = x[idx][:, usable]
@@ -57,14 +64,14 @@ def _grow(features: Sequence[str], max_features: float, seed: int):
             if depth >= DEPTH or len(idx) <= 1 or len(varied) == 0:
                 rows.append((grp, tree, node, -1, 0.0, -1, len(idx), len(x)))
                 continue
-            pick = rng.choice(varied)
-            cut = rng.uniform(lo[pick], hi[pick])
+            drawn = _draw(seed, grp, tree, node)
+            pick = varied[int(drawn[:7], 16) % len(varied)]
+            cut = lo[pick] + int(drawn[7:14], 16) / DRAWS * (hi[pick] - lo[pick])
+            if not lo[pick] < cut <= hi[pick]:
+                cut = hi[pick]
             left = part[:, pick] < cut
-            if not left.any() or left.all():
-                cut, left = hi[pick], part[:, pick] < hi[pick]
-            rows.append((grp, tree, node, int(usable[pick]), float(cut), free, len(idx), len(x)))
-            queue += [(free, idx[left], depth + 1), (free + 1, idx[~left], depth + 1)]
-            free += 2
+            rows.append((grp, tree, node, int(usable[pick]), float(cut), 2 * node + 1, len(idx), len(x)))
+            queue += [(2 * node + 1, idx[left], depth + 1), (2 * node + 2, idx[~left], depth + 1)]
         return pd.DataFrame(rows, columns=["grp", "tree", "node", "feature", "threshold", "child", "size", "sampled"])
 
     return run
@@ -73,28 +80,24 @@ def _grow(features: Sequence[str], max_features: float, seed: int):
 def fit(df: DataFrame, id_column: str, features: Sequence[str], *, trees: int = 100, max_features: float = 1.0, seed: int = 42, group: str | None = None) -> DataFrame:
     """Node table of one forest, or of one forest per value of ``group`` (a few values: their row counts are a map).
 
-    A tree sees ``PSI`` rows, or all if there are fewer.  Every row draws its trees by hash, about ``PSI *
-    OVERSAMPLE`` rows per tree and forest, so only sampled rows are shuffled and the same seed gives the same
-    forest.  Where the rows are so few that a draw could leave a tree short, each row goes to every tree.
+    A tree sees the ``PSI`` rows that draw the smallest numbers for it, or all if there are fewer.  Every row draws a
+    number a tree, four from one hash, and only goes to trees for which it is below the share at which about ``PSI *
+    OVERSAMPLE`` rows come: only those are shuffled.  The same seed gives the same forest in any engine.
     """
-    keyed = df.select(F.col(id_column).alias("_id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), *features)
+    keyed = df.select(F.col(id_column).cast("string").alias("_id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), *features)
     counts = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("grp").isNotNull())
     sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct("grp", "n")))).scalar()
-    want = F.col("_want")
-    rows = keyed.filter(F.col("grp").isNotNull()).withColumn("_rows", F.element_at(sizes, F.col("grp")))
-    few = F.col("_rows") <= 4 * PSI
-    copies = (
-        rows.withColumn("_want", F.lit(trees * PSI * OVERSAMPLE) / F.col("_rows"))
-        .withColumn("_copies", F.when(few, trees).otherwise(F.least(F.ceil(want), F.lit(4 * trees))).cast("int"))
-        .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    )
-    h = F.xxhash64("_id", "grp", "_c", F.lit(seed))
-    tree = F.when(few, F.col("_c") - 1).otherwise(F.pmod(F.xxhash64("_id", "_c", "grp", F.lit(seed + 1)), F.lit(trees)))
-    drawn = copies.filter(few | (F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < want / F.col("_copies"))).withColumn("tree", tree.cast("int"))
-    once = drawn.dropDuplicates(["grp", "tree", "_id"])
+    share = F.lit(PSI * OVERSAMPLE) / F.element_at(sizes, F.col("grp"))
+    # numbers are seven hexadecimal digits, compared as text; "g" lies above all of them
+    limit = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.ceil(share * DRAWS).cast("long"))), 7, "0"))
+    rows = keyed.filter(F.col("grp").isNotNull()).withColumn("_limit", limit)
+    words = F.transform(F.sequence(F.lit(0), F.lit((trees - 1) // 4)), lambda k: F.md5(F.concat_ws("|", F.lit(str(seed)), "_id", "grp", k.cast("string")).cast("binary")))
+    four = lambda w, k: F.array(*[F.struct((4 * k + F.lit(i)).cast("int").alias("tree"), F.substring(w, 8 * i + 1, 7).alias("u")) for i in range(4)])
+    hits = F.filter(F.flatten(F.transform(words, four)), lambda d: (d["tree"] < trees) & (d["u"] < F.col("_limit")))
+    drawn = rows.withColumn("_d", F.explode(hits)).select("grp", "_d.tree", "_d.u", "_id", *features)
     # about PSI * OVERSAMPLE rows per tree reach this window
-    order = Window.partitionBy("grp", "tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed + 2)), "_id")
-    sample = once.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PSI)
+    order = Window.partitionBy("grp", "tree").orderBy("u", "_id")
+    sample = drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PSI)
     return sample.select("grp", "tree", "_id", *features).groupBy("grp", "tree").applyInPandas(_grow(features, max_features, seed), NODES)
 
 
@@ -105,7 +108,8 @@ class _Forest:
         self.trees = []
         for _, n in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
             add = np.array([average_path(s) for s in n["size"]])
-            self.trees.append((n["feature"].to_numpy(), n["threshold"].to_numpy(), n["child"].to_numpy(), add))
+            child = np.searchsorted(n["node"].to_numpy(), n["child"].to_numpy())  # siblings stand side by side
+            self.trees.append((n["feature"].to_numpy(), n["threshold"].to_numpy(), child, add))
         self.norm = average_path(float(nodes["sampled"].max()))
 
     def depths(self, x: np.ndarray) -> np.ndarray:
@@ -261,7 +265,7 @@ def permutation_importance(df: DataFrame, id_column: str, label: str, features:
     Rows stand in one seeded random order and everyone borrows from the next; the ordering and the join
     are done once for all features.
     """
-    base = df.select(id_column, label, *features).withColumn("_h", F.xxhash64(id_column, F.lit(seed)))
+    base = df.select(id_column, label, *features).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_column).cast("string")).cast("binary")))
     placed = cut_lineage(prefix_sums(base, [], ["_h", id_column], {"_at": F.lit(1)}))
     total = placed.agg(F.max("_at")).scalar()
     lent = placed.select((F.col("_at") - 1).alias("_to"), *[F.col(f).alias(f"_o_{f}") for f in features]).withColumn(

@@ -1,4 +1,4 @@
-"""Model jobs on the daily behaviour features.  Fits are checked by rows and by property tests."""
+"""Model jobs on the daily behaviour features.  Forests draw by MD5, so SQL grows the same ones (``forest_sql``)."""
 
 from pyspark.sql import functions as F
 
@@ -7,6 +7,8 @@ from tracewarden.operators import features, forest, lookups
 from tracewarden.operators.features import FEATURES
 from tracewarden.plans.drift_plans import feature_table
 from tracewarden.plans.evaluation_plans import DETECTORS, _RUNS
+from tracewarden.plans.forest_sql import forest as forest_ctes
+from tracewarden.plans.forest_sql import scores
 from tracewarden.plans.registry import query
 from tracewarden.session import cut_lineage
 
@@ -19,13 +21,21 @@ def forest_of(df, **settings):
     return cut_lineage(forest.fit(df, "row_id", FEATURES, **settings))
 
 
-@query("ml01_isolation_forest")
+_TABLE = f"tbl AS MATERIALIZED (SELECT ip, bucket, ip || '@' || bucket AS id, is_attack AS label, [{', '.join(f'CAST({f} AS DOUBLE)' for f in FEATURES)}] AS x FROM features)"
+_ALL = "SELECT '' AS grp, id, x FROM tbl"
+
+
+@query(
+    "ml01_isolation_forest",
+    f"WITH {_TABLE}, {forest_ctes('f', _ALL)} SELECT tree, count(*) AS nodes, max(sampled) AS sampled FROM (SELECT tree, NULL AS sampled FROM f UNION ALL SELECT tree, CAST(sampled AS INTEGER) FROM f_leaf) GROUP BY tree",
+    ("features",),
+)
 def _(t):
     nodes = forest_of(table(t))
     return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("sampled").alias("sampled"))
 
 
-@query("ml02_anomaly_scores")
+@query("ml02_anomaly_scores", f"WITH {_TABLE}, {forest_ctes('f', _ALL)}, {scores('f', _ALL, 's')} SELECT ip, bucket, round(score, 6) AS score FROM s JOIN tbl USING (id)", ("features",))
 def _(t):
     df = table(t)
     return forest.score(df, forest_of(df), FEATURES).select("ip", "bucket", F.round("score", 6).alias("score"))
