@@ -8,8 +8,6 @@ from tests.compare import compare, duck
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-# search and validation jobs without SQL; test_models.py runs their parts on planted data
-SLOW = {"ml06_grid_search", "ml07_cross_validation", "ml08_learning_curve", "ml09_augmented_training", "ml11_permutation_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +15,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     result = compare(spark, con, FOLDER, name, QUERIES[name], ORACLES.get(name))
     assert not result.endswith(" 0") or name in ORACLES
