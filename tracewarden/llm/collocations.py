@@ -30,8 +30,8 @@ SUPPORT, TOP, SHARDS = 10, 2000, 4
 SIZES = (1, 2, 3)
 #: Shards of a language whose local support is known to the tasks, largest first; others are mined at support 1.
 KNOWN = 1 << 16
-#: Distinct phrases of blocks that a task combines at a time.
-COMBINE = 1 << 19
+#: Bytes of text that a task looks at at a time, and distinct phrases that it combines.
+BLOCK, COMBINE = 1 << 18, 1 << 18
 _ODD = np.random.default_rng(20_261_202).integers(1 << 62, 1 << 63, (4, 4), dtype=np.uint64) | np.uint64(1)
 
 _BREAK = np.zeros(256, bool)
@@ -102,29 +102,29 @@ def _grouped(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mine_batches(shared, size: int):
-    """``(shard, phrase, need, n)``: local counts of phrases, with the local support of their language's shard."""
-    names = ["shard", "phrase", "need", "n"]
+    """``(part, phrase, n)``: local counts; ``part`` is the shard, times 2**32, plus its local support for the language."""
+    names = ["part", "phrase", "n"]
 
     def combined(parts: list[tuple]) -> tuple:
-        shard, phrase, need, n = (np.concatenate(x) for x in zip(*parts))
-        one, n = _grouped(phrase + shard.astype(np.uint64) * _ODD[0, 0], n)
-        return shard[one], phrase[one], need[one], n
+        part, phrase, n = (np.concatenate(x) for x in zip(*parts))
+        one, n = _grouped(phrase + part.view(np.uint64) * _ODD[0, 0], n)
+        return part[one], phrase[one], n
 
     def rows(parts: list[tuple]) -> pa.RecordBatch:
-        shard, phrase, need, n = combined(parts)
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(phrase.view(np.int64)), pa.array(need), pa.array(n)], names)
+        part, phrase, n = combined(parts)
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(phrase.view(np.int64)), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needs, below = shared.value
         parts, held = [], 0
         for batch in batches:
             hashes, supports = _of_languages(batch, needs)
-            shards = batch.column("shard").to_numpy()
-            for block in blocks(batch.column("text")):
+            part = (batch.column("shard").to_numpy().astype(np.int64) << 32) + supports
+            for block in blocks(batch.column("text"), BLOCK):
                 phrases = Phrases(block, hashes[block.lo : block.hi])
                 at, keys = phrases.level(size, below)
                 row = block.lo + phrases.words.row[at]
-                parts.append(combined([(shards[row], keys, supports[row], np.ones(len(at), np.int64))]))
+                parts.append(combined([(part[row], keys, np.ones(len(at), np.int64))]))
                 held += len(parts[-1][1])
                 if held >= COMBINE:
                     yield rows(parts)
@@ -160,7 +160,7 @@ def _count_batches(shared):
         for batch in batches:
             hashes, _ = _of_languages(batch, {})
             lang = batch.column("lang")
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), BLOCK):
                 phrases = Phrases(block, hashes[block.lo : block.hi])
                 many = np.diff(phrases.words.first)
                 found = [(np.flatnonzero(many), hashes[block.lo : block.hi][many > 0], many[many > 0])]  # row, key, n of size 0
@@ -174,7 +174,7 @@ def _count_batches(shared):
                     phrase = phrases.strings(at[one], size) if size else pa.array([""] * len(one), pa.string())
                     parts.append((keys[one], lang.take(pa.array(block.lo + row)), np.full(len(one), size, np.int32), phrase, n))
                     held += len(one)
-                if held >= COMBINE // 2:
+                if held >= COMBINE:
                     yield rows(parts)
                     parts, held = [], 0
         if held:
@@ -204,8 +204,8 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, text_col: str = "text
     needs, fields = _needs(texts, support), []
     for size in SIZES:
         shared = spark.sparkContext.broadcast((needs, list(fields)))
-        mined = texts.mapInArrow(_mine_batches(shared, size), "shard int, phrase long, need int, n long")
-        local = mined.groupBy("shard", "phrase").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
+        mined = texts.mapInArrow(_mine_batches(shared, size), "part long, phrase long, n long")
+        local = mined.groupBy("part", "phrase").agg(F.sum("n").alias("n")).where("n >= (part & 4294967295)")
         fields.append(bit_filter(cut_lineage(local.select("phrase").distinct()), "phrase"))
     counted = texts.mapInArrow(_count_batches(spark.sparkContext.broadcast(fields)), "lang string, size int, phrase string, n long")
     counts = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
