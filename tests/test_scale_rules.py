@@ -6,13 +6,14 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from tests.test_queries import SLOW
 from tracewarden.operators import detectors, evaluation
 from tracewarden.sources.tables import DAY, Tables
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-CHEAP = [n for n in entry.queries() if n[:3] in ("prj", "sig", "agg", "fus", "jn0", "jn1", "evl", "win", "gr0", "sc0", "ml0") and n not in ("win19_idle_eviction", *SLOW)]
+# jobs of many steps, of which only the last would be looked at
+LONG = ("win19_idle_eviction", "ml06_grid_search", "ml07_cross_validation", "ml08_learning_curve", "ml09_augmented_training", "ml11_permutation_importance")
+CHEAP = [n for n in entry.queries() if n[:3] in ("prj", "sig", "agg", "fus", "jn0", "jn1", "evl", "win", "gr0", "sc0", "ml0") and n not in LONG]
 
 
 def plan(df):

@@ -1,4 +1,4 @@
-"""Streaming queries over the whole event table, fed in six pages out of order, with a restart after three.
+"""Streaming queries over the whole event table, fed in five pages out of order, with a restart after each.
 
 A row's page is that of its time plus a delay drawn from its id, up to the watermark's: rows come late, as late as
 the watermark allows, and never in order.  The last page carries one marker row far in the future, which moves the
@@ -15,7 +15,9 @@ from tracewarden.plans.sql_views import DAY
 from tracewarden.streaming import jobs
 
 MARKER = "marker"
-DELAY_DAYS, PAGES, PAGE_US = 2, 6, 5 * DAY
+DELAY_DAYS, PAGES, PAGE_US = 2, 5, 6 * DAY
+#: A page is a micro-batch; more files than this would be several.
+FILES = 10_000
 WATERMARK = f"{DELAY_DAYS} days"
 
 
@@ -40,13 +42,12 @@ def run_stream(t, df, build, key="remote_addr", sink=jobs.start):
     """Feed ``df`` in pages to ``build`` (stream in, stream out) and read the sink; also gives the queries."""
     base, queries = workdir(t), []
     out = f"{base}/out"
-    for number, part in enumerate(pages(t, df, key), 1):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-        if number % (PAGES // 2) == 0:
-            stream = jobs.read_pages(t.spark, f"{base}/in", df.schema, 1)
-            q = sink(build(stream), out, f"{base}/checkpoint", poll=None)
-            q.awaitTermination()
-            queries.append(q)
+    for part in pages(t, df, key):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = jobs.read_pages(t.spark, f"{base}/in", df.schema, FILES)
+        q = sink(build(stream), out, f"{base}/checkpoint", poll=None)
+        q.awaitTermination()
+        queries.append(q)
     return t.spark.read.parquet(out), queries
 
 

@@ -283,7 +283,7 @@ class ProgressLog(StreamingQueryListener):
 
     def _write(self) -> None:
         if self.rows:
-            self.spark.createDataFrame(self.rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+            self.spark.createDataFrame(self.rows, self.SCHEMA).write.mode("append").parquet(self.folder)
             self.rows = []
 
     def table(self, queries, patience: float = 60.0) -> DataFrame:
