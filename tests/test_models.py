@@ -67,6 +67,18 @@ def test_walks_follow_edges(spark):
     assert all(tuple(sorted(p)) in linked for r in rows for p in zip(r.path, r.path[1:], strict=False))
 
 
+def test_sample_tree_follows_two_layers(spark):
+    edges = spark.createDataFrame([("hub", f"v{i:03d}") for i in range(200)] + [(f"v{i:03d}", f"w{j}") for i in range(200) for j in range(i % 13)], "src string, dst string")
+    linked = {(r.src, r.dst) for r in edges.collect()}
+    rows = [r for r in graph.sample_tree(edges).collect() if r.root == "hub"]
+    first = [r.path for r in rows if r.hop == 1]
+    second = [r.path for r in rows if r.hop == 2]
+    assert len(first) == 15 and len({tuple(p) for p in second}) == len(second)
+    assert all(p in linked for path in first + second for p in zip(path, path[1:], strict=False))
+    for _, v in first:
+        assert sum(p[1] == v for p in second) == min(10, int(v[1:]) % 13)
+
+
 def test_neighbour_means_of_a_small_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "c")], "src string, dst string")
     vectors = spark.createDataFrame([("b", [3.0, 0.0]), ("c", [0.0, 3.0])], "id string, vector array<double>")

@@ -96,6 +96,25 @@ def sample_neighbours(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("src", "dst", "rank")
 
 
+def sample_tree(edges: DataFrame, fanouts: Sequence[int] = (15, 10), seed: int = 0) -> DataFrame:
+    """Sampled neighbours of every vertex, layer by layer: (root, hop, path array from the root to the neighbour).
+
+    Hop h follows at most ``fanouts[h - 1]`` out-neighbours of each vertex reached by the hop before.  A layer has
+    draws of its own, which a vertex keeps whatever root it is reached from; so a hub enters the join of a layer
+    with its sample, never with all its neighbours.
+    """
+    layer, out = None, None
+    for hop, k in enumerate(fanouts, 1):
+        drawn = sample_neighbours(edges, k, seed + hop - 1).select("src", "dst")
+        if layer is None:
+            layer = drawn.select(F.col("src").alias("root"), F.array("src", "dst").alias("path"))
+        else:
+            layer = layer.join(drawn, F.element_at("path", -1) == F.col("src")).select("root", F.concat("path", F.array("dst")).alias("path"))
+        one = layer.select("root", F.lit(hop).alias("hop"), "path")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def drop_edges(edges: DataFrame, rate: float, columns: Sequence[str], seed: int = 0) -> DataFrame:
     """Seeded edge dropout: the same edges are dropped on every replay."""
     return edges.filter(stable_hash(*columns, seed=seed) % 1000 >= int(round(rate * 1000)))

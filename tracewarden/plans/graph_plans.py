@@ -121,6 +121,19 @@ def _(t):
     return graph.sample_neighbours(supply(t), 15)
 
 
+@query(
+    "gr06_sample_tree",
+    f"""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), both_ways AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e),
+       one AS (SELECT src, dst FROM both_ways QUALIFY row_number() OVER (PARTITION BY src ORDER BY {_HASH.format('src, dst')}, dst) <= 15),
+       two AS (SELECT src, dst FROM both_ways QUALIFY row_number() OVER (PARTITION BY src ORDER BY {_HASH.replace("'0'", "'1'").format('src, dst')}, dst) <= 10)
+       SELECT src AS root, 1 AS hop, src || ' ' || dst AS path FROM one
+       UNION ALL SELECT one.src, 2, one.src || ' ' || one.dst || ' ' || two.dst FROM one JOIN two ON two.src = one.dst""",
+)
+def _(t):
+    found = graph.sample_tree(graph.both_directions(supply(t).select("src", "dst").distinct()))
+    return found.select("root", "hop", F.array_join("path", " ").alias("path"))
+
+
 @query(
     "gr07_edge_dropout",
     f"SELECT event_id, src_ip, dst_ip FROM flows WHERE {_HASH.format('event_id')} % 1000 >= 100",
