@@ -80,3 +80,17 @@ def test_normaliser_reveals_disguises(spark):
 
 def test_node_type(spark):
     assert column(spark, ["10.0.0.1", "a.example", "...", ""], "string", S.node_type) == ["host", "domain", "domain", "domain"]
+
+
+def test_student_tail(spark):
+    """Against Simpson's rule over the angle, from 1 to a million degrees of freedom."""
+    cases = [(t, v) for v in (1.0, 2.5, 3.0, 18.0, 100.0, 5000.0, 1e6) for t in (0.0, 0.1, 0.7, 1.96, -2.5, 4.0, 9.0)]
+    df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(cases)], "i int, t double, v double")
+    got = {r.i: r.p for r in df.select("i", M.student_two_sided(F.col("t"), F.col("v")).alias("p")).collect()}
+    for i, (t, v) in enumerate(cases):
+        top, n = min(math.atan(abs(t) / math.sqrt(v)), 14 / math.sqrt(v)), 4000
+        area = sum((1 if k in (0, n) else 4 if k % 2 else 2) * math.cos(top * k / n) ** (v - 1) for k in range(n + 1)) * top / n / 3
+        want = 1 - 2 * math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi) * area
+        assert abs(got[i] - want) < 2e-9, (t, v)
+    odd = spark.createDataFrame([(None, 3.0), (1.0, None), (math.inf, 3.0)], "t double, v double")
+    assert [r.p for r in odd.select(M.student_two_sided(F.col("t"), F.col("v")).alias("p")).collect()] == [None, None, 0.0]

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.maths import kolmogorov_tail, ratio, two_sided
+from tracewarden.functions.maths import kolmogorov_tail, ratio, student_two_sided, two_sided
 from tracewarden.operators.folds import ema_before
 from tracewarden.operators.scale import prefix_sums, ranked_quantiles
 from tracewarden.session import cut_lineage
@@ -133,11 +133,17 @@ def class_moments(samples: DataFrame, label: str = "label") -> DataFrame:
     return samples.groupBy("feature").agg(*aggs)
 
 
-def welch(moments: DataFrame) -> DataFrame:
-    """t statistic; the p-value uses the normal tail, which large samples justify."""
-    se = F.sqrt(F.col("n_var") / F.col("n_count") + F.col("a_var") / F.col("a_count"))
+def welch(moments: DataFrame, large_samples: bool = False) -> DataFrame:
+    """t statistic and two-sided p with the Welch-Satterthwaite degrees of freedom.
+
+    ``large_samples`` takes the normal tail instead, which is too small at ten rows a class.
+    """
+    vn, va = F.col("n_var") / F.col("n_count"), F.col("a_var") / F.col("a_count")
+    se = F.sqrt(vn + va)
     t = F.when(se > 0, (F.col("n_mean") - F.col("a_mean")) / se)
-    return moments.withColumn("t_stat", t).withColumn("p_ttest", two_sided(F.col("t_stat")))
+    df = F.when(se > 0, (vn + va) * (vn + va) / (vn * vn / (F.col("n_count") - 1) + va * va / (F.col("a_count") - 1)))
+    found = moments.withColumns({"t_stat": t, "freedom": df})
+    return found.withColumn("p_ttest", two_sided(F.col("t_stat")) if large_samples else student_two_sided(F.col("t_stat"), F.col("freedom")))
 
 
 def effect_size(moments: DataFrame) -> DataFrame:

@@ -105,6 +105,17 @@ def _(t):
     return files.scan_history(t.log, columns).withColumn("request_time", F.round("request_time", 6))
 
 
+@query(
+    "src05_history_pages",
+    "SELECT event_id, us, remote_addr, status, (row_number() OVER (ORDER BY us, event_id) - 1) // 1000 AS page FROM log",
+    ("log",),
+)
+def _(t):
+    path = workdir(t)
+    files.page_history(t.log, ["us", "event_id", "remote_addr", "status"], 1000, path)
+    return t.spark.read.parquet(path).withColumn("page", F.col("page").cast("long"))
+
+
 @query(
     "src07_event_list_defaults",
     """SELECT event_id, src_ip, bytes_in, 0 AS bytes_out, 0 AS dst_port, '' AS domain, 0 AS is_nxdomain, 0 AS failed_login,

@@ -8,6 +8,7 @@ watermark past every real event so that append mode emits all of them; the marke
 from pyspark.sql import functions as F
 
 from tracewarden.operators import detectors
+from tracewarden.operators.features import FEATURES
 from tracewarden.plans.detector_plans import CONFIRM, ESTIMATES, QUIET, _SUPPRESS, _fold_sql
 from tracewarden.plans.registry import query
 from tracewarden.plans.sources_plans import workdir
@@ -91,6 +92,14 @@ def _(t):
     return out.filter(F.col("remote_addr") != MARKER).drop("endpoint_entropy").withColumn("failed_ratio", F.round("failed_ratio", 6))
 
 
+@query("str03_ten_features", f"SELECT ip AS remote_addr, bucket * {DAY} AS start_us, event_count, {', '.join(FEATURES)} FROM features", ("features",))
+def _(t):
+    rows = t.log.select("event_id", "ts", "us", "remote_addr", "request_uri", "request_method", "http_user_agent", "status", "body_bytes_sent", "request_time")
+    out, _ = run_stream(t, rows, lambda s: jobs.behaviour_windows(s, "1 day", WATERMARK))
+    whole = {"f1_request_frequency", "f6_unique_endpoints_per_min", "f8_ua_suspicion_score"}
+    return out.filter(F.col("remote_addr") != MARKER).withColumns({f: F.round(f, 6) for f in FEATURES if f not in whole})
+
+
 @query("str04_fingerprint_state", f"WITH RECURSIVE {ESTIMATES} SELECT event_id, remote_addr, round(composite + 1e-9, 6) AS composite FROM prints", ("log",))
 def _(t):
     observed = detectors.event_estimates(t.log).withColumn("ts", F.timestamp_micros("us"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewarden.operators.scale import prefix_sums
 from tracewarden.sources.schemas import ACCESS_LOG, DEFAULT_THRESHOLDS, LABELLED_SCORES
 
 
@@ -50,6 +51,22 @@ def scan_history(log: DataFrame, columns: list[str], limit: int | None = None) -
     return ordered if limit is None else ordered.limit(limit)
 
 
+def page_history(log: DataFrame, columns: list[str], page_rows: int, path: str) -> None:
+    """The scan as a table of pages: ``columns`` in the order of the first two, ``page_rows`` rows a page.
+
+    The first two columns name a row (time, then id), so pages are the same on every run.  Rows are numbered by
+    slices, never in one task; a page is a partition of the table and may be written by two tasks.
+    """
+    placed = prefix_sums(log.select(*columns), [], columns[:2], {"_at": F.lit(1)})
+    paged = placed.withColumn("page", F.floor((F.col("_at") - 1) / page_rows).cast("long")).drop("_at")
+    paged.write.mode("overwrite").partitionBy("page").parquet(path)
+
+
+def history_page(spark: SparkSession, path: str, page: int, order: list[str]) -> DataFrame:
+    """One page, in order; only its own files are read."""
+    return spark.read.parquet(path).where(F.col("page") == page).drop("page").orderBy(*order)
+
+
 def save_profile(profile: DataFrame, path: str) -> None:
     profile.write.mode("overwrite").json(path)
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewarden.functions import signatures as S
+from tracewarden.operators.features import BASELINE_DEFAULTS
 from tracewarden.operators.folds import walk_groups
 from tracewarden.sources import files
 
@@ -85,6 +86,62 @@ def feature_windows(log: DataFrame, width: str, watermark: str) -> DataFrame:
     )
 
 
+def behaviour_windows(log: DataFrame, width: str, watermark: str, *, body_mean: float = BASELINE_DEFAULTS["mean_body_bytes"], body_std: float = BASELINE_DEFAULTS["std_body_bytes"]) -> DataFrame:
+    """The ten behavioural features of every closed window, in append mode.
+
+    A first aggregate counts the values of several grains (events, paths, methods, characters) under one key each; a
+    second one, chained to it, reduces them to the moments that entropies and impurity need.  So no state holds a list,
+    and a hot address is spread over its values before they meet.
+    """
+    grain = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    uri = F.coalesce("request_uri", F.lit("/"))
+    letters = F.transform(F.filter(F.split(uri, ""), lambda c: c != ""), lambda c: grain("char", c))
+    grains = F.concat(
+        F.array(grain("event", F.lit("")), grain("path", S.uri_path(uri)), grain("method", F.coalesce("request_method", F.lit("GET")))), letters
+    )
+    rows = log.withWatermark("ts", watermark).select(
+        "ts", "us", "remote_addr", "status", "body_bytes_sent", "request_time", "http_user_agent", F.explode(grains).alias("g")
+    )
+    of = lambda c: F.when(F.col("g.kind") == "event", c)
+    counted = rows.groupBy(F.window("ts", width), "remote_addr", F.col("g.kind").alias("kind"), F.col("g.value").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(of(F.when(F.coalesce("status", F.lit(200)) >= 400, 1.0).otherwise(0.0))).alias("failed"),
+        F.stddev_pop(of(F.coalesce("request_time", F.lit(0.0)))).alias("spread"),
+        F.max(of(S.agent_suspicion(F.col("http_user_agent")))).alias("suspicion"),
+        F.min(of(F.col("us"))).alias("first_us"),
+        F.max(of(F.col("us"))).alias("last_us"),
+        F.avg(of(F.coalesce("body_bytes_sent", F.lit(0)))).alias("body"),
+    )
+    n = F.col("n").cast("double")
+    at = lambda kind, c: F.when(F.col("kind") == kind, c)
+    moments = counted.groupBy("window", "remote_addr").agg(
+        F.sum(at("event", F.col("n"))).alias("events"),
+        *[F.max(c).alias(c) for c in ("failed", "spread", "suspicion", "first_us", "last_us", "body")],
+        F.count(at("path", n)).alias("paths"),
+        F.sum(at("path", n * F.log2(n))).alias("path_x"),
+        F.sum(at("method", n * n)).alias("method_q"),
+        F.sum(at("char", n)).alias("chars"),
+        F.sum(at("char", n * F.log2(n))).alias("char_x"),
+    )
+    events = F.col("events")
+    path_entropy = F.log2(events) - F.col("path_x") / events
+    return moments.select(
+        "remote_addr",
+        F.unix_micros("window.start").alias("start_us"),
+        F.col("events").alias("event_count"),
+        events.cast("double").alias("f1_request_frequency"),
+        F.when(F.col("paths") > 1, path_entropy / F.log2("paths")).otherwise(0.0).alias("f2_endpoint_entropy"),
+        F.col("failed").alias("f3_failed_request_ratio"),
+        F.coalesce(F.log2("chars") - F.col("char_x") / F.col("chars"), F.lit(0.0)).alias("f4_uri_char_entropy"),
+        F.when(events < 2, 0.0).otherwise(F.col("spread")).alias("f5_timing_variance"),
+        F.col("paths").cast("double").alias("f6_unique_endpoints_per_min"),
+        (1.0 - F.col("method_q") / (events * events)).alias("f7_http_method_gini"),
+        F.col("suspicion").alias("f8_ua_suspicion_score"),
+        F.coalesce((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(0.0)).alias("f9_session_length"),
+        (F.lit(0.0) if body_std == 0 else F.abs(F.col("body") - body_mean) / body_std).alias("f10_payload_size_zscore"),
+    )
+
+
 def session_windows(log: DataFrame, gap: str, watermark: str) -> DataFrame:
     s = log.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), "remote_addr").agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("requests")
