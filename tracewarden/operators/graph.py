@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +170,112 @@ def random_walks(edges: DataFrame, *, walks: int = 10, length: int = 40, seed: i
         if step % cut_every == 0:
             state = cut_lineage(state)
     return state.select("walk", "start", "path")
+
+
+def co_occurrences(walks: DataFrame, window: int = 5) -> DataFrame:
+    """How often two vertices stand at most ``window`` steps apart on a walk: (src, dst, n), both ways round.
+
+    Pairs are counted before they are shuffled; a walk gives at most ``2 * window`` of them a step.
+    """
+    steps = walks.select("path", F.posexplode("path").alias("at", "src"))
+    near = F.concat(
+        F.slice("path", F.greatest(F.col("at") + 1 - window, F.lit(1)), F.least(F.col("at"), F.lit(window))),
+        F.slice("path", F.col("at") + 2, F.lit(window)),
+    )
+    return steps.select("src", F.explode(near).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def positive_information(pairs: DataFrame) -> DataFrame:
+    """Positive pointwise mutual information of co-occurrence counts: (src, dst, weight), cells above 0 only.
+
+    A vertex' total is added to its cells by a join, so a hub's cells stay spread.
+    """
+    totals = pairs.groupBy("src").agg(F.sum("n").alias("_of"))
+    whole = totals.agg(F.sum("_of").cast("double")).scalar()
+    weight = F.log(F.col("n") * whole / (F.col("_of").cast("double") * F.col("_to")))
+    met = pairs.join(totals, "src").join(totals.select(F.col("src").alias("dst"), F.col("_of").alias("_to")), "dst")
+    return met.select("src", "dst", weight.alias("weight")).filter(F.col("weight") > 0)
+
+
+def _gram(rows: DataFrame, left: str, right: str, r: int) -> np.ndarray:
+    """Sum over all rows of the outer product of two vectors of length ``r``: that many numbers squared reach the driver.
+
+    Each task gives one matrix; they are added in two steps.
+    """
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((r, r))
+        for batch in batches:
+            if len(batch):
+                total += np.stack(batch[left].to_numpy()).T @ np.stack(batch[right].to_numpy())
+        yield pd.DataFrame({"group": [int(TaskContext.get().partitionId()) % 64], "m": [total.ravel()]})
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"group": [0], "m": [np.sum(np.stack(part["m"].to_numpy()), axis=0)]})
+
+    parts = rows.select(left, right).mapInPandas(outer, "group int, m array<double>")
+    whole = parts.groupBy("group").applyInPandas(add, parts.schema).groupBy("group").applyInPandas(add, parts.schema).head()
+    return np.zeros((r, r)) if whole is None else np.asarray(whole["m"]).reshape(r, r)
+
+
+def _times(rows: DataFrame, vector: str, small: np.ndarray) -> DataFrame:
+    """``(id, vector)`` of the vectors multiplied from the right by a small matrix, in Arrow batches."""
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"id": batch["id"], "vector": list(np.stack(batch[vector].to_numpy()) @ small)})
+
+    return rows.select("id", vector).mapInPandas(multiply, "id string, vector array<double>")
+
+
+def _root(gram: np.ndarray) -> np.ndarray:
+    """Inverse root of a Gram matrix; directions that the rows do not span become 0."""
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > values[-1] * 1e-12 if values[-1] > 0 else np.zeros(len(values), bool)
+    return vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
+
+
+def spectral_embedding(cells: DataFrame, dim: int = 64, *, rounds: int = 6, spare: int = 16, seed: int = 7) -> DataFrame:
+    """Vectors of a symmetric sparse matrix ``src, dst, weight``: (id, vector), the leading ``dim`` eigenvectors scaled by
+    the root of their absolute value, by randomised subspace iteration.
+
+    A table holds one short vector a vertex.  A round is a join of the cells with it and a sum that combines before the
+    shuffle; two rows of vectors are never in one place but for the products of ``dim + spare`` columns, which are
+    summed to a small matrix.  Starting vectors come from the vertex' md5, so a run can be repeated.  With fewer
+    vertices than ``dim`` the rest of a vector is 0; vertices without a cell are not in the result.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    r = dim + spare
+    ids = cells.select(F.col("src").cast("string").alias("id")).distinct()
+    start = F.array(*[stable_hash("id", F.lit(k), seed=seed) / float(1 << 27) - 1.0 for k in range(r)])
+    cells = cut_lineage(cells.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
+
+    def product(vectors: DataFrame) -> DataFrame:
+        # a summand has a positive weight of its own, as the summary weighs by it
+        met = cells.join(vectors, cells.dst == vectors.id).select(F.col("src").alias("id"), array_to_vector("vector").alias("v"), "weight")
+        return met.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("weight"))).alias("vector"))
+
+    base = cut_lineage(ids.select("id", start.alias("vector")))
+    for _ in range(rounds):
+        image = cut_lineage(product(base))
+        base = cut_lineage(_times(image, "vector", _root(_gram(image.withColumn("again", F.col("vector")), "vector", "again", r))))
+    image = product(base).withColumnRenamed("vector", "image")
+    both = cut_lineage(base.join(image, "id"))
+    small = _gram(both, "vector", "image", r)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    lead = np.argsort(-np.abs(values), kind="stable")[:dim]
+    return _times(both, "vector", turn[:, lead] * np.sqrt(np.abs(values[lead])))
+
+
+def walk_embeddings(edges: DataFrame, *, dim: int = 64, walks: int = 10, length: int = 40, window: int = 5, seed: int = 7) -> DataFrame:
+    """Embeddings (id, vector) of all vertices from random walks.
+
+    Instead of sampling skip-gram steps, the matrix that these approach is built whole (positive pointwise mutual
+    information of the walks' co-occurrences) and factorised.  Every vertex of an edge is in the result; one that
+    meets all others as often as chance would has a vector of zeros.
+    """
+    pairs = cut_lineage(co_occurrences(random_walks(edges, walks=walks, length=length, seed=seed), window))
+    found = spectral_embedding(positive_information(pairs), dim, seed=seed)
+    vertices = pairs.select(F.col("src").cast("string").alias("id")).distinct()
+    return vertices.join(found, "id", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))

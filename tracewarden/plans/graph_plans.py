@@ -6,6 +6,7 @@ from tracewarden.functions import signatures as S
 from tracewarden.operators import graph
 from tracewarden.plans.registry import query
 from tracewarden.plans.sql_views import DAY
+from tracewarden.session import cut_lineage
 
 CONTACTS = """contacts AS (SELECT event_id, us, bytes_in, src_ip AS src, CASE WHEN bytes_in % 3 = 0 THEN domain WHEN bytes_in % 7 = 0 THEN '10.0.0.' || (bytes_in % 90) ELSE dst_ip END AS dst FROM flows),
   ends AS (SELECT src AS id, 'host' AS type, us, 0 AS side FROM contacts UNION ALL SELECT dst, CASE WHEN regexp_matches(replace(dst, '.', ''), '^[0-9]+$') THEN 'host' ELSE 'domain' END, us, 1 FROM contacts),
@@ -68,23 +69,28 @@ def supply(t):
 _DRAW = "CAST('0x' || substr(md5(concat_ws('|', {}, '7')), 1, 7) AS BIGINT)"
 
 
-@query(
-    "gr04_random_walks",
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT remote_addr AS src, split_part(request_uri, '?', 1) AS dst FROM log),
+_WALKS = f"""WITH RECURSIVE e AS (SELECT DISTINCT remote_addr AS src, split_part(request_uri, '?', 1) AS dst FROM log),
        both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
        n AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS i, count(*) OVER (PARTITION BY src) AS degree FROM both_ways),
        w AS (SELECT src AS start, walk, 0 AS step, src AS node, src AS path FROM (SELECT DISTINCT src FROM n), range(1, 4) r(walk)
-         UNION ALL SELECT w.start, w.walk, w.step + 1, n.dst, w.path || ' ' || n.dst FROM w JOIN n ON n.src = w.node AND n.i = {_DRAW.format('w.start, w.walk, w.step + 1')} % n.degree WHERE w.step < 9)
-       SELECT start, CAST(walk AS INTEGER) AS walk, path FROM w WHERE step = 9""",
+         UNION ALL SELECT w.start, w.walk, w.step + 1, n.dst, w.path || ' ' || n.dst FROM w JOIN n ON n.src = w.node AND n.i = {_DRAW.format('w.start, w.walk, w.step + 1')} % n.degree WHERE w.step < 9)"""
+
+
+@query(
+    "gr04_random_walks",
+    _WALKS + " SELECT start, CAST(walk AS INTEGER) AS walk, path FROM w WHERE step = 9",
     ("log",),
 )
 def _(t):
     return _walks(t, 3, 10)
 
 
+def _links(t):
+    return t.log.select(F.col("remote_addr").alias("src"), S.uri_path(F.col("request_uri")).alias("dst"))
+
+
 def _walks(t, walks, length):
-    links = t.log.select(F.col("remote_addr").alias("src"), S.uri_path(F.col("request_uri")).alias("dst"))
-    return graph.random_walks(links, walks=walks, length=length).select("start", "walk", F.array_join("path", " ").alias("path"))
+    return graph.random_walks(_links(t), walks=walks, length=length).select("start", "walk", F.array_join("path", " ").alias("path"))
 
 
 @query("gr04_random_walks_full")
@@ -93,6 +99,26 @@ def _(t):
     return _walks(t, 10, 40)
 
 
+@query(
+    "gr04_co_occurrences",
+    _WALKS + """, s AS (SELECT start, walk, unnest(p) AS src, unnest(range(1, 11)) AS i, p FROM (SELECT start, walk, string_split(path, ' ') AS p FROM w WHERE step = 9)),
+       c AS (SELECT src, dst, count(*) AS n FROM (SELECT src, i, unnest(p) AS dst, unnest(range(1, 11)) AS j FROM s) WHERE i <> j AND abs(i - j) <= 5 GROUP BY 1, 2),
+       m AS (SELECT src AS id, sum(n) AS total FROM c GROUP BY 1)
+       SELECT src, dst, n, round(greatest(ln(n * (SELECT sum(n) FROM c) / (CAST(a.total AS DOUBLE) * b.total)), 0), 6) AS weight FROM c JOIN m a ON a.id = src JOIN m b ON b.id = dst""",
+    ("log",),
+)
+def _(t):
+    pairs = cut_lineage(graph.co_occurrences(graph.random_walks(_links(t), walks=3, length=10)))
+    weights = graph.positive_information(pairs)
+    return pairs.join(weights, ["src", "dst"], "left").select("src", "dst", "n", F.round(F.coalesce("weight", F.lit(0.0)), 6).alias("weight"))
+
+
+@query("gr04_walk_embeddings")
+def _(t):
+    """64 numbers a vertex from 10 walks of length 40; tests hold the factors to a dense decomposition."""
+    return graph.walk_embeddings(_links(t))
+
+
 @query(
     "gr05_neighbour_means",
     """WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*) AS times FROM lineitem GROUP BY 1, 2),
