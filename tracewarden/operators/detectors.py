@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions import signatures as S
@@ -325,6 +325,74 @@ def assembled_requests(log: DataFrame, *, fragments: int = 5, span_us: int = 5 *
     )
 
 
+def _session_starts(log: DataFrame, gap_us: int) -> DataFrame:
+    """``log`` with ``start_us`` of the session of its address, from one row per address and gap-wide cell."""
+    cell = F.floor(F.col("us") / F.lit(gap_us))
+    cells = log.groupBy(F.col("remote_addr").alias("_a"), cell.alias("_c")).agg(F.min("us").alias("_first"), F.max("us").alias("_last"))
+    w = Window.partitionBy("_a").orderBy("_c")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(w) > F.lit(gap_us), F.lit(True))
+    opened = cells.withColumn("_o", F.when(fresh, F.col("_first")))
+    starts = opened.select("_a", "_c", F.last("_o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("start_us"))
+    dated = log.withColumn("_cell", cell)
+    return dated.join(starts, F.col("remote_addr").eqNullSafe(F.col("_a")) & F.col("_cell").eqNullSafe(F.col("_c"))).drop("_a", "_c", "_cell")
+
+
+def session_payloads(log: DataFrame, *, gap_us: int = 30 * MINUTE_US, piece: int = 4096, reach: int = 1024) -> DataFrame:
+    """The injection signature over all requests of a session joined together, however many they are.
+
+    Rows: ``remote_addr, start_us, end_us, requests, hits, confidence, severity`` of the sessions with a hit.  A session
+    is never gathered: running lengths place every request in its session's text, the text is cut into pieces that
+    overlap by ``reach`` characters, and a piece is matched on its own.  A signature with an open gap (``A.*B``) holds
+    if the first A of the session ends before its last B starts.  Line ends count as spaces, a run of spaces in a
+    request as one, a run of digits by its ends; no other signature is longer than ``reach``.  Rows without an address
+    are an address of their own; a missing request adds nothing.
+    """
+    text = F.regexp_replace(F.coalesce("request_uri", F.lit("")), r"[\s\u0085\u2028\u2029]+", " ")
+    text = F.regexp_replace(text, r"([0-9]{32})[0-9]+([0-9]{32})", "$1$2")
+    dated = _session_starts(log.select("event_id", "remote_addr", "us", text.alias("_text")), gap_us)
+    keys = ["remote_addr", "start_us"]
+    placed = prefix_sums(dated, keys, ["us", "event_id"], {"_end": F.length("_text")}, totals=True).filter("_text <> ''")
+    start, end = F.col("_end") - F.length("_text"), F.col("_end")
+    # piece k holds the characters from k * piece - 1 (context only) to (k + 1) * piece + reach
+    low, high = lambda k: k * piece - 1, lambda k: (k + 1) * piece + reach
+    part = lambda k: F.struct(
+        k.alias("k"),
+        F.greatest(start, low(k)).alias("at"),
+        F.substring("_text", (F.greatest(start, low(k)) - start + 1).cast("int"), (F.least(end, high(k)) - F.greatest(start, low(k))).cast("int")).alias("s"),
+    )
+    numbers = F.sequence(F.greatest(F.lit(0), F.floor((start - reach) / piece)), F.floor(end / piece))
+    parts = placed.select(*keys, F.col("_end_total").alias("_total"), F.explode(F.transform(numbers, part)).alias("p")).select(*keys, "_total", "p.*")
+    pieces = parts.filter("s <> ''").groupBy(*keys, "k").agg(
+        F.first("_total").alias("_total"), F.array_sort(F.collect_list(F.struct("at", "s"))).alias("_parts")
+    )
+    joined = F.concat(
+        F.when(F.col("k") == 0, " ").otherwise(""),
+        F.array_join(F.transform("_parts", lambda x: x["s"]), ""),
+        F.when(high(F.col("k")) >= F.col("_total"), " -").otherwise(""),
+    )
+    cut = pieces.select(*keys, "k", joined.alias("t"))
+    closed = [p for p in S.SQLI_SIGNATURES if ".*" not in p]
+    gaps = [p.strip("()").split(".*") for p in S.SQLI_SIGNATURES if ".*" in p]
+
+    def place(word: str, last: bool) -> Column:
+        """Where ``word`` starts in the session, first or last time in the piece; a character stands on both sides."""
+        before = F.length(F.regexp_extract("t", f"(?is)^(.+{'' if last else '?'}){word}.", 1))
+        return F.when(before > 0, before + low(F.col("k")))
+
+    aggs = [F.bool_or(F.col("t").rlike(rf"(?i)(?<=[\s\S])(?:{p})(?=[\s\S])")).alias(f"_c{i}") for i, p in enumerate(closed)]
+    for i, (a, b) in enumerate(gaps):
+        size = len(a.replace(r"\b", ""))
+        aggs += [F.min(place(a, False) + size).alias(f"_a{i}"), F.max(place(b, True)).alias(f"_b{i}")]
+    flags = [F.col(f"_c{i}") for i in range(len(closed))] + [F.coalesce(F.col(f"_a{i}") <= F.col(f"_b{i}"), F.lit(False)) for i in range(len(gaps))]
+    hits = sum((f.cast("int") for f in flags), F.lit(0))
+    hit = cut.groupBy(*keys).agg(*aggs).select(F.col("remote_addr").alias("_a"), F.col("start_us").alias("_s"), hits.alias("hits")).filter("hits > 0")
+    whole = dated.groupBy(*keys).agg(F.max("us").alias("end_us"), F.count(F.lit(1)).alias("requests"))
+    confidence = F.least(F.lit(0.5) + 0.17 * F.col("hits"), F.lit(1.0))
+    return whole.join(hit, F.col("remote_addr").eqNullSafe(F.col("_a")) & F.col("start_us").eqNullSafe(F.col("_s"))).select(
+        *keys, "end_us", "requests", "hits", F.round(confidence, 4).alias("confidence"), F.when(confidence >= 0.85, "critical").otherwise("high").alias("severity")
+    )
+
+
 def rule_set(log: DataFrame, *, rate_threshold: Column | float = 30.0, auth_threshold: float = 10, width_us: int = MINUTE_US, minute_us: int = MINUTE_US, spike: dict | None = None) -> DataFrame:
     """Detections of all five rules as ``event_id, remote_addr, rule, confidence, severity``."""
     cols = ["event_id", "remote_addr", "rule", "confidence", "severity"]

@@ -294,6 +294,29 @@ def _(t):
     return detectors.assembled_requests(t.log, span_us=5 * DAY)
 
 
+# four in five requests of the log carry a piece of a payload, so that it shows in whole sessions only
+PIECES = ("/a?q=1 UNI", "ON ALL ", "/b?c=SEL", "ECT x FR", "OM users")
+
+
+@query(
+    "win17_session_payloads",
+    f"""SELECT remote_addr, start_us, end_us, requests, hits, round(least(0.5::DOUBLE + 0.17 * hits, 1.0), 4) AS confidence, CASE WHEN 0.5::DOUBLE + 0.17 * hits >= 0.85 THEN 'critical' ELSE 'high' END AS severity
+        FROM (SELECT *, {hits("(assembled || ' -')", S.SQLI_SIGNATURES)} AS hits FROM (
+          SELECT remote_addr, min(us) AS start_us, max(us) AS end_us, count(*) AS requests, string_agg(uri, '' ORDER BY us, event_id) AS assembled FROM (
+            SELECT *, sum(s) OVER (PARTITION BY remote_addr ORDER BY us, event_id) AS session FROM (
+              SELECT event_id, remote_addr, us, CASE event_id % 7 WHEN 0 THEN '{PIECES[0]}' WHEN 1 THEN '{PIECES[1]}' WHEN 2 THEN '{PIECES[2]}' WHEN 3 THEN '{PIECES[3]}' WHEN 4 THEN '{PIECES[4]}' ELSE request_uri END AS uri,
+                CASE WHEN us - lag(us) OVER (PARTITION BY remote_addr ORDER BY us, event_id) <= {DAY} THEN 0 ELSE 1 END AS s FROM log))
+          GROUP BY remote_addr, session)) WHERE hits > 0""",
+    ("log",),
+)
+def _(t):
+    at = F.col("event_id") % 7
+    uri = F.col("request_uri")
+    for k, p in enumerate(PIECES):
+        uri = F.when(at == k, p).otherwise(uri)
+    return detectors.session_payloads(t.log.withColumn("request_uri", uri), gap_us=DAY, piece=512, reach=128)
+
+
 @query(
     "win18_rule_set",
     f"""SELECT l.event_id, c IS NOT NULL AS detected, coalesce(c, 0.0) AS score, coalesce(r, 0) AS rules FROM log l LEFT JOIN (
