@@ -117,3 +117,38 @@ def test_edge_rows(spark):
     rows = {(r.doc_id, r.n_tokens) for r in op9(lambda t: docs).collect()}
     assert rows == {(1, 0), (None, 0), (2, 2), (3, 100_000)}
     assert op9(lambda t: docs.where("false")).collect() == []
+
+
+def test_memory_of_a_text_without_spaces(ours, library):
+    """Neither one long word nor a text without white space is held."""
+    for unit in ("thequickbrown", "über", "日本語", "!?", "a1!", "<|endoftext|>", "'r'", "한국"):
+        text = unit * (400_000 // len(unit))
+        encoder, got, most = bpe.Encoder(ours), [], 0
+        for at in range(0, len(text), 5_000):
+            got += chain.from_iterable(encoder.feed(text[at : at + 5_000]))
+            most = max(most, encoder.characters_held())
+        got += chain.from_iterable(encoder.finish())
+        assert most <= 2 * ours.lookahead + 256 + 20
+        assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_every_word_goes_through_the_transducer(ours, monkeypatch):
+    fed = []
+    feed = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, part: (fed.append(part), feed(self, part))[1])
+    ours.cache.clear()
+    list(chain.from_iterable(ours.encode("Some words, some 'll'l of them twice: words x")))
+    assert {"some", "words", ",", "of", "them", "twice", ":", "x"} <= set(fed) and fed.count("words") == 1
+
+
+def test_any_cut_of_contractions_and_marks(ours, library):
+    rng = random.Random(8)
+    for _ in range(1500):
+        text = "".join(rng.choice(["'", "r", "e", "l", "v", "s", "t", "!", " ", "1", "é", "\u0301", "가", "\u11a8", "<|endoftext|>", "<|end", "İ", "x"]) for _ in range(rng.randrange(1, 25)))
+        encoder, got, at = bpe.Encoder(ours), [], 0
+        while at < len(text):
+            step = rng.randrange(1, 5)
+            got += chain.from_iterable(encoder.feed(text[at : at + step]))
+            at += step
+        got += chain.from_iterable(encoder.finish())
+        assert got == library.encode(text, add_special_tokens=False).ids, ascii(text)

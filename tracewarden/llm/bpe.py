@@ -2,7 +2,9 @@
 
 ``Merges.lookahead`` is computed from the merge list: how far, at most, text beyond a point can move token borders
 before it.  Tokens that end further back than that are stable and are emitted at once; only the rest is held.  So a
-word of any length needs the memory of a few lookaheads.  Words are cut from normalised text at white space.
+word of any length needs the memory of a few lookaheads.  Every word goes through that transducer; what it gave for a
+word of ordinary length is remembered.  Words are cut from normalised text, and a word that is not complete at the end
+of a piece stays open, so a text without white space needs no more memory than another.
 
 The bound: let the text be known up to a border.  A merge of index k across it takes the symbol u on its left and
 the symbol v on its right; the border moves back by the length of u, and what stands right of it is then u or uv.
@@ -29,14 +31,16 @@ from tracewarden.llm.passing import attach
 
 #: Text is normalised in pieces of about so many characters.
 PIECE = 1 << 16
-#: Longer words are not kept in the cache of words, which is emptied when it holds CACHE of them.
-SHORT = 40
+#: Longer words are not remembered; the memory of words is emptied when it holds CACHE of them.
+REMEMBERED = 40
 CACHE = 250_000
 _NO_MERGE = 1 << 60
 TOKENS = "ids array<int>, decoded string"
 
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _ANY_WORD = regex.compile(_CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+_LETTERS, _OTHERS = regex.compile(r"\p{L}*"), regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")
+_NUMBER = regex.compile(r"\p{N}")
 _ASCII_WORD = re.compile(_CONTRACTIONS + r"|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
@@ -140,50 +144,30 @@ class Tokenizer:
         for k in range(0, len(word), PIECE):
             yield from map(self.letters.__getitem__, word[k : k + PIECE].encode("utf-8", "replace"))
 
-    def short(self, word: str) -> tuple[int, ...]:
-        """Ids of a short word, remembered."""
-        symbols = list(self.units(word))
-        symbols[-1] += self.end
-        ids = tuple(self.ids[s] for s in self.merges.apply(symbols) if s in self.ids)
+    def word(self, word: str) -> Iterable[int]:
+        """Ids of a word of any length, from the transducer; those of an ordinary one are remembered."""
+        machine = Transducer(self)
+        if len(word) > REMEMBERED:
+            return chain(machine.feed(word), machine.finish())
+        ids = (*machine.feed(word), *machine.finish())
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[word] = ids
         return ids
 
-    def long(self, word: str) -> Iterator[int]:
-        """Ids of a word of any length, emitted as soon as they are stable."""
-        held: list[str] = []
-        room = 2 * self.lookahead + 256
-        for unit in self.units(word):
-            held.append(unit)
-            # the last unit may still turn out to be the word's last
-            if len(held) > room:
-                done = 0
-                for symbol in self.merges.apply(held[:-1]):
-                    if done + len(symbol) > len(held) - 1 - self.lookahead:
-                        break
-                    done += len(symbol)
-                    if symbol in self.ids:
-                        yield self.ids[symbol]
-                held = held[done:]
-        held[-1] += self.end
-        for symbol in self.merges.apply(held):
-            if symbol in self.ids:
-                yield self.ids[symbol]
-
-    def words(self, piece: str) -> list[str]:
-        normal = self.normalise(piece)
+    def words(self, normal: str) -> list[str]:
+        """The words of normalised text."""
         return (_ASCII_WORD if normal.isascii() else _ANY_WORD).findall(normal)
 
-    def piece(self, piece: str) -> list[Iterable[int]]:
-        """Ids, word by word, of a piece without special tokens that is cut at white space."""
-        words = self.words(piece)
+    def ids_of(self, words: list[str]) -> list[Iterable[int]]:
+        """Ids of complete words, word by word."""
         found = list(map(self.cache.get, words))
         if None in found:
             for k, word in enumerate(words):
                 if found[k] is None:
-                    # a word may come again in the piece
-                    found[k] = self.cache.get(word) or (self.short(word) if len(word) <= SHORT else self.long(word))
+                    # a word may come again in the list
+                    known = self.cache.get(word)
+                    found[k] = self.word(word) if known is None else known
         return found
 
     def encode(self, text: str) -> Iterator[Iterable[int]]:
@@ -193,45 +177,133 @@ class Tokenizer:
         yield from encoder.finish()
 
 
-_SPACE = re.compile(r"[\t-\r ]")
+class Transducer:
+    """One word, fed in any cut: ids come out once no further text can change them.
+
+    Held: at most two lookaheads and a constant of byte letters.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.held = tokenizer, []
+        self.room = 2 * tokenizer.lookahead + 256
+
+    def feed(self, part: str) -> Iterator[int]:
+        ids, back = self.tokenizer.ids, self.tokenizer.lookahead
+        for unit in self.tokenizer.units(part):
+            self.held.append(unit)
+            # the last unit may still turn out to be the word's last
+            if len(self.held) > self.room:
+                done = 0
+                for symbol in self.tokenizer.merges.apply(self.held[:-1]):
+                    if done + len(symbol) > len(self.held) - 1 - back:
+                        break
+                    done += len(symbol)
+                    if symbol in ids:
+                        yield ids[symbol]
+                self.held = self.held[done:]
+
+    def finish(self) -> Iterator[int]:
+        ids, held, self.held = self.tokenizer.ids, self.held, []
+        held[-1] += self.tokenizer.end
+        for symbol in self.tokenizer.merges.apply(held):
+            if symbol in ids:
+                yield ids[symbol]
+
+
+def _starts(char: str) -> bool:
+    """Whether normal forms never reach back over the place before ``char``: no mark, no joining Hangul letter."""
+    return char.isascii() or not (unicodedata.category(char)[0] == "M" or "\u1160" <= char <= "\u11ff" or "\ud7b0" <= char <= "\ud7ff")
 
 
 class Encoder:
     """Feeds of a text in any cut; what is returned is final.
 
-    Held between feeds: the characters since the last white space, or special token, that has been seen.
+    Held between feeds: a few characters that may become part of a special token, of a composed character or of a
+    contraction, and the transducer of an open word.  Only a run of combining marks is held as a whole, since its
+    normal form depends on all of it.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
-        self.held = ""
+        self.raw = ""  # not normalised yet
+        self.tail = ""  # normalised, a possible contraction
+        self.open: Transducer | None = None
+        self.more = _LETTERS  # what goes on with the open word
+
+    def characters_held(self) -> int:
+        return len(self.raw) + len(self.tail) + (len(self.open.held) if self.open else 0)
 
     def feed(self, text: str) -> Iterator[Iterable[int]]:
-        text = self.held + text
-        cut = max((text.rfind(c) for c in " \n\t\r\v\f"), default=-1)
-        self.held = text[cut:] if cut > 0 else text
-        return self._ready(text[:cut]) if cut > 0 else iter(())
+        text, tok = self.raw + text, self.tokenizer
+        cut = len(text)
+        for k in range(min(len(text), max(map(len, tok.special), default=1) - 1), 0, -1):
+            if any(s.startswith(text[-k:]) for s in tok.special):
+                cut = len(text) - k
+                break
+        cut -= cut == len(text)
+        while cut > 0 and not _starts(text[cut]):
+            cut -= 1
+        # a special token that is already whole is not cut
+        cut = max(cut, 0)
+        cut = next((m.end() for m in tok.specials.finditer(text) if m.start() < cut < m.end()), cut)
+        self.raw = text[cut:]
+        return self._ready(text[:cut])
 
     def finish(self) -> Iterator[Iterable[int]]:
-        text, self.held = self.held, ""
-        return self._ready(text)
+        text, self.raw = self.raw, ""
+        yield from self._ready(text)
+        yield from self._close()
 
     def _ready(self, text: str) -> Iterator[Iterable[int]]:
         tok, at = self.tokenizer, 0
         for special in tok.specials.finditer(text):
             yield from self._plain(text[at : special.start()])
+            yield from self._close()
             yield (tok.special[special[0]],)
             at = special.end()
         yield from self._plain(text[at:])
 
     def _plain(self, text: str) -> Iterator[Iterable[int]]:
         at = 0
-        while len(text) - at > PIECE:  # before white space nothing composes and no word goes on
-            space = _SPACE.search(text, at + PIECE)
-            cut = space.start() if space else len(text)
-            yield from self.tokenizer.piece(text[at:cut])
+        while at < len(text):
+            cut = min(at + PIECE, len(text))
+            while cut < len(text) and not _starts(text[cut]):
+                cut += 1
+            yield from self._piece(self.tokenizer.normalise(text[at:cut]))
             at = cut
-        yield from self.tokenizer.piece(text[at:])
+
+    def _piece(self, normal: str) -> Iterator[Iterable[int]]:
+        """Words of normalised text that may go on after it."""
+        text, self.tail = self.tail + normal, ""
+        if self.open and text:
+            end = self.more.match(text).end()
+            yield list(self.open.feed(text[:end]))
+            if end == len(text):
+                return
+            yield from self._close()
+            text = text[end:]
+        words = self.tokenizer.words(text)
+        last = words[-1] if words and text.endswith(words[-1]) else ""
+        if last == "'":
+            self.tail = words.pop()
+        elif last in ("r", "v", "l") and words[-2:-1] == ["'"] and text.endswith("'" + last):
+            self.tail = "'" + last
+            del words[-2:]
+        elif last and not _NUMBER.match(last) and not (last[0] == "'" and last[-1].isalpha()):
+            words.pop()
+            yield from self.tokenizer.ids_of(words)
+            words = []
+            self.open, self.more = Transducer(self.tokenizer), _LETTERS if _LETTERS.match(last).end() else _OTHERS
+            yield list(self.open.feed(last))
+        yield from self.tokenizer.ids_of(words)
+
+    def _close(self) -> Iterator[Iterable[int]]:
+        """The text ends here, or a special token comes."""
+        tail, self.tail = self.tail, ""
+        if self.open:
+            machine, self.open = self.open, None
+            yield list(machine.finish())
+        yield from self.tokenizer.ids_of(self.tokenizer.words(tail))
 
 
 class Decoder:
