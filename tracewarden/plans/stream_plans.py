@@ -13,6 +13,7 @@ from tracewarden.plans.detector_plans import CONFIRM, ESTIMATES, QUIET, _SUPPRES
 from tracewarden.plans.registry import query
 from tracewarden.plans.sources_plans import workdir
 from tracewarden.plans.sql_views import DAY
+from tracewarden.session import cut_lineage
 from tracewarden.streaming import jobs
 
 MARKER = "marker"
@@ -200,3 +201,34 @@ def _(t):
     # keys silent for longer than the quiet period leave the state; the flags must not change by it
     out, _ = run_stream(t, alert_rows(t).fillna({"attack_type": ""}), lambda s: jobs.suppression(s, WATERMARK, suppress_after=2, quiet_us=QUIET), key="source_ip")
     return out.filter(F.col("source_ip") != MARKER)
+
+
+IDLE_US = 600_000_000
+
+
+@query(
+    "win19_held_keys",
+    f"""SELECT source_ip, attack_type, max(us) // 1000 + {IDLE_US // 1000 + 1} > (SELECT max(us) FROM alerts) // 1000 - {DELAY_DAYS * DAY // 1000} AS held_before, false AS held_after
+        FROM (SELECT source_ip, coalesce(attack_type, '') AS attack_type, us FROM alerts) GROUP BY 1, 2""",
+    ("alerts",),
+)
+def _(t):
+    """Keys in the state when the input pauses, and when the watermark has passed ten silent minutes more."""
+    df = alert_rows(t).fillna({"attack_type": ""})
+    base, held = workdir(t), {}
+
+    def feed(part, name):
+        part.write.mode("append").parquet(f"{base}/in")
+        build = jobs.suppression(jobs.read_pages(t.spark, f"{base}/in", df.schema, FILES), WATERMARK, quiet_us=IDLE_US)
+        jobs.start(build, f"{base}/out", f"{base}/checkpoint", poll=None).awaitTermination()
+        if name:
+            held[name] = cut_lineage(jobs.held_keys(t.spark, f"{base}/checkpoint").filter(F.col("source_ip") != MARKER).withColumn(name, F.lit(True)))
+
+    for page, part in enumerate(pages(t, df, "source_ip")):
+        feed(part.filter(F.col("source_ip") != MARKER), "held_before" if page == PAGES - 1 else None)
+    late = F.timestamp_micros(df.agg(F.max("us") + (DELAY_DAYS * DAY + IDLE_US + 1_000_000)).scalar())
+    values = {"source_ip": F.lit(MARKER), "ts": late, "us": F.unix_micros(late), "event_id": F.lit(-1)}
+    feed(t.spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]).fillna({"attack_type": ""}), "held_after")
+    keys = ["source_ip", "attack_type"]
+    found = df.select(*keys).distinct().join(held["held_before"], keys, "left").join(held["held_after"], keys, "left")
+    return found.select(*keys, *[F.coalesce(c, F.lit(False)).alias(c) for c in held])

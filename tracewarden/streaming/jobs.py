@@ -360,3 +360,8 @@ def throughput_report(progress: DataFrame) -> DataFrame:
         F.sum("rows").alias("events"), F.sum("batch_ms").alias("elapsed_ms"), (F.sum("rows") * 1000 / F.sum("batch_ms")).alias("events_per_second"),
         at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"), F.sum("dropped_late").alias("dropped_late"),
     )
+
+
+def held_keys(spark, checkpoint: str) -> DataFrame:
+    """Keys that a keyed stream holds after its last batch, as columns, read from its state store."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*")
