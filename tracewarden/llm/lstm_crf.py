@@ -117,12 +117,13 @@ class Tagger:
         w, n = self.weights, d_out.shape[2]
         dh, dc = (np.zeros(d_out.shape[1:], np.float32) for _ in range(2))
         d_table = np.zeros((len(w["embed"]), 4 * n), np.float32)
+        one_hot = np.eye(len(d_table), dtype=np.float32)
         for t in range(len(chars) - 1, -1, -1) if side == "f" else range(len(chars)):
             i, f, o, g, tanh, h, c = saved[t]
             dh = dh + d_out[t]
             dc = dc + dh * o * (1 - tanh**2)
             dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tanh * o * (1 - o), dc * i * (1 - g**2)], 1)
-            np.add.at(d_table, chars[t], dz)
+            d_table += one_hot[chars[t]].T @ dz
             grad[f"h{side}"] += h.T @ dz
             dh, dc = dz @ w[f"h{side}"].T, dc * f
         grad[f"x{side}"] += w["embed"].T @ d_table
