@@ -156,8 +156,8 @@ def _(t):
     return forest.learning_curve(table(t), "row_id", "label", FEATURES)
 
 
-@query("ml09_augmented_training", _augmented_sql(), ("features",))
-def _(t):
+def augmented_training(t):
+    """Detection of clean and perturbed attacks by a forest of normal rows and by one that has seen both."""
     df = table(t)
     attack = df.filter("label = 1")
     perturbed = attack.withColumns({f: F.col(f) * 0.85 for f in WORN})
@@ -172,6 +172,32 @@ def _(t):
     return E.robustness(both, "model", "part", "predicted")
 
 
+@query("ml09_augmented_training", _augmented_sql(), ("features",))
+def _(t):
+    return augmented_training(t)
+
+
+@query(
+    "evl22_perturbed_gain",
+    f"""WITH rb AS ({_augmented_sql()}) SELECT round(a.adversarial_detection_rate - b.adversarial_detection_rate, 4) AS adversarial_robustness_gain, round(a.clean_detection_rate - b.clean_detection_rate, 4) AS clean_accuracy_delta,
+          round(a.false_positive_rate - b.false_positive_rate, 4) AS fpr_delta FROM rb a, rb b WHERE a.model = 'after' AND b.model = 'before'""",
+    ("features",),
+)
+def _(t):
+    """The gain on rows that really are perturbed, judged again by both forests."""
+    return E.robustness_gain(augmented_training(t))
+
+
+@query(
+    "evl22_perturbed_evasion",
+    f"""WITH rb AS ({_augmented_sql()}) SELECT model, round(1 - clean_detection_rate, 3) AS pre_evasion_rate, round(1 - adversarial_detection_rate, 3) AS post_evasion_rate,
+          round(clean_detection_rate - adversarial_detection_rate, 3) AS esr_delta FROM rb""",
+    ("features",),
+)
+def _(t):
+    return E.evasion_delta(augmented_training(t))
+
+
 def encoded(t):
     """Encodings of three widths with a label, split into training and test rows."""
     e = t.read("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("a"))
