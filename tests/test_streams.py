@@ -112,3 +112,20 @@ def test_ema_blocks_keep_the_digits():
                 state = alpha * v + (1 - alpha) * state
             before, after = ema_path(x, alpha, 2.1)
             assert np.allclose(before, want, rtol=1e-10, atol=1e-10 * max(1.0, np.abs(x).max(initial=0))) and abs(after - state) <= 1e-10 * max(1.0, np.abs(x).max(initial=0))
+
+
+def test_keys_share_groups(spark, tmp_path):
+    """A thousand keys take no more calls and rows of state than there are groups, null and empty keys stay apart."""
+    keys = [f"ip{k}" for k in range(1000)] + [None, ""]
+    row = lambda i, s, ip: (i, (10_000 + s) * SECOND, ip, "x", 0.0, 1)
+    batches = [[row(3 * k, 0, ip) for k, ip in enumerate(keys)], [row(3 * k + 1, 5, ip) for k, ip in enumerate(keys)], [row(3 * k + 2, 200, ip) for k, ip in enumerate(keys[:500])]]
+    shape = spark.createDataFrame([], SCHEMA).schema
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.read_pages(spark, f"{tmp_path}/in", shape, 1).withColumn("ts", F.timestamp_micros("us"))
+    found = jobs.suppression(stream, "20 seconds", suppress_after=2, quiet_us=60 * SECOND)
+    jobs.start(found, f"{tmp_path}/out", f"{tmp_path}/checkpoint", poll=None).awaitTermination()
+    assert {(r.event_id, r.suppressed) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(3 * k + j, j == 1) for k in range(len(keys)) for j in (0, 1)}
+    # what is held: the keys with a row that the watermark has not passed
+    assert sorted(r.source_ip for r in jobs.held_keys(spark, f"{tmp_path}/checkpoint").collect()) == sorted(keys[:500])
+    assert spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() < 500

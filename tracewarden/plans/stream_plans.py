@@ -6,6 +6,7 @@ watermark past every real event so that append mode emits all of them; the marke
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden.operators import detectors
 from tracewarden.operators.features import FEATURES
@@ -27,10 +28,14 @@ END_US = 9_183_110_400_000_000  # 2261-01-01: later than the end of the input, w
 
 
 def pages(t, df, key):
-    """Pages in order of arrival, each shuffled; the last one with the marker row."""
+    """Pages in order of arrival, each shuffled; the last one with the marker row.
+
+    The rows are derived once and dealt to a folder a page."""
     drawn = F.xxhash64("event_id")
     arrival = F.col("us") - t.log.agg(F.min("us")).scalar() + F.pmod(drawn, F.lit(DELAY_DAYS * DAY))
-    dealt = df.withColumn("_page", F.least(F.greatest(F.floor(arrival / PAGE_US), F.lit(0)), F.lit(PAGES - 1)))
+    folder = workdir(t)
+    df.withColumn("_page", F.least(F.greatest(F.floor(arrival / PAGE_US), F.lit(0)), F.lit(PAGES - 1)).cast("int")).write.partitionBy("_page").parquet(folder)
+    dealt = t.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_page", T.IntegerType())])).parquet(folder)
     late = {
         "us": F.lit(END_US), "event_id": F.lit(-1), key: F.lit(MARKER), "ts": F.timestamp_micros(F.lit(END_US)),
     }

@@ -3,7 +3,8 @@
 Windows and joins use the built-in streaming operators.  Per-key recursions fold rows in event order, whatever
 the order in which they arrive: a row waits in the state until the watermark has passed it, a timer then takes
 all such rows of the key in order through the same small helpers as the batch jobs.  So the state of a key holds a
-few numbers and its rows within the watermark's delay, and idle keys leave it by timer.
+few numbers and its rows within the watermark's delay, and idle keys leave it by timer.  Keys share groups by their
+hash: a call of Python and a row of state serve many of them.
 """
 
 from __future__ import annotations
@@ -158,57 +159,111 @@ def enriched(events: DataFrame, intel: DataFrame, ip: str) -> DataFrame:
 END_OF_INPUT_MS = 7_258_118_400_000
 
 
+#: Groups that the keys of a keyed stream share.  A group is one call of Python and one row of state.
+BUCKETS = 512
+
+
 def _keyed(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], watermark: str, output: str, state: str, fold: Callable,
-    on_timeout: Callable | None = None, keep_ms: int | None = 600_000,
+    on_timeout: Callable | None = None, keep_ms: int | None = 600_000, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Stateful map per key in the order of ``us`` and ``event_id``.
 
-    ``fold(key, columns, state)`` gets the rows that the watermark has passed, as arrays by name, and the state that
-    it left.  A key silent for ``keep_ms`` of event time is flushed and forgotten; with ``keep_ms=None`` it is held
-    until the end of the input.
+    ``fold(columns, state)`` gets the rows of a key that the watermark has passed, as arrays by name, and the state that
+    it left; it gives columns by name and the new state.  A key silent for ``keep_ms`` of event time is flushed and
+    forgotten; with ``keep_ms=None`` it is held until the end of the input.
+
+    Keys are dealt by hash to ``buckets`` groups, as a call costs far more than the fold of a key.  A group's state
+    lists its keys and their waiting rows; its timer is that of the key that is due first.
     """
     names = ["us", "event_id", *values]
-    types = dict(df.select(*names).dtypes)
-    waiting = ", ".join(f"w_{n} array<{types[n]}>" for n in names)
+    types = dict(df.select(*names, *keys).dtypes)
     kinds = {n: np.float64 if types[n] in ("double", "float") else np.int64 for n in names}
-    folded = len(state.split(", "))
+    states = [c.split(" ", 1) for c in state.split(", ")]
+    shown = [c.split(" ")[0] for c in output.split(", ")]
 
-    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        number, last_us, had, at = {}, [], [], []  # of a key: its place in the lists that follow; of a row: its key's place
+        parts = {n: [] for n in names}
         old = held.getOption
-        had, parts = (None, {n: [] for n in names})
         if old is not None:
-            known, last_us, lists, had = old[0], old[1], old[2 : 2 + len(names)], tuple(old[2 + len(names) :])
-            had = had if known else None
-            for n, column in zip(names, lists, strict=True):
-                parts[n].append(np.asarray(column, kinds[n]))
-        else:
-            last_us = 0
+            fields = iter(old)
+            number = {k: i for i, k in enumerate(zip(*[next(fields) for _ in keys], strict=True))}
+            known, last_us = next(fields), list(next(fields))
+            had = [x if k else None for k, x in zip(known, zip(*[next(fields) for _ in states], strict=True), strict=True)]
+            at.append(np.asarray(next(fields), np.int64))
+            for n in names:
+                parts[n].append(np.asarray(next(fields), kinds[n]))
+        fresh = np.zeros(len(number), bool)
         if not held.hasTimedOut:
             for pdf in batches:
+                columns = [pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys]
+                at.append(np.fromiter((number.setdefault(k, len(number)) for k in zip(*columns, strict=True)), np.int64, len(pdf)))
                 for n in names:
                     parts[n].append(pdf[n].to_numpy(kinds[n]))
+                fresh = np.r_[fresh, np.zeros(len(number) - len(fresh), bool)]
+                fresh[at[-1]] = True
+        last_us += [0] * (len(number) - len(last_us))
+        had += [None] * (len(number) - len(had))
         now = held.getCurrentWatermarkMs()
         rows = {n: np.concatenate(x or [np.zeros(0, kinds[n])]) for n, x in parts.items()}
-        order = np.lexsort((rows["event_id"], rows["us"]))
-        ready = int(np.searchsorted(rows["us"][order], now * 1000, "left"))  # later rows may still arrive at or beyond the watermark
-        if ready:
-            first = {n: x[order[:ready]] for n, x in rows.items()}
-            out, had = fold(key, first, had)
-            last_us = int(first["us"][-1])
-            yield out
-        rest = {n: x[order[ready:]].tolist() for n, x in rows.items()}
-        silent = END_OF_INPUT_MS if keep_ms is None else last_us // 1000 + keep_ms
-        if not rest["us"] and silent <= now:
-            if on_timeout is not None and had is not None:
-                yield from on_timeout(key, had)
-            held.remove()
+        owner = np.concatenate(at or [np.zeros(0, np.int64)])
+        order = np.lexsort((rows["event_id"], rows["us"], owner))
+        rows, owner = {n: x[order] for n, x in rows.items()}, owner[order]
+        begin = np.searchsorted(owner, np.arange(len(number) + 1))
+        passed = np.r_[0, np.cumsum(rows["us"] < now * 1000)]  # later rows may still arrive at or beyond the watermark
+        ready = (passed[begin[1:]] - passed[begin[:-1]]).tolist()
+        begin = begin.tolist()
+        everyone = list(number)
+        found, owners, staying, due, rest = [], [], [], [], []
+        silence = lambda last: END_OF_INPUT_MS if keep_ms is None else last // 1000 + keep_ms
+
+        def emit(i, out):
+            found.append(out)
+            owners.append((i, len(out[next(iter(out))])))
+
+        for i, key in enumerate(everyone):
+            lo, middle, hi = begin[i], begin[i] + ready[i], begin[i + 1]
+            timer = int(rows["us"][lo]) // 1000 + 1 if hi > lo else silence(last_us[i])
+            if fresh[i] or timer < now:
+                if middle > lo:
+                    out, had[i] = fold({n: x[lo:middle] for n, x in rows.items()}, had[i])
+                    last_us[i] = int(rows["us"][middle - 1])
+                    emit(i, out)
+                if middle == hi and silence(last_us[i]) <= now:
+                    if on_timeout is not None and had[i] is not None:
+                        for out in on_timeout(had[i]):
+                            emit(i, out)
+                    continue
+                timer = int(rows["us"][middle]) // 1000 + 1 if hi > middle else silence(last_us[i])
+                lo = middle
+            rest.append(np.arange(lo, hi))
+            staying.append(i)
+            due.append(timer)
+        if found:
+            columns = {n: np.concatenate([np.asarray(f[n]) for f in found]) for n in found[0]}
+            for k, name in enumerate(keys):
+                columns[name] = [everyone[i][k] for i, n in owners for _ in range(n)]
+            yield pd.DataFrame({n: columns[n] for n in shown})
+        if not staying:
+            if held.exists:
+                held.remove()
             return
-        held.update((had is not None, last_us, *(rest[n] for n in names), *(had if had is not None else (None,) * folded)))
-        held.setTimeoutTimestamp(max(now + 1, rest["us"][0] // 1000 + 1 if rest["us"] else silent))
-
-    schema = f"known boolean, last_us long, {waiting}, {state}"
-    return df.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(run, output, schema, "append", GroupStateTimeout.EventTimeTimeout)
+        of = [had[i] if had[i] is not None else (None,) * len(states) for i in staying]
+        waits = np.concatenate(rest)
+        held.update((
+            *([everyone[i][k] for i in staying] for k in range(len(keys))),
+            [had[i] is not None for i in staying], [last_us[i] for i in staying], *([x[s] for x in of] for s in range(len(states))),
+            np.repeat(np.arange(len(staying)), [len(r) for r in rest]).tolist(), *(rows[n][waits].tolist() for n in names),
+        ))
+        held.setTimeoutTimestamp(max(now + 1, min(due)))
+
+    schema = ", ".join([
+        *(f"k_{k} array<{types[k]}>" for k in keys), "known array<boolean>", "last_us array<long>", *(f"s_{n} array<{kind}>" for n, kind in states),
+        "w_key array<int>", *(f"w_{n} array<{types[n]}>" for n in names),
+    ])
+    dealt = df.withWatermark("ts", watermark).select("ts", *names, *keys, F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInPandasWithState(run, output, schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fingerprints(observed: DataFrame, watermark: str, *, alpha: float = 0.1, keep_ms: int = 600_000) -> DataFrame:
@@ -217,7 +272,7 @@ def fingerprints(observed: DataFrame, watermark: str, *, alpha: float = 0.1, kee
 
     seeds = (("rate", 2.1), ("err", 0.05), ("ent", 1.8))
 
-    def fold(key, rows, state):
+    def fold(rows, state):
         current = list(state) if state else [s for _, s in seeds]
         before = {}
         for i, (c, _) in enumerate(seeds):
@@ -227,7 +282,7 @@ def fingerprints(observed: DataFrame, watermark: str, *, alpha: float = 0.1, kee
             + 0.3 * (rows["err"] - before["err"]) / 0.1
             + 0.2 * np.abs(rows["ent"] - before["ent"]) / 0.5
         )
-        return pd.DataFrame({"event_id": rows["event_id"], "remote_addr": key[0], "composite": score}), tuple(float(c) for c in current)
+        return {"event_id": rows["event_id"], "composite": score}, tuple(float(c) for c in current)
 
     doubles = observed.withColumns({c: F.col(c).cast("double") for c, _ in seeds})
     return _keyed(doubles, ["remote_addr"], [c for c, _ in seeds], watermark, "event_id long, remote_addr string, composite double", "rate double, err double, ent double", fold, keep_ms=keep_ms)
@@ -236,11 +291,10 @@ def fingerprints(observed: DataFrame, watermark: str, *, alpha: float = 0.1, kee
 def suppression(alerts: DataFrame, watermark: str, *, suppress_after: int = 3, quiet_us: int = 300_000_000) -> DataFrame:
     """Suppressed flag per alert; the state is the anchor of the current group and its size."""
 
-    def fold(key, rows, state):
-        anchor, seq = (int(state[0]), int(state[1])) if state else (None, 0)
+    def fold(rows, state):
+        anchor, seq = state if state else (None, 0)
         _, seqs, anchor, seq = walk_groups(rows["us"], quiet_us, False, anchor, seq)
-        out = pd.DataFrame({"event_id": rows["event_id"], "source_ip": key[0], "attack_type": key[1], "suppressed": seqs >= suppress_after})
-        return out, (anchor, seq)
+        return {"event_id": rows["event_id"], "suppressed": seqs >= suppress_after}, (anchor, seq)
 
     return _keyed(
         alerts, ["source_ip", "attack_type"], [], watermark, "event_id long, source_ip string, attack_type string, suppressed boolean", "anchor long, seq long", fold,
@@ -254,10 +308,10 @@ def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000
     ``close_after_us`` also closes an open one after so long a silence of its key; it is off by default.
     """
 
-    def table(key, first, last, count, score):
-        return pd.DataFrame({"source_ip": key[0], "attack_type": key[1], "first_seen_us": first, "last_seen_us": last, "alert_count": count, "max_score": score})
+    def table(first, last, count, score):
+        return {"first_seen_us": first, "last_seen_us": last, "alert_count": count, "max_score": score}
 
-    def fold(key, rows, state):
+    def fold(rows, state):
         held = state if state and state[2] > 0 else None  # first, last, count, score
         t = rows["us"]
         anchors, seqs, _, _ = walk_groups(t, span_us, True, *((int(held[0]), int(held[2])) if held else (None, 0)))
@@ -267,12 +321,12 @@ def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000
         if held:
             score[0] = max(score[0], held[3])
         closed = t[end] - anchors[end] >= span_us  # all but the last
-        done = table(key, anchors[end][closed], t[end][closed], seqs[end][closed], score[closed])
+        done = table(anchors[end][closed], t[end][closed], seqs[end][closed], score[closed])
         return done, (0, 0, 0, 0.0) if closed[-1] else (int(anchors[-1]), int(t[-1]), int(seqs[-1]), float(score[-1]))
 
-    def flush(key, state):
+    def flush(state):
         if state[2] > 0:
-            yield table(key, *([x] for x in state))
+            yield table(*([x] for x in state))
 
     return _keyed(
         alerts.withColumn("risk_score", F.col("risk_score").cast("double")), ["source_ip", "attack_type"], ["risk_score"], watermark,
@@ -284,14 +338,14 @@ def incident_stream(alerts: DataFrame, watermark: str, *, span_us: int = 120_000
 def confirmations(flagged: DataFrame, watermark: str, *, size: int = 10, needed: int = 4, keep_ms: int = 600_000) -> DataFrame:
     """k-of-n escalation; the state is the last n - 1 flags."""
 
-    def fold(key, rows, state):
+    def fold(rows, state):
         past = np.asarray(state[0] if state else [], np.int64)
-        flags = np.concatenate([past, rows["flag"].astype(np.int64)])
+        flags = np.concatenate([past, rows["flag"]])
         total = np.r_[0, np.cumsum(flags)]
         end = np.arange(len(past) + 1, len(flags) + 1)
         begin = np.maximum(end - size, 0)
         escalated = (end - begin == size) & (total[end] - total[begin] >= needed)
-        return pd.DataFrame({"event_id": rows["event_id"], "entity_id": key[0], "escalated": escalated}), (flags[-(size - 1):].tolist(),)
+        return {"event_id": rows["event_id"], "escalated": escalated}, (flags[-(size - 1):].tolist(),)
 
     return _keyed(flagged, ["entity_id"], ["flag"], watermark, "event_id long, entity_id string, escalated boolean", "flags array<int>", fold, keep_ms=keep_ms)
 
@@ -364,4 +418,6 @@ def throughput_report(progress: DataFrame) -> DataFrame:
 
 def held_keys(spark, checkpoint: str) -> DataFrame:
     """Keys that a keyed stream holds after its last batch, as columns, read from its state store."""
-    return spark.read.format("statestore").load(checkpoint).select("key.*")
+    value = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    named = [c for c in value.columns if c.startswith("k_")]
+    return value.select(F.explode(F.arrays_zip(*named)).alias("held")).select(*[F.col(f"held.{c}").alias(c[2:]) for c in named])
