@@ -110,3 +110,33 @@ def test_full_walks_go_on_from_the_small_ones(spark):
     assert {k for _, k in full} == set(range(1, 11)) and all(len(p) == 40 for p in full.values())
     assert len(full) == 10 * len({s for s, _ in small})
     assert all(full[k][:10] == p for k, p in small.items())
+
+
+def test_draws_are_those_of_md5_and_are_not_made_by_lambdas(spark):
+    """The sample of every tree by plain Python; rows and trees never meet as structs of a row."""
+    import hashlib
+
+    rows = [(f"r{i}", float(i)) for i in range(500)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "row_id string, a double")
+    seen = {}
+    for i, (name, _) in enumerate(rows):
+        digest = "".join(hashlib.md5("|".join(["42", *([] if name is None else [name]), "", str(k)]).encode()).hexdigest() for k in range(2))
+        for tree in range(6):
+            seen.setdefault(tree, []).append((digest[8 * tree : 8 * tree + 7], i))
+    limit = -(-2**28 * 384 // 501)
+    got = {}
+    for batch in forest._sample(["a"], 6, 42)(iter([df.withColumnRenamed("row_id", "_id").withColumn("grp", F.lit("")).withColumn("_limit", F.lit(limit)).toPandas()])):
+        for r in batch.to_dict("records"):
+            got.setdefault(r["tree"], []).append((f"{r['u']:07x}", rows.index((r["_id"], r["a"]))))
+    assert got == {t: sorted([d for d in x if int(d[0], 16) < limit], key=lambda d: d[1]) for t, x in seen.items()}
+    assert "lambdafunction" not in forest.fit(df, "row_id", ["a"], trees=6)._jdf.queryExecution().toString()
+
+
+def test_forests_read_a_finished_feature_table(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    fit, plans = forest.fit, []
+    monkeypatch.setattr(forest, "fit", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or fit(df, *a, **k))
+    for name in ("ml09_augmented_training", "ml11_permutation_importance"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not [p for p in plans if "FileScan" in p]

@@ -77,24 +77,41 @@ def _grow(features: Sequence[str], max_features: float, seed: int):
     return run
 
 
+def _sample(features: Sequence[str], trees: int, seed: int):
+    """Rows under the trees for which they draw a number below their limit: the first seven of each eight digits."""
+    words = [str(k).encode() for k in range((trees + 3) // 4)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            digests = []
+            for name, grp in zip(b["_id"], b["grp"], strict=True):
+                begun = hashlib.md5("|".join([str(seed), *([] if name is None else [name]), grp, ""]).encode())
+                for k in words:
+                    h = begun.copy()
+                    h.update(k)
+                    digests.append(h.digest())
+            u = np.frombuffer(b"".join(digests), ">u4").reshape(len(b), -1)[:, :trees] >> 4
+            row, tree = np.nonzero(u < b["_limit"].to_numpy()[:, None])
+            hit = b.iloc[row]
+            yield pd.DataFrame({"grp": hit["grp"], "tree": tree.astype(np.int32), "u": u[row, tree].astype(np.int64), "_id": hit["_id"], **{f: hit[f] for f in features}})
+
+    return run
+
+
 def fit(df: DataFrame, id_column: str, features: Sequence[str], *, trees: int = 100, max_features: float = 1.0, seed: int = 42, group: str | None = None) -> DataFrame:
     """Node table of one forest, or of one forest per value of ``group`` (a few values: their row counts are a map).
 
     A tree sees the ``PSI`` rows that draw the smallest numbers for it, or all if there are fewer.  Every row draws a
     number a tree, four from one hash, and only goes to trees for which it is below the share at which about ``PSI *
-    OVERSAMPLE`` rows come: only those are shuffled.  The same seed gives the same forest in any engine.
+    OVERSAMPLE`` rows come: only those leave the task that drew them.  The same seed gives the same forest in any engine.
     """
-    keyed = df.select(F.col(id_column).cast("string").alias("_id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), *features)
+    keyed = df.select(F.col(id_column).cast("string").alias("_id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), *[F.col(f).cast("double").alias(f) for f in features])
     counts = keyed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("grp").isNotNull())
     sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct("grp", "n")))).scalar()
     share = F.lit(PSI * OVERSAMPLE) / F.element_at(sizes, F.col("grp"))
-    # numbers are seven hexadecimal digits, compared as text; "g" lies above all of them
-    limit = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.ceil(share * DRAWS).cast("long"))), 7, "0"))
-    rows = keyed.filter(F.col("grp").isNotNull()).withColumn("_limit", limit)
-    words = F.transform(F.sequence(F.lit(0), F.lit((trees - 1) // 4)), lambda k: F.md5(F.concat_ws("|", F.lit(str(seed)), "_id", "grp", k.cast("string")).cast("binary")))
-    four = lambda w, k: F.array(*[F.struct((4 * k + F.lit(i)).cast("int").alias("tree"), F.substring(w, 8 * i + 1, 7).alias("u")) for i in range(4)])
-    hits = F.filter(F.flatten(F.transform(words, four)), lambda d: (d["tree"] < trees) & (d["u"] < F.col("_limit")))
-    drawn = rows.withColumn("_d", F.explode(hits)).select("grp", "_d.tree", "_d.u", "_id", *features)
+    rows = keyed.filter(F.col("grp").isNotNull()).withColumn("_limit", F.when(share >= 1, F.lit(DRAWS)).otherwise(F.ceil(share * DRAWS).cast("long")))
+    shape = "grp string, tree int, u long, _id string, " + ", ".join(f"`{f}` double" for f in features)
+    drawn = rows.mapInPandas(_sample(features, trees, seed), shape)
     # about PSI * OVERSAMPLE rows per tree reach this window
     order = Window.partitionBy("grp", "tree").orderBy("u", "_id")
     sample = drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PSI)
@@ -107,28 +124,25 @@ class _Forest:
     def __init__(self, nodes: pd.DataFrame):
         self.trees = []
         for _, n in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
-            add = np.array([average_path(s) for s in n["size"]])
-            child = np.searchsorted(n["node"].to_numpy(), n["child"].to_numpy())  # siblings stand side by side
-            self.trees.append((n["feature"].to_numpy(), n["threshold"].to_numpy(), child, add))
+            number, feature = n["node"].to_numpy(np.int64), n["feature"].to_numpy(np.int64)
+            leaf = feature < 0
+            # siblings stand side by side; a leaf leads to itself, as nothing is at least NaN
+            child = np.where(leaf, np.arange(len(n)), np.searchsorted(number, n["child"].to_numpy()))
+            end = np.floor(np.log2(number + 1)) + np.array([average_path(s) for s in n["size"]])
+            self.trees.append((np.where(leaf, 0, feature), np.where(leaf, np.nan, n["threshold"].to_numpy()), child, end))
         self.norm = average_path(float(nodes["sampled"].max()))
 
     def depths(self, x: np.ndarray) -> np.ndarray:
         """Path length of every row in every tree."""
-        out = np.empty((len(x), len(self.trees)))
-        rows = np.arange(len(x))
-        for t, (feature, cut, child, add) in enumerate(self.trees):
-            at = np.zeros(len(x), int)
-            depth = np.zeros(len(x))
+        out = np.empty((len(self.trees), len(x)))
+        first = np.arange(len(x)) * x.shape[1]
+        flat = np.ascontiguousarray(x).ravel()
+        for t, (feature, cut, child, end) in enumerate(self.trees):
+            at = np.zeros(len(x), np.int64)
             for _ in range(DEPTH):
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                right = x[rows, np.maximum(f, 0)] >= cut[at]
-                at = np.where(inner, child[at] + right, at)
-                depth += inner
-            out[:, t] = depth + add[at]
-        return out
+                at = child.take(at) + (flat.take(first + feature.take(at)) >= cut.take(at))
+            out[t] = end.take(at)
+        return np.ascontiguousarray(out.T)
 
 
 def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], *, prefixes: Sequence[int] | None = None, group: str | None = None) -> DataFrame:

@@ -158,7 +158,7 @@ def _(t):
 
 def augmented_training(t):
     """Detection of clean and perturbed attacks by a forest of normal rows and by one that has seen both."""
-    df = table(t)
+    df = cut_lineage(table(t))  # read by two forests, their row counts and their scores
     attack = df.filter("label = 1")
     perturbed = attack.withColumns({f: F.col(f) * 0.85 for f in WORN})
     before = forest_of(df.filter("label = 0"))
@@ -225,7 +225,7 @@ def _(t):
 
 @query("ml11_permutation_importance", _importance_sql(), ("features",))
 def _(t):
-    df = table(t)
+    df = cut_lineage(table(t))
     return forest.permutation_importance(df, "row_id", "label", FEATURES, forest_of(df))
 
 
