@@ -86,3 +86,14 @@ def test_no_edges(spark):
     assert graph.walk_embeddings(none, dim=4, walks=2, length=3).count() == 0
     assert graph.co_occurrences(spark.createDataFrame([(["x"],)], "path array<string>")).count() == 0
     assert graph.walk_embeddings(none.union(spark.createDataFrame([("a", "b")], none.schema)), dim=4, walks=2, length=6).select(F.size("vector")).distinct().collect()[0][0] == 4
+
+
+def test_neighbour_means_combine_by_hash(spark):
+    """Sums are plain aggregates, which do not fall back to sorting whole vectors."""
+    edges = graph.both_directions(spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y")], "src string, dst string"))
+    vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 3.0])], "id string, vector array<double>")
+    means = graph.neighbour_means(edges, vectors, hops=1, normalise=False)
+    assert "ObjectHashAggregate" not in means._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.pos): r.value for r in means.collect()}
+    assert got == {("a", 0): pytest.approx(2 / 3), ("a", 1): pytest.approx(1), ("b", 0): 0, ("b", 1): 3}
+    assert graph.neighbour_means(edges, vectors.filter("false")).count() == 0

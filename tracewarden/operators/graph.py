@@ -63,18 +63,18 @@ def both_directions(edges: DataFrame) -> DataFrame:
 def neighbour_means(edges: DataFrame, vectors: DataFrame, hops: int = 2, normalise: bool = True, places: int | None = None) -> DataFrame:
     """Replace each vertex' vector by the mean over its out-neighbours, ``hops`` times, then scale to length 1.
 
-    Whole vectors travel, weighted by the number of parallel edges; the mean is an aggregate that combines before
-    the shuffle, so a hub is never gathered into one task.  Cells of the result are (id, pos, value).
+    Whole vectors travel, a column a place, weighted by the number of parallel edges; the sums are plain aggregates that
+    combine by hash before the shuffle, so a hub is never gathered into one task.  Cells of the result are (id, pos, value).
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    width = vectors.agg(F.max(F.size("vector"))).head()[0] or 0
+    places_of = [f"_{i}" for i in range(width)]
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
-    now = vectors.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
+    now = vectors.select("id", *[F.get("vector", F.lit(i)).cast("double").alias(c) for i, c in enumerate(places_of)])
     for _ in range(hops):
-        met = pairs.join(now, pairs.dst == now.id).select(F.col("src").alias("id"), "vector", F.col("times").cast("double").alias("times"))
-        now = met.groupBy("id").agg(Summarizer.mean(F.col("vector"), F.col("times")).alias("vector"))
-    cells = now.select("id", vector_to_array("vector").alias("a"))
+        met = pairs.join(now, pairs.dst == now.id).select(F.col("src").alias("id"), F.col("times").cast("double").alias("times"), *places_of)
+        whole = F.sum("times")
+        now = met.groupBy("id").agg(whole.alias("_of"), *[(F.sum(F.col(c) * F.col("times")) / whole).alias(c) for c in places_of]).drop("_of")
+    cells = now.select("id", F.array(*[F.col(c) for c in places_of]).cast("array<double>").alias("a"))
     if normalise:
         norm = F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x))
         cells = cells.withColumn("_n", norm).select("id", F.transform("a", lambda x: ratio(x, F.col("_n"))).alias("a"))
