@@ -88,6 +88,20 @@ def test_no_edges(spark):
     assert graph.walk_embeddings(none.union(spark.createDataFrame([("a", "b")], none.schema)), dim=4, walks=2, length=6).select(F.size("vector")).distinct().collect()[0][0] == 4
 
 
+def test_tiles_of_any_size_give_the_same_factors(spark, monkeypatch):
+    """Vectors meet the cells a tile at a time; no row of the job pairs a cell with a vector."""
+    rng = np.random.default_rng(4)
+    m = np.triu(rng.random((30, 30)) * (rng.random((30, 30)) < 0.3))
+    m = m + m.T
+    cells = spark.createDataFrame([(f"v{i}", f"v{j}", float(m[i, j])) for i in range(30) for j in range(30) if m[i, j]], "src string, dst string, weight double")
+    found = []
+    for block in (7, 1000):
+        rows = {r.id: np.array(r.vector) for r in graph.spectral_embedding(cells, 8, rounds=2, block=block).collect()}
+        e = np.stack([rows[n] for n in sorted(rows)])
+        found.append(e @ e.T)
+    assert np.allclose(*found, atol=1e-8)
+
+
 def test_neighbour_means_combine_by_hash(spark):
     """Sums are plain aggregates, which do not fall back to sorting whole vectors."""
     edges = graph.both_directions(spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "y")], "src string, dst string"))

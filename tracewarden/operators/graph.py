@@ -234,27 +234,53 @@ def _root(gram: np.ndarray) -> np.ndarray:
     return vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
 
-def spectral_embedding(cells: DataFrame, dim: int = 64, *, rounds: int = 6, spare: int = 16, seed: int = 7) -> DataFrame:
+def spectral_embedding(cells: DataFrame, dim: int = 64, *, rounds: int = 6, spare: int = 16, seed: int = 7, block: int = 16_384) -> DataFrame:
     """Vectors of a symmetric sparse matrix ``src, dst, weight``: (id, vector), the leading ``dim`` eigenvectors scaled by
     the root of their absolute value, by randomised subspace iteration.
 
-    A table holds one short vector a vertex.  A round is a join of the cells with it and a sum that combines before the
-    shuffle; two rows of vectors are never in one place but for the products of ``dim + spare`` columns, which are
-    summed to a small matrix.  Starting vectors come from the vertex' md5, so a run can be repeated.  With fewer
-    vertices than ``dim`` the rest of a vector is 0; vertices without a cell are not in the result.
+    A table holds one short vector a vertex.  A round deals the cells to tiles of ``block`` by ``block`` vertices, each of
+    which meets the vectors of its columns and gives one sum a row, so what travels is the cells and a vector a row and tile,
+    never a vector a cell.  Products of ``dim + spare`` columns are summed to a small matrix.  Starting vectors come from the
+    vertex' md5, so a run can be repeated.  With fewer vertices than ``dim`` the rest of a vector is 0; vertices without a
+    cell are not in the result.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    from tracewarden.operators.scale import prefix_sums
+
     r = dim + spare
-    ids = cells.select(F.col("src").cast("string").alias("id")).distinct()
     start = F.array(*[stable_hash("id", F.lit(k), seed=seed) / float(1 << 27) - 1.0 for k in range(r)])
-    cells = cut_lineage(cells.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
+    named = cells.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    ids = cut_lineage(prefix_sums(named.select(F.col("src").alias("id")).distinct(), [], ["id"], {"at": F.lit(1)}).select("id", (F.col("at") - 1).cast("long").alias("at")))
+    side = lambda c: ids.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"))
+    place = lambda c: F.floor(F.col(c) / block).cast("int")
+    tiles = cut_lineage(
+        named.join(side("src"), "src").join(side("dst"), "dst").select(place("src_at").alias("row"), place("dst_at").alias("col"), "src_at", "dst_at", "weight")
+    )
+    reached = tiles.select(F.col("row").alias("to_row"), F.col("col").alias("to_col")).distinct()
+
+    def meet(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(cell):
+            return pd.DataFrame({"at": np.zeros(0, np.int64), "vector": []})
+        known = known.sort_values("at")
+        m = np.stack(known["vector"].to_numpy())
+        order = np.argsort(cell["src_at"].to_numpy(), kind="stable")
+        rows, weight = cell["src_at"].to_numpy()[order], cell["weight"].to_numpy()[order]
+        of = np.searchsorted(known["at"].to_numpy(), cell["dst_at"].to_numpy()[order])
+        at = np.unique(rows)
+        into = np.searchsorted(at, rows)
+        total = np.zeros((len(at), r))
+        for lo in range(0, len(rows), 1 << 15):
+            part = slice(lo, lo + (1 << 15))
+            begin = np.r_[0, np.flatnonzero(np.diff(into[part])) + 1]
+            total[into[part][begin]] += np.add.reduceat(m[of[part]] * weight[part, None], begin, axis=0)
+        return pd.DataFrame({"at": at, "vector": list(total)})
 
     def product(vectors: DataFrame) -> DataFrame:
-        # a summand has a positive weight of its own, as the summary weighs by it
-        met = cells.join(vectors, cells.dst == vectors.id).select(F.col("src").alias("id"), array_to_vector("vector").alias("v"), "weight")
-        return met.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("weight"))).alias("vector"))
+        spread = vectors.join(ids, "id").select("at", "vector", place("at").alias("to_col")).join(reached, "to_col")
+        met = tiles.groupBy("row", "col").cogroup(spread.groupBy("to_row", "to_col")).applyInPandas(meet, "at long, vector array<double>")
+        return met.groupBy("at").agg(vector_to_array(Summarizer.sum(array_to_vector("vector"))).alias("vector")).join(ids, "at").select("id", "vector")
 
     base = cut_lineage(ids.select("id", start.alias("vector")))
     for _ in range(rounds):
