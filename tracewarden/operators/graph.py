@@ -69,7 +69,7 @@ def neighbour_means(edges: DataFrame, vectors: DataFrame, hops: int = 2, normali
     width = vectors.agg(F.max(F.size("vector"))).head()[0] or 0
     places_of = [f"_{i}" for i in range(width)]
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
-    now = vectors.select("id", *[F.get("vector", F.lit(i)).cast("double").alias(c) for i, c in enumerate(places_of)])
+    now = vectors.filter(F.col("vector").isNotNull()).select("id", *[F.get("vector", F.lit(i)).cast("double").alias(c) for i, c in enumerate(places_of)])
     for _ in range(hops):
         met = pairs.join(now, pairs.dst == now.id).select(F.col("src").alias("id"), F.col("times").cast("double").alias("times"), *places_of)
         whole = F.sum("times")
