@@ -129,3 +129,31 @@ def test_keys_share_groups(spark, tmp_path):
     # what is held: the keys with a row that the watermark has not passed
     assert sorted(r.source_ip for r in jobs.held_keys(spark, f"{tmp_path}/checkpoint").collect()) == sorted(keys[:500])
     assert spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() < 500
+
+
+def test_characters_share_rows_of_state(spark, tmp_path):
+    """Characters are counted exactly, of any plane, but do not take a row of state each."""
+    uris = ["/", "", None, "/é?x=1", "/" + "".join(chr(c) for c in range(0x21, 0x7F)), "/\U0001f600\U0001f600中", "/aab"]
+    schema = "event_id long, us long, ts timestamp, remote_addr string, request_uri string, request_method string, http_user_agent string, status int, body_bytes_sent long, request_time double"
+    shape = spark.createDataFrame([], schema).schema
+    row = lambda i, us, ip, uri: (i, us, None, ip, uri, "GET", "-", 200, 1024, 0.0)
+    rows = [row(i, 10_000 * SECOND + i, f"ip{i}", u) for i, u in enumerate(uris)] + [row(20 + i, 10_001 * SECOND + i, "all", u) for i, u in enumerate(uris)]
+    stamped = lambda rows: spark.createDataFrame(rows, shape).withColumn("ts", F.timestamp_micros("us"))
+    for part in (rows[::2], rows[1::2], [row(99, END, "end", "/")]):
+        stamped(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.read_pages(spark, f"{tmp_path}/in", shape, 1)
+    query = jobs.start(jobs.behaviour_windows(stream, "1 day", "1 day"), f"{tmp_path}/out", f"{tmp_path}/checkpoint", poll=None)
+    query.awaitTermination()
+    got = {r.remote_addr: r.f4_uri_char_entropy for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    def entropy(text):
+        n = np.array([text.count(c) for c in set(text)], float)
+        return float(-(n / n.sum() * np.log2(n / n.sum())).sum()) if len(n) else 0.0
+
+    texts = ["/" if u is None else u for u in uris]
+    want = {f"ip{i}": entropy(u) for i, u in enumerate(texts)} | {"all": entropy("".join(texts)), "end": 0.0}
+    assert set(got) - {"end"} == set(want) - {"end"}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    held = max(p.stateOperators[-1].numRowsTotal for p in query.recentProgress)
+    distinct = sum(len(set(u)) for u in texts) + len(set("".join(texts)))
+    assert held < distinct
