@@ -140,3 +140,28 @@ def test_forests_read_a_finished_feature_table(spark, monkeypatch):
     for name in ("ml09_augmented_training", "ml11_permutation_importance"):
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert len(plans) == 3 and not [p for p in plans if "FileScan" in p]
+
+
+def test_characters_of_features_go_by_blocks(spark):
+    """Characters of any plane are counted exactly per address and window, in a row a block instead of one each."""
+    import numpy as np
+
+    from tracewarden.operators import features
+
+    uris = ["/", "", None, "/é?x=1", "/" + "".join(chr(c) for c in range(0x21, 0x7F)), "/\U0001f600\U0001f600中", "/aab"]
+    rows = [(i, 1_000_000 + i, ip, u) for ip in ("each", "all", None) for i, u in enumerate(uris)]
+    rows = [(i, us + (i * 60_000_000 if ip == "each" else 0), ip, u) for i, us, ip, u in rows]
+    log = spark.createDataFrame(rows, "event_id long, us long, remote_addr string, request_uri string").selectExpr(
+        "*", "200 AS status", "0D AS request_time", "'-' AS http_user_agent", "10 AS body_bytes_sent", "'GET' AS request_method"
+    )
+    got = {(r.ip, r.bucket): r.f4_uri_char_entropy for r in features.behaviour_features(log, 60_000_000).collect()}
+
+    def entropy(text):
+        n = np.array([text.count(c) for c in set(text)], float)
+        return float(-(n / n.sum() * np.log2(n / n.sum() + 1e-12)).sum()) if len(n) else 0.0
+
+    texts = ["/" if u is None else u for u in uris]
+    want = {("each", i): entropy(u) for i, u in enumerate(texts)} | {("all", 0): entropy("".join(texts))}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    blocks = features.letter_blocks(log.select(F.coalesce("request_uri", F.lit("/")).alias("uri")), "uri").selectExpr("size(letters) AS n", "uri").collect()
+    assert all(r.n == len({ord(c) // features.BLOCK for c in r.uri}) for r in blocks)

@@ -7,10 +7,15 @@ per distinct value, not per event.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden.functions import signatures as S
 from tracewarden.functions.maths import entropy_term, ratio
@@ -69,6 +74,46 @@ def distribution(counts: DataFrame, keys: Sequence[str], guard: float, prefix: s
     )
 
 
+#: Neighbouring characters whose counts share a row.
+BLOCK = 16
+
+
+def summed(terms: Sequence[Column]) -> Column:
+    return reduce(add, terms)
+
+
+def letter_blocks(df: DataFrame, text: str) -> DataFrame:
+    """Append ``letters``: the counts of the characters of ``text``, as the blocks of code points that occur in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or "" for x in b.column(text).to_pylist()]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+            spots, at = np.unique(owner * 0x110000 + codes // BLOCK * BLOCK, return_inverse=True)
+            n = np.bincount(at * BLOCK + codes % BLOCK, minlength=len(spots) * BLOCK)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(spots) + 1, dtype=np.int32) * BLOCK), pa.array(n, pa.int64()))
+            blocks = pa.StructArray.from_arrays([pa.array(spots % 0x110000, pa.int32()), counts], ["first", "counts"])
+            begin = np.searchsorted(spots, np.arange(len(texts) + 1) * 0x110000).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(begin), blocks)], [*b.schema.names, "letters"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *T.StructType.fromDDL("letters array<struct<first: int, counts: array<bigint>>>").fields]))
+
+
+def letter_entropy(df: DataFrame, keys: Sequence[str], text: str, guard: float) -> DataFrame:
+    """Entropy in bits of the characters of ``text`` per key, as ``char_entropy``; keys without characters are absent.
+
+    Characters are counted in their task and go by blocks of ``BLOCK`` neighbours, a column each: even a hot key shrinks to
+    a row a block before its rows meet.
+    """
+    places = [f"_n{i}" for i in range(BLOCK)]
+    found = letter_blocks(df.select(*keys, text), text).select(*keys, F.explode("letters").alias("_x"))
+    blocks = found.groupBy(*keys, F.col("_x.first").alias("_first")).agg(*[F.sum(F.col("_x.counts")[i]).alias(c) for i, c in enumerate(places)])
+    total = F.sum(summed([F.col(c) for c in places])).over(Window.partitionBy(*keys))
+    terms = summed([F.coalesce(entropy_term(F.col(c) / F.col("_total"), guard), F.lit(0.0)) for c in places])
+    return blocks.withColumn("_total", total).groupBy(*keys).agg(F.sum(terms).alias("char_entropy"))
+
+
 def flow_windows(flows: DataFrame, width_us: int, entity: str = "src_ip", us: str = "us") -> DataFrame:
     """Flow features per entity and tumbling window."""
     b = flows.withColumn("bucket", bucket_of(F.col(us), width_us))
@@ -146,7 +191,7 @@ def behaviour_features(
         *([F.approx_count_distinct(path).alias("_paths_approx")] if approximate else []),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
-    # paths and methods are counted together; characters keep the plain split, which stays in generated code
+    # paths and methods are counted together, characters by blocks
     token = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     pair = F.explode(F.array(token("path", path), token("method", F.coalesce("request_method", F.lit("GET")))))
     counted = b.select(*keys, pair.alias("t")).groupBy(*keys, F.col("t.kind").alias("kind"), "t.value").agg(F.count(F.lit(1)).alias("n"))
@@ -154,8 +199,7 @@ def behaviour_features(
     shapes = distribution(counted, [*keys, "kind"], 1e-12, "v").groupBy(*keys).agg(
         of("path", "v_distinct").alias("path_distinct"), of("path", "v_entropy").alias("path_entropy"), of("method", "v_gini").alias("method_gini")
     )
-    letters = b.select(*keys, F.explode(F.split(F.coalesce("request_uri", F.lit("/")), "")).alias("ch")).filter("ch <> ''")
-    chars = distribution(value_counts(letters, keys, F.col("ch")), keys, 1e-12, "char").select(*keys, "char_entropy")
+    chars = letter_entropy(b.select(*keys, F.coalesce("request_uri", F.lit("/")).alias("uri")), keys, "uri", 1e-12)
     n = F.col("event_count")
     entropy_scale = F.when(F.col("path_distinct") > 1, F.log2("path_distinct")).otherwise(1.0)
     distinct_paths = F.col("_paths_approx") if approximate else F.col("path_distinct")

@@ -15,15 +15,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewarden.functions import signatures as S
-from tracewarden.operators.features import BASELINE_DEFAULTS
+from tracewarden.operators.features import BASELINE_DEFAULTS, BLOCK, letter_blocks, summed
 from tracewarden.operators.folds import walk_groups
 from tracewarden.sources import files
 
@@ -89,24 +87,6 @@ def feature_windows(log: DataFrame, width: str, watermark: str) -> DataFrame:
     )
 
 
-#: Neighbouring characters whose counts share a row of state.
-BLOCK = 16
-
-
-def _letter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Append the counts of the characters of ``uri``, as the blocks of code points that occur in it."""
-    for b in batches:
-        texts = b.column("uri").to_pylist()
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-        spots, at = np.unique(owner * 0x110000 + codes // BLOCK * BLOCK, return_inverse=True)
-        n = np.bincount(at * BLOCK + codes % BLOCK, minlength=len(spots) * BLOCK)
-        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(spots) + 1, dtype=np.int32) * BLOCK), pa.array(n, pa.int64()))
-        blocks = pa.StructArray.from_arrays([pa.array(spots % 0x110000, pa.int32()), counts], ["first", "counts"])
-        begin = np.searchsorted(spots, np.arange(len(texts) + 1) * 0x110000).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(begin), blocks)], [*b.schema.names, "letters"])
-
-
 def behaviour_windows(log: DataFrame, width: str, watermark: str, *, body_mean: float = BASELINE_DEFAULTS["mean_body_bytes"], body_std: float = BASELINE_DEFAULTS["std_body_bytes"]) -> DataFrame:
     """The ten behavioural features of every closed window, in append mode.
 
@@ -119,7 +99,6 @@ def behaviour_windows(log: DataFrame, width: str, watermark: str, *, body_mean:
     grain = lambda kind, v, n: F.struct(F.lit(kind).alias("kind"), v.alias("value"), n.cast(counts).alias("n"))
     uri = F.coalesce("request_uri", F.lit("/"))
     plain = log.select("ts", "us", "remote_addr", "request_method", "status", "body_bytes_sent", "request_time", "http_user_agent", uri.alias("uri"))
-    lettered = plain.mapInArrow(_letter_blocks, T.StructType([*plain.schema.fields, *T.StructType.fromDDL(f"letters array<struct<first: int, counts: {counts}>>").fields]))
     grains = F.concat(
         F.array(
             grain("event", F.lit(""), F.lit(None)), grain("path", S.uri_path(F.col("uri")), F.lit(None)),
@@ -127,7 +106,7 @@ def behaviour_windows(log: DataFrame, width: str, watermark: str, *, body_mean:
         ),
         F.transform("letters", lambda x: grain("char", x["first"].cast("string"), x["counts"])),
     )
-    rows = lettered.withWatermark("ts", watermark).select(
+    rows = letter_blocks(plain, "uri").withWatermark("ts", watermark).select(
         "ts", "us", "remote_addr", "status", "body_bytes_sent", "request_time", "http_user_agent", F.explode(grains).alias("g")
     )
     of = lambda c: F.when(F.col("g.kind") == "event", c)
@@ -144,16 +123,15 @@ def behaviour_windows(log: DataFrame, width: str, watermark: str, *, body_mean:
     )
     n = F.col("n").cast("double")
     at = lambda kind, c: F.when(F.col("kind") == kind, c)
-    whole = lambda terms: sum(terms[1:], terms[0])
     # a character that does not occur has no logarithm
-    char_x = whole([F.coalesce(F.col(c) * F.log2(F.col(c).cast("double")), F.lit(0.0)) for c in letters])
+    char_x = summed([F.coalesce(F.col(c) * F.log2(F.col(c).cast("double")), F.lit(0.0)) for c in letters])
     moments = counted.groupBy("window", "remote_addr").agg(
         F.sum(at("event", F.col("n"))).alias("events"),
         *[F.max(c).alias(c) for c in ("failed", "spread", "suspicion", "first_us", "last_us", "body")],
         F.count(at("path", n)).alias("paths"),
         F.sum(at("path", n * F.log2(n))).alias("path_x"),
         F.sum(at("method", n * n)).alias("method_q"),
-        F.sum(at("char", whole([F.col(c) for c in letters]))).alias("chars"),
+        F.sum(at("char", summed([F.col(c) for c in letters]))).alias("chars"),
         F.sum(at("char", char_x)).alias("char_x"),
     )
     events = F.col("events")
