@@ -157,3 +157,24 @@ def test_characters_share_rows_of_state(spark, tmp_path):
     held = max(p.stateOperators[-1].numRowsTotal for p in query.recentProgress)
     distinct = sum(len(set(u)) for u in texts) + len(set("".join(texts)))
     assert held < distinct
+
+
+def test_held_keys_classify_requests_once(spark, tmp_path):
+    """The pages, the newest time and the keys come from one table of alerts; the events are not read again for the result."""
+    from tracewarden.plans import all_queries
+    from tracewarden.sources.tables import Tables
+
+    day = 86_400 * SECOND
+    rows = [(i, 1_704_067_200 * SECOND + i * day // 10, i % 7 * 10 if i < 250 else 0, ("click", "error")[i % 2], float(i % 90), "{}") for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string")
+    events.select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    found = all_queries()["win19_held_keys"](spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if "events.parquet" in f]
+    last = {}
+    for r in Tables(spark, str(tmp_path)).alerts.collect():
+        key = r.source_ip, r.attack_type or ""
+        last[key] = max(last.get(key, 0), r.us)
+    passed = max(last.values()) // 1000 - 2 * 86_400_000
+    want = {(*k, us // 1000 + 600_001 > passed, False) for k, us in last.items()}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want and len({w[2] for w in want}) == 2

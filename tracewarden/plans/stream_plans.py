@@ -219,8 +219,10 @@ IDLE_US = 600_000_000
 )
 def _(t):
     """Keys in the state when the input pauses, and when the watermark has passed ten silent minutes more."""
-    df = alert_rows(t).fillna({"attack_type": ""})
     base, held = workdir(t), {}
+    # requests are classified once; the pages, the newest time and the keys are read from the table of alerts
+    alert_rows(t).fillna({"attack_type": ""}).write.parquet(f"{base}/alerts")
+    df = t.spark.read.parquet(f"{base}/alerts")
 
     def feed(part, name):
         part.write.mode("append").parquet(f"{base}/in")
