@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import graph
+from tracewarden.operators import graph, tiles
 
 
 def dense(cells, names):
@@ -111,3 +111,50 @@ def test_neighbour_means_combine_by_hash(spark):
     got = {(r.id, r.pos): r.value for r in means.collect()}
     assert got == {("a", 0): pytest.approx(2 / 3), ("a", 1): pytest.approx(1), ("b", 0): 0, ("b", 1): 3}
     assert graph.neighbour_means(edges, vectors.filter("false")).count() == 0
+
+
+def test_numbered_walks_are_the_walks_and_nothing_is_left(spark, monkeypatch):
+    """Walks in pieces of numbers, counted in several blocks and passes; what no later step reads is deleted."""
+    import os
+
+    monkeypatch.setattr(tiles.Grid.__init__, "__kwdefaults__", {"block": 10, "chunk": 3, "share": 2000, "most": 4000})
+    rng = np.random.default_rng(6)
+    links = [(f"a{i}", f"p{j}") for i in range(25) for j in rng.integers(0, 6, 4)] + [("a3", None), (None, "p1"), (None, None), ("a4", "a4")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    want = {(r.start, r.walk): r.path for r in graph.random_walks(edges, walks=3, length=14).collect()}
+    ids, n, pieces, paths = graph.numbered_walks(edges, walks=3, length=14, seed=7, overlap=5)
+    name = {r["at"]: r["id"] for r in ids.collect()}
+    assert len(name) == n and len(want) < 3 * n  # some walks come to the neighbour without a name
+    got = {}
+    for rows, have, fresh in pieces:
+        for r in rows.collect():
+            assert len(r.path) == have
+            got.setdefault((r.id, r.walk), []).extend(name[v] for v in r.path[have - fresh :])
+    assert got == want
+    folder = spark.conf.get("spark.checkpoint.dir")
+    kept = lambda: {os.path.join(d, f) for d, _, files in os.walk(folder) for f in files}
+    before = kept()
+    found = graph.walk_embeddings(edges, dim=40, walks=3, length=14)  # more columns than vertices: the factors are exact
+    rows = {r.id: np.array(r.vector) for r in found.collect()}
+    left = {os.path.dirname(f) for f in kept() - before if os.path.basename(f).startswith("part-")}
+    assert len(left) <= 5  # the numbers of the vertices and the last vectors, not every step and round
+    pairs = graph.co_occurrences(graph.random_walks(edges, walks=3, length=14))
+    names = sorted(r.src for r in pairs.select("src").distinct().collect())
+    assert sorted(rows) == names
+    m = dense(graph.positive_information(pairs), names)
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    e = np.stack([rows[k] for k in names])
+    assert np.allclose(e @ e.T, (vectors * np.abs(values)) @ vectors.T, atol=1e-8)
+
+
+def test_a_block_of_rows_reads_all_vectors_in_one_task(spark, monkeypatch):
+    """Neither vectors nor partial sums are shuffled in a product."""
+    monkeypatch.setattr(tiles.Grid.__init__, "__kwdefaults__", {"block": 8, "chunk": 3, "share": 1 << 25, "most": 1 << 30})
+    plans = []
+    product = graph._product
+    monkeypatch.setattr(graph, "_product", lambda *a: plans.append(product(*a)) or plans[-1])
+    cells = spark.createDataFrame([(f"v{i}", f"v{j}", 1.0 + i * j) for i in range(30) for j in range(30) if (i + j) % 3], "src string, dst string, weight double")
+    assert graph.spectral_embedding(cells, 4, rounds=1).count() == 30
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan

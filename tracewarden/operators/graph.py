@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions import signatures as S
 from tracewarden.functions.maths import ratio
-from tracewarden.session import cut_lineage
+from tracewarden.operators import tiles
+from tracewarden.session import cut_lineage, release, stage
 
 
 def ingest_edges(
@@ -197,34 +199,48 @@ def positive_information(pairs: DataFrame) -> DataFrame:
     return met.select("src", "dst", weight.alias("weight")).filter(F.col("weight") > 0)
 
 
-def _gram(rows: DataFrame, left: str, right: str, r: int) -> np.ndarray:
+def _gram(blocks: DataFrame, left: str, right: str, r: int) -> np.ndarray:
     """Sum over all rows of the outer product of two vectors of length ``r``: that many numbers squared reach the driver.
 
     Each task gives one matrix; they are added in two steps.
     """
-    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((r, r))
         for batch in batches:
-            if len(batch):
-                total += np.stack(batch[left].to_numpy()).T @ np.stack(batch[right].to_numpy())
-        yield pd.DataFrame({"group": [int(TaskContext.get().partitionId()) % 64], "m": [total.ravel()]})
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                total += _matrix(x, r).T @ _matrix(y, r)
+        yield pa.RecordBatch.from_arrays([pa.array([int(TaskContext.get().partitionId()) % 64], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["group", "m"])
 
     def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"group": [0], "m": [np.sum(np.stack(part["m"].to_numpy()), axis=0)]})
 
-    parts = rows.select(left, right).mapInPandas(outer, "group int, m array<double>")
+    parts = blocks.select(F.col(left), F.col(right).alias("_right")).mapInArrow(outer, "group int, m array<double>")
     whole = parts.groupBy("group").applyInPandas(add, parts.schema).groupBy("group").applyInPandas(add, parts.schema).head()
     return np.zeros((r, r)) if whole is None else np.asarray(whole["m"]).reshape(r, r)
 
 
-def _times(rows: DataFrame, vector: str, small: np.ndarray) -> DataFrame:
-    """``(id, vector)`` of the vectors multiplied from the right by a small matrix, in Arrow batches."""
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _matrix(cell: pa.Scalar, width: int) -> np.ndarray:
+    """The vectors of a chunk."""
+    return np.frombuffer(cell.as_buffer(), "<f8").reshape(-1, width)
+
+
+def _times(chunks: DataFrame, vector: str, small: np.ndarray) -> DataFrame:
+    """``(q, v, t)`` of the vectors of chunks multiplied from the right by a small matrix."""
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"id": batch["id"], "vector": list(np.stack(batch[vector].to_numpy()) @ small)})
+            for q, v, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                yield _chunk(q.as_py(), _matrix(v, len(small)) @ small, t.as_py())
+
+    return chunks.select("q", vector, "t").mapInArrow(multiply, CHUNKS)
+
 
-    return rows.select("id", vector).mapInPandas(multiply, "id string, vector array<double>")
+CHUNKS = "q int, v binary, t binary"
+
+
+def _chunk(q: int, v: np.ndarray, t: bytes | np.ndarray) -> pa.RecordBatch:
+    """A row of the table of vectors: a chunk's vectors and the totals of its vertices."""
+    cells = [pa.array([q], pa.int32()), *[pa.array([x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (v, t)]]
+    return pa.RecordBatch.from_arrays(cells, names=["q", "v", "t"])
 
 
 def _root(gram: np.ndarray) -> np.ndarray:
@@ -234,64 +250,214 @@ def _root(gram: np.ndarray) -> np.ndarray:
     return vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
 
+def _started(ids: DataFrame, grid: tiles.Grid, r: int, seed: int) -> DataFrame:
+    """Chunks of starting vectors, from the vertices' md5."""
+    start = F.array(*[stable_hash("id", F.lit(k), seed=seed) / float(1 << 27) - 1.0 for k in range(r)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            at, v = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, r)
+            for q in np.unique(at % grid.chunks):
+                mine = at % grid.chunks == q
+                held.setdefault(int(q), []).append((at[mine], v[mine]))
+        for q in list(held):
+            some = held.pop(q)
+            order = np.argsort(np.concatenate([a for a, _ in some]))
+            yield _chunk(q, np.concatenate([v for _, v in some])[order], b"")
+
+    block = (F.col("at") % grid.chunks % grid.blocks).cast("int")
+    return ids.select("at", start.alias("v")).repartitionById(grid.blocks, block).mapInArrow(pack, CHUNKS)
+
+
+def _product(vectors: DataFrame, cells: DataFrame, grid: tiles.Grid, r: int, whole: float | None) -> DataFrame:
+    """Chunks of the matrix' product with the vectors; entries are weights, or counts that stand for information.
+
+    ``whole`` is the sum of all counts, ``t`` the totals of a chunk's vertices.
+    """
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for q, v, t, b, n, keys, values in zip(*batch.columns, strict=True):
+                q, b, n = q.as_py(), b.as_py(), n.as_py()
+                if q < 0:
+                    sums[b] = sums.get(b, 0) + tiles.unpacked(values.as_buffer(), n, "<f8")
+                    continue
+                if b not in sums:
+                    raise RuntimeError("a block's totals must be read before its tiles")
+                key = tiles.unpacked_keys(keys.as_buffer(), n).astype(np.int64)
+                row, of = key // grid.size, key % grid.size
+                if whole is None:
+                    weight = tiles.unpacked(values.as_buffer(), n, "<f8")
+                else:
+                    count, to = tiles.unpacked(values.as_buffer(), n, "<u8"), np.frombuffer(t.as_buffer(), "<f8")
+                    weight = np.log(count * whole / (sums[b][row] * to[of]))
+                    above = weight > 0
+                    row, of, weight = row[above], of[above], weight[above]
+                tiles.add_products(total.setdefault(b, np.zeros((grid.rows, r))), row, of, weight, _matrix(v, r))
+        for b in sums:
+            found = total.pop(b, None)
+            found = np.zeros((grid.rows, r)) if found is None else found
+            for k, q in enumerate(range(b, grid.chunks, grid.blocks)):
+                of = slice(k * grid.size, k * grid.size + len(range(q, grid.n, grid.chunks)))
+                yield _chunk(q, found[of], sums[b][of])
+
+    return tiles.meet(vectors, cells).select("q", "v", "t", "b", "n", "keys", "values").mapInArrow(multiply, CHUNKS)
+
+
+def _totals(cells: DataFrame, grid: tiles.Grid) -> DataFrame:
+    """``(q, t)``: the sums over the rows of the matrix, a chunk a row."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, n, values in zip(*batch.columns, strict=True):
+                sums[b.as_py()] = sums.get(b.as_py(), 0) + tiles.unpacked(values.as_buffer(), n.as_py(), "<f8")
+        for b, t in sums.items():
+            for k, q in enumerate(range(b, grid.chunks, grid.blocks)):
+                yield _chunk(q, b"", t[k * grid.size : k * grid.size + len(range(q, grid.n, grid.chunks))])
+
+    return cells.filter("q < 0").select("b", "n", "values").mapInArrow(add, CHUNKS).select("q", "t")
+
+
+def _factors(ids: DataFrame, cells: list[DataFrame], grid: tiles.Grid, dim: int, *, rounds: int, spare: int, seed: int, counts: bool) -> DataFrame:
+    """``(id, vector, total)``: the leading eigenvectors of a symmetric matrix in tiles, scaled by the root of their
+    absolute value, by randomised subspace iteration; and the sum over the row."""
+    spark, r = ids.sparkSession, dim + spare
+    whole_of = tiles.union(cells)
+    totals = cut_lineage(_totals(whole_of, grid))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([float(sum(np.frombuffer(t.as_buffer(), "<f8").sum() for batch in batches for t in batch.column(0)))])], names=["n"])
+
+    whole = totals.select("t").mapInArrow(add, "n double").agg(F.sum("n")).head()[0] if counts else None
+    base = cut_lineage(_started(ids, grid, r, seed).drop("t").join(totals, "q").select("q", "v", "t"))
+    product = lambda vectors: _product(vectors, whole_of, grid, r, whole)
+    for _ in range(rounds):
+        image = cut_lineage(product(base))
+        release(spark, base)
+        base = cut_lineage(_times(image, "v", _root(_gram(image, "v", "v", r))))
+        release(spark, image)
+    image = cut_lineage(product(base))
+    release(spark, totals, *cells)
+    small = _gram(base.join(image.select("q", F.col("v").alias("image")), "q"), "v", "image", r)
+    release(spark, image)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    lead = np.argsort(-np.abs(values), kind="stable")[:dim]
+    found = _times(base, "v", turn[:, lead] * np.sqrt(np.abs(values[lead])))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, v, t in zip(*batch.columns, strict=True):
+                m, t = _matrix(v, dim), np.frombuffer(t.as_buffer(), "<f8")
+                for lo in range(0, len(m), 4096):
+                    part = m[lo : lo + 4096]
+                    at = (np.arange(lo, lo + len(part)) * grid.chunks + q.as_py()).astype(np.int64)
+                    vector = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * dim, np.ascontiguousarray(part).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(at), vector, pa.array(t[lo : lo + 4096])], names=["at", "vector", "total"])
+
+    return found.mapInArrow(rows, "at long, vector array<double>, total double").join(ids, "at").select("id", "vector", "total")
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """``(id, at)`` of distinct names, numbered from 0 in their order."""
+    from tracewarden.operators.scale import prefix_sums
+
+    return cut_lineage(prefix_sums(names, [], ["id"], {"at": F.lit(1)}).select("id", (F.col("at") - 1).cast("long").alias("at")))
+
+
 def spectral_embedding(cells: DataFrame, dim: int = 64, *, rounds: int = 6, spare: int = 16, seed: int = 7, block: int = 16_384) -> DataFrame:
     """Vectors of a symmetric sparse matrix ``src, dst, weight``: (id, vector), the leading ``dim`` eigenvectors scaled by
     the root of their absolute value, by randomised subspace iteration.
 
-    A table holds one short vector a vertex.  A round deals the cells to tiles of ``block`` by ``block`` vertices, each of
-    which meets the vectors of its columns and gives one sum a row, so what travels is the cells and a vector a row and tile,
-    never a vector a cell.  Products of ``dim + spare`` columns are summed to a small matrix.  Starting vectors come from the
-    vertex' md5, so a run can be repeated.  With fewer vertices than ``dim`` the rest of a vector is 0; vertices without a
-    cell are not in the result.
+    The matrix is written once as packed tiles.  A round multiplies it with chunks of at most ``block`` vectors, which are
+    written once a round and read by the task of each block of rows (see ``tiles``).  Products of ``dim + spare`` columns are
+    summed to a small matrix.  Starting vectors come from the vertex' md5, so a run can be repeated.  With fewer vertices
+    than ``dim`` the rest of a vector is 0; vertices without a cell are not in the result.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+    spark = cells.sparkSession
+    named = cells.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    ids = _numbered(named.select(F.col("src").alias("id")).filter("id IS NOT NULL").distinct())
+    n = ids.count()
+    if not n:
+        return ids.select("id", F.array().cast("array<double>").alias("vector"))
+    side = lambda c: ids.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"))
+    known, path = stage(named.join(side("src"), "src").join(side("dst"), "dst").select("src_at", "dst_at", "weight"))
+    grid = tiles.Grid(n, known.count(), spark.sparkContext.defaultParallelism, chunk=block)
+
+    def deal(g: int, passes: int) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = tiles.Emitter(grid, g, passes, real=True)
+            for batch in batches:
+                yield from held.add(*[batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+            yield from held.flush()
+
+        return known.mapInArrow(emit, tiles.ENTRY)
+
+    built = tiles.build(deal, grid, real=True)
+    release(spark, path)
+    return _factors(ids, built, grid, dim, rounds=rounds, spare=spare, seed=seed, counts=False).select("id", "vector")
+
 
+def numbered_walks(edges: DataFrame, *, walks: int, length: int, seed: int, overlap: int, cut_every: int = 5) -> tuple[DataFrame, int, list[tuple[DataFrame, int, int]], list[str]]:
+    """The walks of ``random_walks`` in numbers: the vertices ``(id, at)`` and how many there are, the walks in pieces
+    ``(rows, vertices, of these new)``, and the paths to release.
+
+    What is written at a cut is a piece; a walk goes on from the last ``overlap`` vertices of it, so no row ever carries a
+    whole path.
+    """
     from tracewarden.operators.scale import prefix_sums
 
-    r = dim + spare
-    start = F.array(*[stable_hash("id", F.lit(k), seed=seed) / float(1 << 27) - 1.0 for k in range(r)])
-    named = cells.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
-    ids = cut_lineage(prefix_sums(named.select(F.col("src").alias("id")).distinct(), [], ["id"], {"at": F.lit(1)}).select("id", (F.col("at") - 1).cast("long").alias("at")))
+    spark = edges.sparkSession
+    linked, links = stage(both_directions(edges.select("src", "dst").distinct()).distinct())
+    ids = _numbered(linked.select(F.col("src").alias("id")).filter("id IS NOT NULL").distinct())
+    n = ids.count()
     side = lambda c: ids.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"))
-    place = lambda c: F.floor(F.col(c) / block).cast("int")
-    tiles = cut_lineage(
-        named.join(side("src"), "src").join(side("dst"), "dst").select(place("src_at").alias("row"), place("dst_at").alias("col"), "src_at", "dst_at", "weight")
-    )
-    reached = tiles.select(F.col("row").alias("to_row"), F.col("col").alias("to_col")).distinct()
-
-    def meet(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(cell):
-            return pd.DataFrame({"at": np.zeros(0, np.int64), "vector": []})
-        known = known.sort_values("at")
-        m = np.stack(known["vector"].to_numpy())
-        order = np.argsort(cell["src_at"].to_numpy(), kind="stable")
-        rows, weight = cell["src_at"].to_numpy()[order], cell["weight"].to_numpy()[order]
-        of = np.searchsorted(known["at"].to_numpy(), cell["dst_at"].to_numpy()[order])
-        at = np.unique(rows)
-        into = np.searchsorted(at, rows)
-        total = np.zeros((len(at), r))
-        for lo in range(0, len(rows), 1 << 15):
-            part = slice(lo, lo + (1 << 15))
-            begin = np.r_[0, np.flatnonzero(np.diff(into[part])) + 1]
-            total[into[part][begin]] += np.add.reduceat(m[of[part]] * weight[part, None], begin, axis=0)
-        return pd.DataFrame({"at": at, "vector": list(total)})
-
-    def product(vectors: DataFrame) -> DataFrame:
-        spread = vectors.join(ids, "id").select("at", "vector", place("at").alias("to_col")).join(reached, "to_col")
-        met = tiles.groupBy("row", "col").cogroup(spread.groupBy("to_row", "to_col")).applyInPandas(meet, "at long, vector array<double>")
-        return met.groupBy("at").agg(vector_to_array(Summarizer.sum(array_to_vector("vector"))).alias("vector")).join(ids, "at").select("id", "vector")
-
-    base = cut_lineage(ids.select("id", start.alias("vector")))
-    for _ in range(rounds):
-        image = cut_lineage(product(base))
-        base = cut_lineage(_times(image, "vector", _root(_gram(image.withColumn("again", F.col("vector")), "vector", "again", r))))
-    image = product(base).withColumnRenamed("vector", "image")
-    both = cut_lineage(base.join(image, "id"))
-    small = _gram(both, "vector", "image", r)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    lead = np.argsort(-np.abs(values), kind="stable")[:dim]
-    return _times(both, "vector", turn[:, lead] * np.sqrt(np.abs(values[lead])))
+    # numbers stand in the order of the names, so neighbours keep their indexes; one without a name is counted, first
+    paired = linked.join(side("src"), "src").join(side("dst"), "dst", "left").select(F.col("src_at").alias("node"), F.col("dst_at").alias("next"))
+    indexed = prefix_sums(paired, ["node"], ["next"], {"i": F.lit(1)}, totals=True)
+    numbered, table = stage(indexed.select("node", "next", (F.col("i") - 1).cast("long").alias("i"), F.col("i_total").cast("long").alias("degree")))
+    degrees = numbered.filter("i = 0").select("node", "degree")
+    dealt = numbered.select("node", "i", "next").join(degrees.withColumnRenamed("node", "next"), "next")
+    steps = cut_lineage(dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node", "i"))
+    lost = bool(numbered.filter("next IS NULL").head(1))
+    state = cut_lineage(ids.join(degrees.withColumnRenamed("node", "at"), "at").select("id", F.col("at").alias("node"), "degree"))
+    release(spark, links, table)
+    begun = state
+    number = lambda c: F.array(F.col(c).cast("int" if n < 1 << 31 else "long"))
+    state = state.select("id", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), "node", "degree", number("node").alias("path"))
+    pieces, paths, have, fresh = [], [], 1, 1
+    for step in range(1, length):
+        drawn = state.withColumn("i", stable_hash("id", "walk", F.lit(step), seed=seed) % F.col("degree")).drop("degree")
+        state = drawn.join(steps, ["node", "i"]).select("id", "walk", F.col("next").alias("node"), "degree", F.concat("path", number("next")).alias("path"))
+        have, fresh = have + 1, fresh + 1
+        if step % cut_every == 0 or step == length - 1:
+            state, path = stage(state)
+            pieces.append((state, have, fresh))
+            paths.append(path)
+            have, fresh = min(have, overlap), 0
+            state = state.withColumn("path", F.slice("path", -have, have))
+            release(spark)
+    release(spark, begun, steps)
+    if lost and pieces:  # a walk that comes to a neighbour without a name is not in the result
+        whole = pieces[-1][0].select("id", "walk")
+        pieces = [(p.join(whole, ["id", "walk"], "left_semi"), h, f) for p, h, f in pieces[:-1]] + pieces[-1:]
+    return ids, n, pieces, paths
+
+
+def _near(piece: DataFrame, have: int, fresh: int, window: int, grid: tiles.Grid, g: int, passes: int) -> DataFrame:
+    """Entries of the pairs that stand at most ``window`` steps apart in a piece of the walks, the later one new; both ways round."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tiles.Emitter(grid, g, passes)
+        for batch in batches:
+            m = batch.column(0).flatten().to_numpy().astype(np.int64).reshape(-1, have)
+            for k in range(1, min(window, have - 1) + 1):
+                lo = max(have - fresh, k)
+                one, other = m[:, lo:].ravel(), m[:, lo - k : have - k].ravel()
+                yield from held.add(np.r_[one, other], np.r_[other, one])
+        yield from held.flush()
+
+    return piece.select("path").mapInArrow(emit, tiles.ENTRY)
 
 
 def walk_embeddings(edges: DataFrame, *, dim: int = 64, walks: int = 10, length: int = 40, window: int = 5, seed: int = 7) -> DataFrame:
@@ -300,8 +466,25 @@ def walk_embeddings(edges: DataFrame, *, dim: int = 64, walks: int = 10, length:
     Instead of sampling skip-gram steps, the matrix that these approach is built whole (positive pointwise mutual
     information of the walks' co-occurrences) and factorised.  Every vertex of an edge is in the result; one that
     meets all others as often as chance would has a vector of zeros.
+
+    The walks are those of ``random_walks`` and the counts those of ``co_occurrences``, both in numbers; the matrix is kept
+    as packed tiles of counts, which a product turns into the weights of ``positive_information``.
     """
-    pairs = cut_lineage(co_occurrences(random_walks(edges, walks=walks, length=length, seed=seed), window))
-    found = spectral_embedding(positive_information(pairs), dim, seed=seed)
-    vertices = pairs.select(F.col("src").cast("string").alias("id")).distinct()
-    return vertices.join(found, "id", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))
+    spark = edges.sparkSession
+    ids, n, pieces, paths = numbered_walks(edges, walks=walks, length=length, seed=seed, overlap=window)
+    if not pieces or not n:
+        return ids.limit(0).select(F.col("id").cast("string").alias("id"), F.array_repeat(F.lit(0.0), dim).alias("vector"))
+    pairs = 2 * n * walks * sum(max(0, length - k) for k in range(1, window + 1))
+    grid = tiles.Grid(n, pairs, spark.sparkContext.defaultParallelism)
+
+    def deal(g: int, passes: int) -> DataFrame:
+        out = None
+        for piece, have, fresh in pieces:
+            near = _near(piece, have, fresh, window, grid, g, passes)
+            out = near if out is None else out.unionAll(near)
+        return out
+
+    counts = tiles.build(deal, grid)
+    release(spark, *paths)
+    found = _factors(ids, counts, grid, dim, rounds=6, spare=16, seed=seed, counts=True)
+    return found.filter("total > 0").select(F.col("id").cast("string").alias("id"), "vector")

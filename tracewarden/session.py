@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows written as compressed columns to the shared folder and read again, and the path for ``release``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, *kept: DataFrame | str) -> None:
+    """Deletes what ``cut_lineage`` or ``stage`` wrote and nothing reads any more.
+
+    Shuffle files go with the plans that made them once the driver's garbage is collected, which a driver with a large
+    heap may not do before the disk is full; so it is asked to.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for x in kept:
+        if isinstance(x, DataFrame):
+            file = x._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            x = file.get() if file.isDefined() else None
+        if x:
+            path = jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+    jvm.java.lang.System.gc()
