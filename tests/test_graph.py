@@ -158,3 +158,18 @@ def test_a_block_of_rows_reads_all_vectors_in_one_task(spark, monkeypatch):
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_no_vector_travels_along_an_edge(spark):
+    """Vertices with two vectors, gaps in vectors, edges without a name; a hop shuffles nothing."""
+    links = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), (None, "x"), ("c", None), ("c", "w"), ("d", "z"), ("x", "a"), ("y", "b"), ("y", "a")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    vectors = spark.createDataFrame([("x", [1.0, None]), ("x", [3.0, None]), ("y", [0.0, 3.0]), ("z", [2.0]), ("w", None), (None, [9.0, 9.0])], "id string, vector array<double>")
+    once = graph.neighbour_means(edges, vectors, hops=1, normalise=False)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Join" not in plan
+    got = {(r.id, r.pos): r.value for r in once.collect()}
+    third = pytest.approx(3 / 5)
+    assert got == {("a", 0): pytest.approx(8 / 5), ("a", 1): third, ("b", 0): 0, ("b", 1): 3, (None, 0): 2, (None, 1): None, ("d", 0): 2, ("d", 1): None}
+    twice = {(r.id, r.pos): r.value for r in graph.neighbour_means(edges, vectors, hops=2, normalise=False).collect()}
+    assert twice == {("x", 0): pytest.approx(8 / 5), ("x", 1): third, ("y", 0): pytest.approx(4 / 5), ("y", 1): pytest.approx(9 / 5)}

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,23 +66,159 @@ def both_directions(edges: DataFrame) -> DataFrame:
 def neighbour_means(edges: DataFrame, vectors: DataFrame, hops: int = 2, normalise: bool = True, places: int | None = None) -> DataFrame:
     """Replace each vertex' vector by the mean over its out-neighbours, ``hops`` times, then scale to length 1.
 
-    Whole vectors travel, a column a place, weighted by the number of parallel edges; the sums are plain aggregates that
-    combine by hash before the shuffle, so a hub is never gathered into one task.  Cells of the result are (id, pos, value).
+    Vertices are dealt by hash to chunks and blocks.  The edges of a block are written once, counted and packed; in a hop
+    the task of a block reads the one copy of all vectors and adds up its own vertices (see ``tiles``), so no vector
+    travels along an edge.  Null places of a vector are left out of the sums.  Cells of the result are (id, pos, value).
     """
-    width = vectors.agg(F.max(F.size("vector"))).head()[0] or 0
-    places_of = [f"_{i}" for i in range(width)]
-    pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
-    now = vectors.filter(F.col("vector").isNotNull()).select("id", *[F.get("vector", F.lit(i)).cast("double").alias(c) for i, c in enumerate(places_of)])
-    for _ in range(hops):
-        met = pairs.join(now, pairs.dst == now.id).select(F.col("src").alias("id"), F.col("times").cast("double").alias("times"), *places_of)
-        whole = F.sum("times")
-        now = met.groupBy("id").agg(whole.alias("_of"), *[(F.sum(F.col(c) * F.col("times")) / whole).alias(c) for c in places_of]).drop("_of")
-    cells = now.select("id", F.array(*[F.col(c) for c in places_of]).cast("array<double>").alias("a"))
+    spark = edges.sparkSession
+    found = vectors.filter("id IS NOT NULL AND vector IS NOT NULL")
+    gap = F.max(F.exists("vector", lambda x: x.isNull()))
+    width, shortest, gaps, n = found.agg(F.max(F.size("vector")), F.min(F.size("vector")), gap, F.count(F.lit(1))).head()
+    linked = edges.filter("dst IS NOT NULL").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    count, sources = linked.agg(F.count(F.lit(1)), F.approx_count_distinct("src")).head()
+    if not width or not count:
+        return edges.limit(0).select(F.col("src").alias("id"), F.lit(0).alias("pos"), F.lit(0.0).alias("value"))
+    ragged = bool(gaps) or shortest != width
+    wide = 2 * width if ragged else width  # with gaps, a place that says whether the value is there stands behind each
+    blocks = max(1, -(-sources // tiles.BLOCK), -(-count // tiles.ENTRIES), min(spark.sparkContext.defaultParallelism, -(-sources // 256)))
+    chunks = blocks * max(1, -(-max(sources, n) // (2 * tiles.CHUNK * blocks)))
+    chunk_of = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
+    passes = min(blocks, 8, max(1, -(-count // 100_000_000)))
+
+    def count_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            b = batch.column(2).to_numpy() % blocks
+            for one in np.unique(b):
+                held.setdefault(int(one), []).append(batch if (b == one).all() else batch.filter(pa.array(b == one)))
+        for b in list(held):
+            table = pa.Table.from_batches(held.pop(b)).combine_chunks()
+            (src, row), (dst, col) = (_coded(table.column(c)) for c in (0, 1))
+            of_src, of_dst = np.zeros(len(src), np.int32), np.zeros(len(dst), np.int64)
+            of_src[row], of_dst[col] = table.column(2).to_numpy(), table.column(3).to_numpy()
+            del table
+            key, times = np.unique(row * len(dst) + col, return_counts=True)
+            row, col = key // len(dst), key % len(dst)
+            order = np.argsort(of_dst[col], kind="stable")  # by chunk, then row
+            row, col, times = row[order], col[order], times[order]
+            yield _tile(b, -1, len(src), tiles.ipc(id=src, q=of_src), b"")
+            begin = np.flatnonzero(np.r_[True, np.diff(of_dst[col]) != 0])
+            for lo, hi in zip(begin, [*begin[1:], len(col)], strict=True):
+                names, at = np.unique(col[lo:hi], return_inverse=True)
+                tile = tiles.ipc(row=row[lo:hi].astype(np.int32), col=at.astype(np.int32), times=times[lo:hi])
+                yield _tile(b, int(of_dst[col[lo]]), len(src), tiles.ipc(id=dst.take(pa.array(names))), tile)
+
+    dealt = linked.select("src", "dst", chunk_of("src").alias("sq"), chunk_of("dst").alias("dq"))
+    cells = []
+    for g in range(passes):
+        block = F.col("sq") % blocks
+        mine = dealt.filter(block % passes == g).repartitionById(len(range(g, blocks, passes)), F.floor(block / passes).cast("int"))
+        cells.append(cut_lineage(mine.mapInArrow(count_edges, "b int, q int, n long, names binary, tile binary")))
+        release(spark)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            q, m = batch.column(0).to_numpy(), batch.column(2).flatten().to_numpy().reshape(-1, wide)
+            for one in np.unique(q):
+                held.setdefault(int(one), []).append((batch.column(1).filter(pa.array(q == one)), m[q == one]))
+        for q in list(held):
+            some = held.pop(q)
+            ids, at = _coded(pa.chunked_array([i for i, _ in some]))
+            m, times = np.concatenate([v for _, v in some]), np.bincount(at, minlength=len(ids))
+            order = np.argsort(at, kind="stable")
+            m = m[order]
+            if len(ids) < len(at):  # a vertex with several vectors counts as often
+                m = np.add.reduceat(m.astype(np.float64), np.r_[0, np.cumsum(times)[:-1]], axis=0)
+            yield _means(q, ids, m, times)
+
+    value = F.col("vector")
+    if ragged:
+        whole = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col("vector"), i).cast("double"))
+        value = F.concat(F.transform(whole, lambda x: F.coalesce(x, F.lit(0.0))), F.transform(whole, lambda x: x.isNotNull().cast("double")))
+    elif found.schema["vector"].dataType.elementType.typeName() not in ("float", "double"):
+        value = value.cast("array<double>")
+    named = found.select(F.col("id").cast("string").alias("id"), value.alias("vector"))
+    now = named.select(chunk_of("id").alias("q"), "id", "vector").repartitionById(blocks, (F.col("q") % blocks).cast("int")).mapInArrow(pack, MEANS)
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        rows: dict[int, pa.Table] = {}
+        last, known, m = None, None, None
+        for batch in batches:
+            for q, names, v, real, times, b, n, of, tile in zip(*batch.columns, strict=True):
+                q, b = q.as_py(), b.as_py()
+                if q < 0:
+                    rows[b] = tiles.opened(of)
+                    continue
+                if q != last:
+                    last, known, there = q, tiles.opened(names).column("id").combine_chunks(), np.frombuffer(times.as_buffer(), "<f8")
+                    m = np.column_stack([np.frombuffer(v.as_buffer(), "<f8" if real.as_py() else "<f4").reshape(-1, wide).astype(np.float64), there])
+                entries = tiles.opened(tile)
+                met = pc.index_in(tiles.opened(of).column("id").combine_chunks(), value_set=known).fill_null(-1).to_numpy()
+                row, at, weight = (entries.column(c).to_numpy() for c in ("row", "col", "times"))
+                at = met[at]
+                if (at < 0).any():
+                    row, at, weight = row[at >= 0], at[at >= 0], weight[at >= 0]
+                if b not in total:
+                    total[b] = np.zeros((n.as_py(), wide + 1))
+                tiles.add_products(total[b], row, at, weight, m)
+        for b in list(total):
+            sums, ids, of = total.pop(b), rows[b].column("id").combine_chunks(), rows[b].column("q").to_numpy()
+            for q in np.unique(of):
+                mine = np.flatnonzero((of == q) & (sums[:, -1] > 0))
+                if len(mine):
+                    part = sums[mine]
+                    part[:, :width] /= part[:, -1:]
+                    part[:, width:] = part[:, width:] > 0
+                    yield _means(int(q), ids.take(pa.array(mine)), part[:, :wide], np.ones(len(mine)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, names, v, real, _ in zip(*batch.columns, strict=True):
+                ids, m = tiles.opened(names).column("id").combine_chunks(), np.frombuffer(v.as_buffer(), "<f8" if real.as_py() else "<f4").reshape(-1, wide).astype(np.float64)
+                for lo in range(0, len(m), 4096):
+                    part = m[lo : lo + 4096]
+                    gone = (part[:, width:] == 0).ravel() if ragged else None
+                    a = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * width, pa.array(np.ascontiguousarray(part[:, :width]).ravel(), mask=gone))
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), a], names=["id", "a"])
+
+    whole = tiles.union(cells).withColumnRenamed("names", "of")
+    now = cut_lineage(now)
+    for hop in range(hops):
+        met = tiles.meet(now, whole).select("q", "names", "v", "real", "times", "b", "n", "of", "tile").mapInArrow(mean, MEANS)
+        if hop < hops - 1:
+            met = cut_lineage(met)
+            release(spark, now)
+        now = met
+    means = now.mapInArrow(rows, "id string, a array<double>").select(F.col("id").cast(edges.schema["src"].dataType).alias("id"), "a")
     if normalise:
         norm = F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x))
-        cells = cells.withColumn("_n", norm).select("id", F.transform("a", lambda x: ratio(x, F.col("_n"))).alias("a"))
-    cells = cells.select("id", F.posexplode("a").alias("pos", "value"))
-    return cells if places is None else cells.withColumn("value", F.round("value", places))
+        means = means.withColumn("_n", norm).select("id", F.transform("a", lambda x: ratio(x, F.col("_n"))).alias("a"))
+    means = means.select("id", F.posexplode("a").alias("pos", "value"))
+    return means if places is None else means.withColumn("value", F.round("value", places))
+
+
+MEANS = "q int, names binary, v binary, real boolean, times binary"
+
+
+def _means(q: int, ids: pa.Array, m: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A chunk of named vectors, and how often each counts."""
+    m = np.ascontiguousarray(m)
+    cells = [tiles.ipc(id=ids), m.tobytes(), m.itemsize == 8, times.astype(np.float64).tobytes()]
+    types = [pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), *[pa.array([c], t) for c, t in zip(cells, types, strict=True)]], names=["q", "names", "v", "real", "times"])
+
+
+def _tile(b: int, q: int, n: int, names: bytes, tile: bytes) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((b, q, n, names, tile), types, strict=True)], names=["b", "q", "n", "names", "tile"])
+
+
+def _coded(names: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct names, null among them, and the place of each row's."""
+    coded = pc.dictionary_encode(names, null_encoding="encode").combine_chunks()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
 
 def stable_hash(*columns, seed: int = 0):

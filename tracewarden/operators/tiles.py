@@ -45,6 +45,19 @@ def unpacked_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n, "<u8"), dtype=np.uint64)
 
 
+def ipc(**columns) -> bytes:
+    """Columns as one compressed batch."""
+    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def opened(cell: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(cell.as_buffer()).read_all()
+
+
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their values."""
     order = np.argsort(keys)

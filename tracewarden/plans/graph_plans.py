@@ -131,7 +131,7 @@ def _(t):
 def _(t):
     known = t.read("embeddings")
     parts = t.read("part").select("p_partkey", (F.col("p_partkey") % known.agg(F.count(F.lit(1))).scalar()).alias("vec_id")).join(known, "vec_id")
-    vectors = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    vectors = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("embedding").alias("vector"))
     return graph.neighbour_means(graph.both_directions(supply(t).select("src", "dst")), vectors, places=6)
 
 
